@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm import chunking, cooc, terms
+from tesela.llm import bpe, chunking, clusters, cooc, lookalike, mixing, terms
 from tesela.llm.common import count_units, table, texts, units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,80 @@ select lemma_a, lemma_b from p
 join df a on a.campo = 'lemmas' and a.termino = lemma_a join df b on b.campo = 'lemmas' and b.termino = lemma_b, n
 where n_ab >= 5 and 2000 * n_ab >= n.n and n_ab * n.n >= 20 * a.unidades * b.unidades
 """
+
+# --- 7: similarity clusters ----------------------------------------------------------------------
+
+
+def _clustered(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.cluster(units(spark, folder, "embedding", "cluster_id").checkpoint())
+
+
+@query
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Units whose recorded class is null or not the name of their group."""
+    return (
+        _clustered(spark, folder)
+        .where("nombre is not null and (cluster_id is null or cluster_id <> nombre)")
+        .select("uc_id", F.col("nombre").alias("cluster_id"))
+    )
+
+
+@query
+def p7_grupos(spark: SparkSession, folder: str) -> DataFrame:
+    """Each group with its name, size and most typical units."""
+    return clusters.describe(_clustered(spark, folder))
+
+
+@query
+def p7_confianza(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the recorded class is right, by stability in tenths (null: not known)."""
+    members = _clustered(spark, folder).where("nombre is not null")
+    stability = units(spark, folder, "stability")
+    right = F.coalesce((F.col("cluster_id") == F.col("nombre")).cast("double"), F.lit(0.0))
+    return (
+        members.join(stability, "uc_id")
+        .groupBy(F.floor(F.col("stability") * 10).alias("decimo"))
+        .agg(F.count(F.lit(1)).alias("unidades"), F.avg(right).alias("bien_registradas"))
+    )
+
+
+# --- 8 and 9: tokens -----------------------------------------------------------------------------
+
+
+@query
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode(table(spark, folder, "documents"))
+
+
+@query
+def p9_cuotas(spark: SparkSession, folder: str) -> DataFrame:
+    """The share that each source really got."""
+    return _mix(spark, folder)[1]
+
+
+@query
+def p9_mezcla(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix and how often each is in it."""
+    return _mix(spark, folder)[0]
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sized = bpe.count_tokens(table(spark, folder, "documents"), "text", ("doc_id", "source"))
+    return mixing.mix(sized, table(spark, folder, "mezcla_objetivo"))
+
+
+# --- 10: texts that look the same ----------------------------------------------------------------
+
+
+@query
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents that differ in code points and look the same."""
+    return lookalike.look_alike_pairs(lookalike.look_alike_classes(table(spark, folder, "documents")))
+
+
+@query
+def p10_formas(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in its one form, with its look-alike class."""
+    documents = table(spark, folder, "documents")
+    return lookalike.canonical_texts(documents, lookalike.look_alike_classes(documents))
