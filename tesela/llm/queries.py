@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm import bpe, chunking, clusters, cooc, lookalike, mixing, terms
+from tesela.llm import bpe, chunking, clusters, cooc, lookalike, mixing, sentences, terms
 from tesela.llm.common import count_units, table, texts, units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,6 +179,27 @@ join df a on a.campo = 'lemmas' and a.termino = lemma_a join df b on b.campo = '
 where n_ab >= 5 and 2000 * n_ab >= n.n and n_ab * n.n >= 20 * a.unidades * b.unidades
 """
 
+# --- 6: sentences --------------------------------------------------------------------------------
+
+
+def _sentence_model(spark: SparkSession, folder: str) -> sentences.Model:
+    return sentences.train_on(table(spark, folder, "segmentos"), "texto_literal")
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each sentence of the units and segments begins."""
+    starts = sentences.sentence_starts(texts(spark, folder, "uces", "segmentos"), _sentence_model(spark, folder))
+    return starts.dropDuplicates(["tabla", "clave"]).select("tabla", "clave", F.explode("inicios").alias("inicio"))
+
+
+@query
+def p6_oraciones(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence of the units and segments, in order."""
+    whole = sentences.split_sentences(texts(spark, folder, "uces", "segmentos"), _sentence_model(spark, folder))
+    return whole.dropDuplicates(["tabla", "clave", "orden"])
+
+
 # --- 7: similarity clusters ----------------------------------------------------------------------
 
 
