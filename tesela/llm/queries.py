@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm import bpe, chunking, clusters, cooc, lookalike, mixing, sentences, terms
+from tesela.llm import bpe, chunking, clusters, cooc, lookalike, mixing, pii, sentences, terms
 from tesela.llm.common import count_units, table, texts, units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,6 +179,27 @@ join df a on a.campo = 'lemmas' and a.termino = lemma_a join df b on b.campo = '
 where n_ab >= 5 and 2000 * n_ab >= n.n and n_ab * n.n >= 20 * a.unidades * b.unidades
 """
 
+# --- 5: personal information ---------------------------------------------------------------------
+
+
+def _finder(spark: SparkSession, folder: str) -> pii.Finder:
+    return pii.train_on(table(spark, folder, "segmentos"), "texto_literal")
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Kind and start of every mention in full texts, segments and quotes."""
+    found = pii.find_mentions(texts(spark, folder, "corpus", "segmentos", "spans"), _finder(spark, folder))
+    return found.select("tabla", "clave", "tipo", "inicio").distinct()
+
+
+@query
+def p5_textos(spark: SparkSession, folder: str) -> DataFrame:
+    """The same texts with a placeholder for every mention."""
+    clean = pii.replace_mentions(texts(spark, folder, "corpus", "segmentos", "spans"), _finder(spark, folder))
+    return clean.dropDuplicates(["tabla", "clave"])
+
+
 # --- 6: sentences --------------------------------------------------------------------------------
 
 

@@ -266,10 +266,13 @@ class Model:
             return "ending"
         if low in LEADING:
             return "leading"
-        if "." in left and len(left) <= 6:
+        if "." in left:
             tail = low.rpartition(".")[2]
-            if len(tail) <= 1:
+            if len(left) <= 6 and len(tail) <= 1:
                 return "numbered" if left[0].isdigit() else "dotted"
+            low = left = tail  # no blank after the sentence before
+            if low in ENDING or low in LEADING:
+                return "ending" if low in ENDING else "leading"
         if low in self.learned:
             return "learned"
         return "word" if len(left) > 3 or low in self.words else "short"
