@@ -124,9 +124,13 @@ def split_oversized(texts: DataFrame, config: DataFrame, only_oversized: bool =
         {
             "limite": F.coalesce("limite", F.lit(usual["limite_1"] if usual else None).cast("int")),
             "solape": F.coalesce("solape", F.lit(usual["solape_1"] if usual else None).cast("int"), F.lit(0)),
-            "n": count_words(F.col("texto")),
         }
     )
+    # so many words take at least twice as many characters less one: shorter texts need no count here
+    may_be = F.char_length("texto") >= 2 * (F.col("limite") + 1) - 1
+    if only_oversized:
+        known = known.where(may_be)
+    known = known.withColumn("n", count_words(F.col("texto")))
     too_long = F.col("n") > F.col("limite")
     if only_oversized:
         known = known.where(too_long)
