@@ -143,7 +143,7 @@ select uc_id, termino from tf join df using (campo, termino) where campo = 'lemm
 """
 ORACLES["p3_unidades"] = f"""{_COUNTS},
 l as (select uc_id, cast(sum(tf) as double) as largo from tf where campo = 'lemmas' group by uc_id),
-m as (select avg(largo) as largo_medio from l),
+m as (select sum(largo) / any_value(n.n) as largo_medio from l, n),
 s as (
   select uc_id, termino, tf, cast(apariciones as bigint) as apariciones, unidades, apariciones / cast(n.n as double) as lam,
     tf * log2(1 + largo_medio / largo) as tfn

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesela.llm.common import term
@@ -53,18 +53,21 @@ def divergence_scores(counts: DataFrame, key: str, n_records: int) -> DataFrame:
 
         score = (log2(1 + lambda) + tfn log2((1 + lambda) / lambda)) / (tfn + 1)
 
-    ``counts`` holds (key, campo, termino, tf). Adds unidades (records with the term), apariciones and
-    ``puntaje``. The statistics of a term come back by a join on it, not by a window over it: a term
-    held by a third of all records would put them into one task, while AQE splits such a join.
+    The mean length is over all ``n_records``. ``counts`` holds (key, campo, termino, tf), hashed by
+    ``key`` as it comes from :func:`record_terms`, so the length of a record is summed in place. Adds
+    unidades (records with the term), apariciones and ``puntaje``. The statistics of a term come back by
+    a join on it, not by a window over it: a term held by a third of all records would put them into one
+    task, while AQE splits such a join.
     """
-    length = counts.groupBy(key, "campo").agg(F.sum("tf").alias("largo"))
-    mean = length.groupBy("campo").agg(F.avg("largo").alias("largo_medio"))
     stats = counts.groupBy("campo", "termino").agg(
         F.sum("tf").alias("apariciones"), F.count(F.lit(1)).alias("unidades")
     )
+    mean = stats.groupBy("campo").agg((F.sum("apariciones") / F.lit(float(n_records))).alias("largo_medio"))
     joined = (
-        counts.join(length, [key, "campo"]).join(F.broadcast(mean), "campo").join(stats, ["campo", "termino"])
-    )  # mean: one row per campo
+        counts.withColumn("largo", F.sum("tf").over(Window.partitionBy(key, "campo")))
+        .join(stats, ["campo", "termino"])
+        .join(F.broadcast(mean), "campo")  # one row per campo
+    )
     lam = F.col("apariciones") / F.lit(float(n_records))
     tfn = F.col("tf") * F.log2(1 + F.col("largo_medio") / F.col("largo"))
     return joined.withColumn("tfn", tfn).select(
