@@ -78,44 +78,49 @@ def poisson_binomial_tail(q: np.ndarray, weights: np.ndarray, k: np.ndarray) ->
     return out
 
 
-def pair_counts(incidence: DataFrame, record: str, item: str, n_records: int, min_pairs: int, per: int, lift: int):
+def item_counts(baskets: DataFrame, items: str) -> DataFrame:
+    """(item, n): records that hold each item. Summed in each partition before the exchange."""
+    return baskets.select(F.explode(items).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pair_counts(baskets: DataFrame, items: str, counts: DataFrame, name: str, n_records: int, min_pairs: int, per: int, lift: int):
     """Vocabulary and exact counts of the pairs that can reach the bounds.
 
-    ``incidence`` holds each (record, item) once. A pair with n_ab >= min_pairs, per n_ab >= N and
+    ``baskets`` holds each record's distinct items. A pair with n_ab >= min_pairs, per n_ab >= N and
     n_ab N >= lift n_a n_b has both items in at least min_pairs and N / per records and in at most
     N / lift: so other items are left out before any pair is made, and no pair that counts is lost.
     Pairs are summed in each partition before the exchange. Returns (vocabulary, pairs).
     """
     least = max(min_pairs, -(-n_records // per))
     vocabulary = (
-        incidence.groupBy(item)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where((F.col("n") >= least) & (F.col("n") * lift <= n_records))
+        counts.where((F.col("n") >= least) & (F.col("n") * lift <= n_records))
         .withColumn("id", F.monotonically_increasing_id())
         .checkpoint()
     )
     # at most (items per record) x per of them, as each is in N / per records
     small = vocabulary.count() <= BROADCAST_ITEMS
     hint = F.broadcast if small else (lambda df: df)
-    baskets = (
-        incidence.join(hint(vocabulary.select(item, "id")), item)
-        .groupBy(record)
+    ids = (
+        baskets.withColumn("r", F.monotonically_increasing_id())
+        .select("r", F.explode(items).alias("item"))
+        .join(hint(vocabulary.select("item", "id")), "item")
+        .groupBy("r")
         .agg(F.sort_array(F.collect_list("id")).alias("ids"))
     )
     pairs = (
-        baskets.select("ids", F.posexplode("ids").alias("i", "a"))
+        ids.select("ids", F.posexplode("ids").alias("i", "a"))
         .select("a", F.explode(F.slice(F.col("ids"), F.col("i") + 2, F.size("ids"))).alias("b"))
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("n_ab"))
         .where((F.col("n_ab") >= min_pairs) & (F.col("n_ab") * per >= n_records))
     )
-    one = hint(vocabulary.select(F.col("id").alias("a"), F.col(item).alias("item_1"), F.col("n").alias("n_1")))
-    two = hint(vocabulary.select(F.col("id").alias("b"), F.col(item).alias("item_2"), F.col("n").alias("n_2")))
+    one = hint(vocabulary.select(F.col("id").alias("a"), F.col("item").alias("item_1"), F.col("n").alias("n_1")))
+    two = hint(vocabulary.select(F.col("id").alias("b"), F.col("item").alias("item_2"), F.col("n").alias("n_2")))
     named = pairs.join(one, "a").join(two, "b").where(F.col("n_ab") * n_records >= lift * F.col("n_1") * F.col("n_2"))
     forward = F.col("item_1") < F.col("item_2")
     return vocabulary, named.select(
-        F.least("item_1", "item_2").alias(f"{item}_a"),
-        F.greatest("item_1", "item_2").alias(f"{item}_b"),
+        F.least("item_1", "item_2").alias(f"{name}_a"),
+        F.greatest("item_1", "item_2").alias(f"{name}_b"),
         F.when(forward, F.col("n_1")).otherwise(F.col("n_2")).alias("n_a"),
         F.when(forward, F.col("n_2")).otherwise(F.col("n_1")).alias("n_b"),
         "n_ab",
@@ -123,7 +128,7 @@ def pair_counts(incidence: DataFrame, record: str, item: str, n_records: int, mi
 
 
 def pair_surprise(
-    incidence: DataFrame, record: str, item: str, n_records: int, min_pairs: int = 5, per: int = 2000, lift: int = 20
+    baskets: DataFrame, items: str, name: str, n_records: int, min_pairs: int = 5, per: int = 2000, lift: int = 20
 ) -> DataFrame:
     """Pairs of items with their count, what chance gives, and how surprising the count is.
 
@@ -131,16 +136,19 @@ def pair_surprise(
     null, which keeps the frequency of items and the size of records), ``veces`` (n_ab over it),
     ``p`` (Poisson-binomial upper tail) and ``q`` (Benjamini-Hochberg over all pairs of the vocabulary,
     rounded up to the next class of P_STEP in -log10 p). An empty input gives an empty result.
+    ``baskets`` has the array ``items`` of each record's distinct items, null for none; it is written once
+    to the checkpoint folder, as it is read for the frequencies, the sizes and the pairs.
 
     What the driver gets is bounded: classes of degrees and of sizes, and classes of p.
     """
-    vocabulary, pairs = pair_counts(incidence, record, item, n_records, min_pairs, per, lift)
+    baskets = baskets.select(items).where(F.size(items) > 0).checkpoint()
+    counts = item_counts(baskets, items).checkpoint()
+    vocabulary, pairs = pair_counts(baskets, items, counts, name, n_records, min_pairs, per, lift)
     by_degree = (
-        incidence.groupBy(item).agg(F.count(F.lit(1)).alias("n")).groupBy(_class_of(F.col("n")).alias("c"))
-        .agg(F.count(F.lit(1)).alias("items"), F.avg("n").alias("n")).collect()
-    )
+        counts.groupBy(_class_of(F.col("n")).alias("c")).agg(F.count(F.lit(1)).alias("items"), F.avg("n").alias("n")).collect()
+    )
     by_size = (
-        incidence.groupBy(record).agg(F.count(F.lit(1)).alias("k")).groupBy(_class_of(F.col("k")).alias("c"))
+        baskets.select(F.size(items).alias("k")).groupBy(_class_of(F.col("k")).alias("c"))
         .agg(F.count(F.lit(1)).alias("records"), F.avg("k").alias("k")).collect()
     )
     if not by_degree:
@@ -160,7 +168,7 @@ def pair_surprise(
             p = np.maximum(poisson_binomial_tail(q, records, n), 1e-300)
             yield batch.assign(esperado=mean, veces=n / mean, p=p)
 
-    schema = f"{item}_a string, {item}_b string, n_a long, n_b long, n_ab long, esperado double, veces double, p double"
+    schema = f"{name}_a string, {name}_b string, n_a long, n_b long, n_ab long, esperado double, veces double, p double"
     tested = pairs.mapInPandas(tails, schema).withColumn(
         "c", F.least(F.floor(-F.log10("p") / P_STEP), F.lit(P_CLASSES)).cast("int")
     ).checkpoint()

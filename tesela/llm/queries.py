@@ -152,10 +152,10 @@ select uc_id, termino, tf, apariciones, unidades, (log2(1 + lam) + tfn * log2((1
 """
 
 
-def _incidence(spark: SparkSession, folder: str) -> DataFrame:
-    """(uc_id, lemma), each once."""
+def _baskets(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct lemmas of each context unit."""
     counts = terms.record_terms(units(spark, folder, "lemmas"), "uc_id", "lemmas")
-    return counts.select("uc_id", F.col("termino").alias("lemma"))
+    return counts.groupBy("uc_id").agg(F.collect_list("termino").alias("lemmas"))
 
 
 @query
@@ -167,7 +167,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p4_pares(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of lemmas with their counts, expectation, tail probability and q value."""
-    return cooc.pair_surprise(_incidence(spark, folder), "uc_id", "lemma", count_units(spark, folder))
+    return cooc.pair_surprise(_baskets(spark, folder), "lemmas", "lemma", count_units(spark, folder))
 
 
 ORACLES["p4_found"] = f"""{_COUNTS},
