@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -9,7 +10,6 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +65,8 @@ def character_map() -> dict[int, str | None]:
     return out
 
 
-_COARSE = regex.compile(r"[^\p{L}\p{N}]+")
-_LINE_ENDS = regex.compile(r"\r\n?")
+_COARSE = re.compile(r"[\W_]+")
+_LINE_ENDS = re.compile(r"\r\n?")
 
 
 def visible_form(text: str | None) -> str | None:
@@ -80,53 +80,58 @@ def visible_form(text: str | None) -> str | None:
 
 def _coarse_digest(form: str) -> bytes:
     """Digest of the letters and digits without case and accents: equal wherever the collation finds two forms equal."""
-    bare = "".join(c for c in unicodedata.normalize("NFKD", form.casefold()) if not unicodedata.combining(c))
+    bare = form.casefold() if form.isascii() else unicodedata.normalize("NFKD", form.casefold())
     return blake2b(_COARSE.sub("", bare).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def with_forms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, texto, forma and the digests of text and of coarse form; null and blank texts left out."""
+def _shown(form: str | None) -> bool:
+    return form is not None and form != "" and not form.isspace()
+
+
+def with_digests(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key`` and the digests of text (huella) and of coarse form (grueso); null and blank texts left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                keys, texts = part.column(0), part.column(1).to_pylist()
-                forms = [visible_form(t) for t in texts]
-                shown = [f is not None and not f.isspace() and f != "" for f in forms]
-                coarse = [_coarse_digest(f) if s else None for f, s in zip(forms, shown)]
-                exact = [blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() if s else None for t, s in zip(texts, shown)]
-                whole = pa.RecordBatch.from_arrays(
-                    [keys, part.column(1), pa.array(forms, pa.string()), pa.array(exact, pa.binary()), pa.array(coarse, pa.binary())],
-                    [key, "texto", "forma", "huella", "grueso"],
-                )
-                yield whole.filter(pa.array(shown))
+            texts = batch.column(1).to_pylist()
+            forms = [visible_form(t) for t in texts]
+            shown = [_shown(f) for f in forms]
+            exact = [blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() if s else None for t, s in zip(texts, shown)]
+            coarse = [_coarse_digest(f) if s else None for f, s in zip(forms, shown)]
+            whole = pa.RecordBatch.from_arrays([batch.column(0), pa.array(exact, pa.binary()), pa.array(coarse, pa.binary())], [key, "huella", "grueso"])
+            yield whole.filter(pa.array(shown))
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, df[text].alias("texto")).mapInArrow(
-        run, f"`{key}` {kind}, texto string, forma string, huella binary, grueso binary"
-    )
+    return df.select(key, df[text].alias("texto")).mapInArrow(run, f"`{key}` {kind}, huella binary, grueso binary")
+
+
+def with_forms(df: DataFrame) -> DataFrame:
+    """(huella, texto) with forma, the visible form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms = [visible_form(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string())], ["huella", "texto", "forma"])
+
+    return df.select("huella", "texto").mapInArrow(run, "huella binary, texto string, forma string")
 
 
 def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Members of the classes with two or more different texts: ``key``, huella, clase, canonico.
 
-    First the documents are counted by a 16-byte digest of their coarse form, so that only those that
-    can have a look-alike carry their texts on. These are grouped by their look-alike-mapped form under
-    the accent- and case-sensitive Unicode collation; the canonical member of a class is the text that
-    is in the visible form already, else the least one, and it is joined back. ``clase`` names the
-    class by the digest of its canonical member. Grouping is over distinct texts: copies add no rows.
+    First every document gives two 16-byte digests, of its text and of its coarse form, and only documents
+    whose coarse form comes with two or more texts carry a text on. Of each such text one copy is grouped by
+    its look-alike-mapped form under the accent- and case-sensitive Unicode collation; the canonical member
+    of a class is the text that is in the visible form already, else the least one, and it is joined back.
+    ``clase`` names the class by the digest of its canonical member. ``key`` must be unique.
     """
-    formed = with_forms(df, key, text)
-    # distinct texts per digest, counted without moving a text
-    several = (
-        formed.select("grueso", "huella").distinct().groupBy("grueso").agg(F.count(F.lit(1)).alias("textos"))
-        .where("textos > 1").select("grueso")
-    )
-    # min and max see the same: distinct texts of one digest; a second pass keeps their documents only
-    candidates = formed.join(several, "grueso", "left_semi").select(key, "texto", "forma", "huella").checkpoint()
-    distinct = candidates.dropDuplicates(["huella"]).select("texto", "forma", "huella")
-    collated = distinct.withColumn("vista", F.collate("forma", "UNICODE"))
+    digests = with_digests(df, key, text).checkpoint()
+    # distinct texts per coarse form, counted without moving a text; copies of one text add no rows
+    distinct = digests.groupBy("grueso", "huella").agg(F.min(key).alias("primero"))
+    several = distinct.groupBy("grueso").agg(F.count(F.lit(1)).alias("textos")).where("textos > 1").select("grueso")
+    first = distinct.join(several, "grueso", "left_semi").select("huella", F.col("primero").alias(key)).checkpoint()
+    carried = df.select(key, df[text].alias("texto")).join(first, key).select("huella", "texto")
+    collated = with_forms(carried).withColumn("vista", F.collate("forma", "UNICODE")).checkpoint()
     # the deterministic choice: visible form first, then by code point
     choice = F.struct((F.col("texto") != F.col("forma")).alias("otra"), F.col("texto"), F.col("huella"))
     classes = (
@@ -134,7 +139,7 @@ def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -
         .where("textos > 1").select("vista", F.col("primera.texto").alias("canonico"), F.col("primera.huella").alias("clase"))
     )
     members = collated.join(classes, "vista").select("huella", "clase", "canonico")
-    return candidates.select(key, "huella").join(members, "huella")
+    return digests.select(key, "huella").join(members, "huella").checkpoint()
 
 
 def look_alike_pairs(classes: DataFrame, key: str = "doc_id") -> DataFrame:
