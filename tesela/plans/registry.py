@@ -28,3 +28,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to ``places`` decimals, so that sums in another order compare equal; minus zero is zero."""
+    from pyspark.sql import functions as F
+
+    return df.select(*((F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
