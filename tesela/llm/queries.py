@@ -120,7 +120,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_unidades(spark: SparkSession, folder: str) -> DataFrame:
     """Divergence-from-randomness score of every lemma of every context unit."""
     counts = terms.record_terms(units(spark, folder, "lemmas"), "uc_id", "lemmas")
-    return terms.divergence_scores(counts, "uc_id", count_units(spark, folder)).drop("campo")
+    scored = terms.divergence_scores(counts, "uc_id", count_units(spark, folder)).drop("campo")
+    return scored.withColumn("puntaje", F.round("puntaje", 6))
 
 
 @query
@@ -148,7 +149,7 @@ s as (
   select uc_id, termino, tf, cast(apariciones as bigint) as apariciones, unidades, apariciones / cast(n.n as double) as lam,
     tf * log2(1 + largo_medio / largo) as tfn
   from tf join df using (campo, termino) join l using (uc_id), m, n where campo = 'lemmas')
-select uc_id, termino, tf, apariciones, unidades, (log2(1 + lam) + tfn * log2((1 + lam) / lam)) / (tfn + 1) as puntaje from s
+select uc_id, termino, tf, apariciones, unidades, round((log2(1 + lam) + tfn * log2((1 + lam) / lam)) / (tfn + 1), 6) as puntaje from s
 """
 
 
