@@ -30,7 +30,7 @@ def characteristic_terms(incidence: DataFrame, classes: DataFrame, unit: str, la
     by_term = joined.groupBy(term).agg(F.count(F.lit(1)).alias("frecuencia_global"))
     by_class = known.groupBy(label).agg(F.count(F.lit(1)).alias("n_clase"))
     total = Window.partitionBy()  # one row per class
-    by_class = by_class.withColumn("n", F.sum("n_clase").over(total)).withColumn("k", F.count(F.lit(1)).over(total)).where("k > 1").drop("k")
+    by_class = by_class.withColumn("n", F.sum("n_clase").over(total)).withColumn("_clases", F.count(F.lit(1)).over(total)).where("_clases > 1").drop("_clases")
     # every class goes with every term: an explode of the few classes, not a join
     listed = by_class.agg(F.collect_list(F.struct(label, "n_clase", "n"))).scalar()
     grid = by_term.withColumn("clases", listed).select(term, "frecuencia_global", F.explode("clases").alias("c")).select(term, "frecuencia_global", "c.*")
