@@ -29,6 +29,9 @@ LEADING = frozenset(
     " e.g i.e π.χ ee ff jj dd rr oo cc".split()
 )
 ENDING = frozenset("etc aprox izda dcha izq dpto urb entlo pral uu ee.uu ss.aa cía cia ltda inc ltd co jr ph.d м.б др т.д т.п usw a.m p.m κλπ κ.λπ a.c d.c".split())
+#: Of these, those after which a sentence hardly ever goes on but with one of the words given next.
+CLOSING = frozenset("etc aprox usw κλπ".split())
+GOING_ON = frozenset("y e o u ni de del en que con para por a al se es son está fue und oder and or i".split())
 MONTHS = frozenset(
     "januar februar märz april mai juni juli august september oktober november dezember"
     " january february march may june july october december"
@@ -262,6 +265,8 @@ class Model:
             if not left.isalpha() or not left.islower():
                 return "word"  # a syllable or ideogram, a sign
             return "leading"
+        if low in CLOSING and after == "lower" and re.match(r"\w*", text[q : q + 12]).group() not in GOING_ON:
+            return "word"
         if low in ENDING:
             return "ending"
         if low in LEADING:
