@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesela.llm import bpe, chunking, clusters, cooc, lookalike, mixing, pii, sentences, terms
 from tesela.llm.common import count_units, table, texts, units
+from tesela.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[function.__name__] = function
+    @wraps(function)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ensure_checkpoint_dir(spark)  # the session's folder; its own only where none is set
+        return function(spark, folder)
+
+    QUERIES[function.__name__] = run
     return function
 
 
