@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,14 +30,29 @@ def class_distances(centroids: DataFrame, label: str) -> DataFrame:
 
 
 def soft_membership(units: DataFrame, centroids: DataFrame, unit: str, label: str, vector: str, dim: int, temperature: float = 0.1) -> DataFrame:
-    """unit, clase, pertenencia: softmax over classes of cosine / temperature, summed within each row."""
-    listed = centroids.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("clase"), F.col("centroide").alias("c"))))).scalar()
-    scored = units.where(usable(vector, dim)).select(unit, vector).withColumn("l", listed)  # few classes
-    scores = F.transform("l", lambda x: F.struct(x.clase.alias("clase"), (cosine(F.col(vector), x.c) / temperature).alias("s")))
-    most = F.array_max(F.transform("e", lambda x: x.s))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp(x.s - F.col("m")))
-    rows = scored.select(unit, scores.alias("e")).withColumn("m", most).withColumn("t", total).select(unit, "m", "t", F.explode("e").alias("x"))
-    return rows.select(unit, "x.clase", (F.exp(F.col("x.s") - F.col("m")) / F.col("t")).alias("pertenencia"))
+    """unit, clase, pertenencia: softmax over classes of cosine / temperature.
+
+    The centroids are as many as classes and go to every task; a batch of units is one matrix product.
+    """
+    known = [(r[label], r["centroide"]) for r in centroids.orderBy(label).collect()]
+    names = np.array([k for k, _ in known], dtype=np.int32)
+    means = np.array([c for _, c in known], dtype=float).reshape(-1, dim)
+    means = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-300)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column(1).flatten().cast(pa.float64())).reshape(-1, dim)
+            score = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ means.T / temperature
+            score = np.exp(score - score.max(axis=1, keepdims=True))
+            share = score / score.sum(axis=1, keepdims=True)
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), len(names))))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(names, len(x))), pa.array(share.ravel())], [unit, "clase", "pertenencia"])
+
+    kind = dict(units.dtypes)[unit]
+    schema = f"`{unit}` {kind}, clase int, pertenencia double"
+    if not len(names):
+        return units.sparkSession.createDataFrame([], schema)
+    return units.where(usable(vector, dim)).select(unit, vector).mapInArrow(run, schema)
 
 
 def liminal(membership: DataFrame, unit: str) -> DataFrame:
@@ -42,6 +61,7 @@ def liminal(membership: DataFrame, unit: str) -> DataFrame:
         (-F.sum(F.col("pertenencia") * F.ln(F.col("pertenencia") + 1e-12))).alias("entropia"),
         F.max_by("clase", F.struct("pertenencia", -F.col("clase"))).alias("dominante"),
     )
+    per = per.checkpoint()
     centred = per.withColumn("m", per.agg(F.percentile("entropia", F.lit(0.5))).scalar())
     spread = centred.agg(F.percentile(F.abs(F.col("entropia") - F.col("m")), F.lit(0.5))).scalar()
     return centred.withColumn("d", spread).select(unit, "entropia", "dominante", (F.col("entropia") > F.col("m") + F.col("d")).alias("liminal"))

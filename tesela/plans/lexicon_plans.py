@@ -17,9 +17,9 @@ def stems(spark: SparkSession, folder: str, column: str = "stems") -> DataFrame:
 
 
 def matrix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(incidence of the stems of the vocabulary, classes of the units)."""
+    """(incidence of the stems of the vocabulary, classes of the units); what reads it again finds it written."""
     t = stems(spark, folder)
-    return lexical.incidence(t, "uce_id", lexical.vocabulary(t, "uce_id").select("termino")), units(spark, folder, "cluster_id")
+    return lexical.incidence(t, "uce_id", lexical.vocabulary(t, "uce_id").select("termino")).checkpoint(), units(spark, folder, "cluster_id")
 
 
 @query("doc_freq_vocabulary", f"with {MATRIX} select termino, unidades, row_number() over (order by termino) - 1 as indice from v")
@@ -302,8 +302,8 @@ select a, b, conteo, fa, fb, round(lg / ln(2.0), 6) as pmi, round(greatest(lg /
 )
 def cooc_weights(spark: SparkSession, folder: str) -> DataFrame:
     t = stems(spark, folder)
-    v = lexical.vocabulary(t, "uce_id")
-    edges = network.pair_counts(lexical.incidence(t, "uce_id", v), "uce_id", least=5)
+    v = lexical.vocabulary(t, "uce_id").checkpoint()
+    edges = network.pair_counts(lexical.incidence(t, "uce_id", v).checkpoint(), "uce_id", least=5)
     return rounded(network.association(edges, v, units(spark, folder).count()))
 
 

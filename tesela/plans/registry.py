@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesela.session import ensure_checkpoint_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,7 +17,7 @@ def query(name: str, oracle: str | None = None):
     """Register a query under ``name``, with its SQL if there is one."""
 
     def add(function: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = function
+        QUERIES[name] = with_checkpoints(function)
         if oracle is not None:
             ORACLES[name] = oracle
         return function
@@ -22,6 +25,17 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def with_checkpoints(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, sure of a checkpoint folder: the session's, or one of its own where none is set."""
+
+    @wraps(function)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ensure_checkpoint_dir(spark)
+        return function(spark, folder)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
