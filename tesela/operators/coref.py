@@ -147,3 +147,75 @@ def _fuzzy(least: float):
         return pd.DataFrame([one(q or "", t or "") for q, t in zip(quotes, texts)], columns=["inicio", "fin"]).astype("int32")
 
     return run
+
+
+def frames_in_range(frames: DataFrame, ranges: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Frames of which entity, verb or object overlaps a range [lo, hi) of the same document."""
+    overlaps = None
+    for part in ("entity", "verb", "object"):
+        one = (F.col(f"{part}_start") < F.col("hi")) & (F.col(f"{part}_end") > F.col("lo"))
+        overlaps = one if overlaps is None else overlaps | one
+    return frames.join(ranges, doc).where(overlaps)
+
+
+def with_clusters(frames: DataFrame, assigned: DataFrame, key: tuple[str, ...] = ("doc_id", "uce_id", "frame_idx")) -> DataFrame:
+    """Frames with the classes written back by key; those without one keep theirs."""
+    new = assigned.select(*key, F.col("cluster_id").alias("_c"))
+    return frames.join(new, list(key), "left").withColumn("cluster_id", F.coalesce("_c", "cluster_id")).drop("_c")
+
+
+def cluster_summary(frames: DataFrame, cluster: str, top: int = 5) -> DataFrame:
+    """Frames and negated ones of each class, with its most frequent verbs and objects and counts of roles and voices."""
+    from pyspark.sql import Window
+
+    def best(column: str) -> DataFrame:
+        counts = frames.where(F.col(column).isNotNull()).groupBy(cluster, column).agg(F.count(F.lit(1)).alias("n"))
+        rank = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("n"), column))
+        kept = counts.withColumn("r", rank).where(F.col("r") <= top)
+        return kept.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("r", column))).alias("x")).select(cluster, F.col(f"x.{column}").alias(f"top_{column}"))
+
+    def spread(column: str) -> DataFrame:
+        counts = frames.where(F.col(column).isNotNull()).groupBy(cluster, column).agg(F.count(F.lit(1)).alias("n"))
+        return counts.groupBy(cluster).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(column, "n")))).alias(f"por_{column}"))
+
+    out = frames.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_frames"), F.count_if("negated").alias("n_negados"))
+    for part in (best("verb_lemma"), best("object_lemma"), spread("role"), spread("voice")):
+        out = out.join(part, cluster, "left")
+    return out
+
+
+def similar_pairs(items: DataFrame, key: str, vector: str, least: float = 0.72, top: int = 15, bands: int = 12, bits: int = 10, seed: int = 7) -> DataFrame:
+    """key_1 < key_2 and coseno of vectors at least so alike, each with its ``top`` best: paraphrases, related nouns.
+
+    Candidates share a band of signs of seeded random projections; a pair is made once, in the first band that
+    it shares, and its cosine is exact. The recall hangs on bands and bits and should be measured against brute force.
+    """
+    import numpy as np
+    from pyspark.sql import Window
+
+    from tesela.functions.vectors import cosine
+
+    dim = items.select(F.max(F.size(vector))).first()[0] or 1
+    planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
+
+    @F.pandas_udf("array<long>")
+    def signs(vectors: pd.Series) -> pd.Series:
+        x = np.stack(vectors.map(lambda v: np.asarray(v, float)).to_list())
+        on = (x @ planes.T > 0).reshape(len(x), bands, bits)
+        return pd.Series(list((on * (1 << np.arange(bits))).sum(axis=2)))
+
+    usable = items.where((F.size(vector) == dim) & F.exists(vector, lambda v: v != 0)).select(key, vector)
+    marked = usable.withColumn("_s", signs(vector)).checkpoint()
+    exploded = marked.select(key, vector, "_s", F.posexplode("_s").alias("banda", "cubo"))
+    other = exploded.select(F.col(key).alias("_k"), F.col(vector).alias("_v"), F.col("_s").alias("_t"), "banda", "cubo")
+    first = F.array_position(F.zip_with("_s", "_t", lambda a, b: a == b), True) - 1
+    pairs = exploded.join(other, ["banda", "cubo"]).where((F.col(key) < F.col("_k")) & (first == F.col("banda")))
+    alike = pairs.select(F.col(key).alias("key_1"), F.col("_k").alias("key_2"), cosine(F.col(vector), F.col("_v")).alias("coseno")).where(F.col("coseno") >= least)
+    rank = F.row_number().over(Window.partitionBy("key_1").orderBy(F.desc("coseno"), "key_2"))
+    return alike.withColumn("puesto", rank).where(F.col("puesto") <= top)
+
+
+def expansions(frames: DataFrame, related: DataFrame) -> DataFrame:
+    """Frames of an entity with each related noun in its place, marked as expansions, without places of their own."""
+    new = frames.join(related.select(F.col("key_1").alias("entity_lemma"), F.col("key_2").alias("_n")), "entity_lemma")
+    return frames.withColumn("is_expansion", F.lit(False)).unionByName(new.withColumn("entity_lemma", F.col("_n")).withColumn("entity_text", F.col("_n")).drop("_n").withColumn("is_expansion", F.lit(True)))

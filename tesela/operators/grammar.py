@@ -325,3 +325,71 @@ def marked_html(texts: DataFrame, spans: DataFrame, key: str, text: str) -> Data
         return F.concat(F.substring(t, F.lit(1), s.inicio), F.lit('<span class="'), s.clase, F.lit('">'), inner, F.lit("</span>"), F.substring(t, s.fin + 1, F.length(t)))
 
     return joined.select(key, F.aggregate(F.coalesce("s", F.array().cast("array<struct<inicio:int,fin:int,clase:string>>")), F.col(text), put).alias("html"))
+
+
+CONTENT = ("NOUN", "VERB", "ADJ", "ADV")
+MARKERS = ("PRON", "SCONJ", "CCONJ", "INTJ", "DET", "AUX", "ADP")
+#: Words that open a new sentence of speech, and those that do so before a comma and a verb.
+PIVOTS, PIVOTS_BEFORE_VERB = ("bueno", "entonces"), ("pues", "mira", "claro", "verdad", "bueno", "entonces")
+
+
+def unit_projection(tokens: DataFrame) -> DataFrame:
+    """Per unit: tokens (alphabetic, no marks), content lemmas with place and class, and markers (function words)."""
+    alpha = F.col("is_alpha") & ~F.col("is_punct")
+    content = F.col("pos").isin(*CONTENT) & ~F.col("is_stop") & F.col("is_alpha")
+    marker = ~content & F.col("is_alpha") & (F.col("is_stop") | F.col("pos").isin(*MARKERS))
+    ordered = lambda condition, *fields: F.sort_array(F.collect_list(F.when(condition, F.struct("i", *fields))))
+    got = tokens.groupBy("doc_id", "uce_id").agg(ordered(alpha, "text").alias("t"), ordered(content, "text", "lemma", "pos").alias("f"), ordered(marker, "lower").alias("m"))
+    return got.select("doc_id", "uce_id", F.col("t.text").alias("tokens"), F.col("f").alias("formas"), F.col("f.lemma").alias("lemmas"), F.col("f.pos").alias("pos_tags"), F.col("m.lower").alias("marcadores"))
+
+
+def pivot_starts(tokens: DataFrame) -> DataFrame:
+    """Tokens at which speech starts a sentence: a pivot word, or one before a comma and a verb."""
+    window = Window.partitionBy("doc_id", "uce_id").orderBy("i")
+    before_verb = F.col("lower").isin(*PIVOTS_BEFORE_VERB) & (F.lead("text", 1).over(window) == ",") & (F.lead("pos", 2).over(window) == "VERB")
+    return tokens.withColumn("inicia", F.col("lower").isin(*PIVOTS) | F.coalesce(before_verb, F.lit(False)))
+
+
+def has_substance(tokens: DataFrame, least: int = 4) -> DataFrame:
+    """Units with at least ``least`` content words: only these can be a boundary."""
+    return tokens.groupBy("doc_id", "uce_id").agg((F.count_if(F.col("pos").isin(*CONTENT)) >= least).alias("sustancia"))
+
+
+def dependency_profile(tokens: DataFrame) -> DataFrame:
+    """Map of relative frequencies of dependency labels in each unit."""
+    counts = tokens.groupBy("doc_id", "uce_id", "dep").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("doc_id", "uce_id"))
+    return counts.withColumn("p", F.col("n") / total).groupBy("doc_id", "uce_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dep", "p")))).alias("perfil"))
+
+
+def profile_distance(a: Column, b: Column) -> Column:
+    """1 - cosine of two maps of frequencies."""
+    both = F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0.0)) * F.coalesce(y, F.lit(0.0)))
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, v: s + v)
+    square = lambda m: total(F.transform_values(m, lambda _, v: v * v))
+    scale = F.sqrt(square(a) * square(b))
+    return F.when(scale > 0, 1 - total(both) / scale).otherwise(1.0)
+
+
+def surprisal_map(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Per unit a map from a content token's start to its surprisal in bits by the lexicon."""
+    rate = lexicon.select(F.col("word").alias("lower"), "subtlwf")
+    scored = tokens.where(F.col("pos").isin(*CONTENT) & F.col("is_alpha") & F.col("char_start").isNotNull()).join(rate, "lower", "left")
+    bits = -F.log2(F.greatest(F.coalesce("subtlwf", F.lit(0.01)) / 1e6, F.lit(1e-10)))
+    return scored.groupBy("doc_id", "uce_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("char_start", bits.alias("bits"))))).alias("sorpresa"))
+
+
+def context_embedding(tokens: DataFrame, vectors: DataFrame, dim: int, width: int = 2) -> DataFrame:
+    """Per token the mean vectors to the left, of itself and to the right, one after another; their norm is the density."""
+    joined = tokens.join(vectors.select(F.col("word").alias("lower"), "vec"), "lower", "left")
+    window = Window.partitionBy("doc_id", "uce_id").orderBy("i")
+    side = lambda low, high: F.array(*(F.coalesce(F.avg(F.col("vec")[k].cast("double")).over(window.rowsBetween(low, high)), F.lit(0.0)) for k in range(dim)))
+    whole = F.concat(side(-width, -1), side(0, 0), side(1, width))
+    return joined.select(*SENTENCE, "i", whole.alias("contexto")).withColumn("densidad", F.sqrt(F.aggregate("contexto", F.lit(0.0), lambda s, x: s + x * x)))
+
+
+def in_negation(verbs: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Verbs with negacion: whether the start lies in a negation's scope [lo, hi] of the same sentence."""
+    key = [*SENTENCE, "i"]
+    inside = verbs.join(scopes, SENTENCE).where("char_start between lo and hi").select(*key).distinct().withColumn("negacion", F.lit(True))
+    return verbs.join(inside, key, "left").fillna(False, ["negacion"])

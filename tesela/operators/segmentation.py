@@ -345,3 +345,34 @@ def sliding_windows(units: DataFrame, doc: str, order: str, text: str, width: in
         shorter = F.array_join(F.slice("_w", F.greatest(F.lit(1), F.lit(k + 1)), F.greatest(F.lit(1), F.size("_w") - k)), " ")
         shrunk = F.when(F.length(shrunk) > most, shorter).otherwise(shrunk)
     return out.withColumn("ventana", shrunk).drop("_w")
+
+
+def shifts(units: DataFrame, doc: str, order: str, vector: str, profile: str, substance: str, least: float = 0.6, far: float = 0.4) -> DataFrame:
+    """Adds cambio_de_tema: both neighbours have substance and their cosine is under ``least`` or their label profiles over ``far`` apart."""
+    from tesela.operators.grammar import profile_distance
+
+    window = Window.partitionBy(doc).orderBy(order)
+    apart = (cosine(F.lag(vector).over(window), F.col(vector)) < least) | (profile_distance(F.lag(profile).over(window), F.col(profile)) > far)
+    return units.withColumn("cambio_de_tema", F.coalesce(apart & F.col(substance) & F.lag(substance).over(window), F.lit(False)))
+
+
+def progressive(marked: DataFrame, doc: str, order: str) -> DataFrame:
+    """Adds segmento: a new one starts at each change of topic; a running sum, as the test is between neighbours."""
+    window = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("segmento", F.sum(F.col("cambio_de_tema").cast("int")).over(window).cast("int"))
+
+
+def overflow_pieces(n_tokens: int, most: int, scores: list[float]) -> list[list[int]]:
+    """Sentences of a segment over its token budget, in n // most + 1 pieces cut at the strongest boundaries."""
+    return merge_lowest(scores, n_tokens // most + 1) if n_tokens > most else [list(range(len(scores) + 1))]
+
+
+def term_stream(units: DataFrame, unit: str, *arrays: str) -> DataFrame:
+    """unit, termino: stems, bigrams and trigrams of a unit in one stream."""
+    joined = F.concat(*(F.coalesce(F.col(a), F.array().cast("array<string>")) for a in arrays))
+    return units.select(unit, F.explode(joined).alias("termino")).where("termino is not null and termino <> ''")
+
+
+def global_offsets(spans: DataFrame, start_of_unit: str, *columns: str) -> DataFrame:
+    """Places in a unit as places in its document."""
+    return spans.withColumns({c: F.col(c) + F.col(start_of_unit) for c in columns})

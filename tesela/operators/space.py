@@ -154,3 +154,56 @@ def cd_weight(cd, is_oov=None):
     """Inverse of contextual diversity; 1 for an unknown word."""
     plain = 1 / (cd + 1e-6)
     return plain if is_oov is None else F.when(is_oov, 1.0).otherwise(plain)
+
+
+def term_embeddings(weights: DataFrame, unit: str, dim: int, term: str = "termino", value: str = "ppmi", most: int = 2000) -> DataFrame:
+    """word, vec: V sqrt(sigma) of the unit by term matrix, over its ``most`` most frequent terms.
+
+    The terms' Gram matrix is added up in Spark from pairs within a unit (at most ``most`` squared numbers) and
+    solved on the driver, so terms are rows of V, not of U.
+    """
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), term))
+    frequent = weights.groupBy(term).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), term).limit(most).withColumn("j", rank - 1)
+    names = [r[term] for r in frequent.orderBy("j").collect()]
+    if not names:
+        return weights.sparkSession.createDataFrame([], "word string, vec array<double>")
+    kept = weights.join(F.broadcast(frequent.select(term, "j")), term).groupBy(unit).agg(F.collect_list(F.struct("j", value)).alias("x"))
+    pairs = kept.select("x", F.explode("x").alias("a")).select("a", F.explode("x").alias("b"))
+    sums = pairs.groupBy(F.col("a.j").alias("a"), F.col("b.j").alias("b")).agg(F.sum(F.col(f"a.{value}") * F.col(f"b.{value}")).alias("g")).collect()
+    gram = np.zeros((len(names), len(names)))
+    for r in sums:
+        gram[r["a"], r["b"]] = r["g"]
+    values, vectors = np.linalg.eigh(gram)
+    order = np.argsort(values)[::-1][:dim]
+    values, vectors = np.maximum(values[order], 0), vectors[:, order]
+    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(order))] < 0, -1, 1)
+    rows = [(w, [float(x) for x in v]) for w, v in zip(names, vectors * values**0.25)]
+    return weights.sparkSession.createDataFrame(rows, "word string, vec array<double>")
+
+
+def aligned(source: DataFrame, target: DataFrame, dim_source: int, dim_target: int, ridge: float = 1e-6) -> DataFrame:
+    """``source`` vectors in the space of ``target``, by least squares over the words both have.
+
+    The normal equations are added up in Spark: dim_source x (dim_source + dim_target) numbers.
+    """
+    both = source.select("word", F.col("vec").alias("s")).join(target.select("word", F.col("vec").alias("t")), "word")
+    left = [F.sum(F.col("s")[i] * F.col("s")[j]).alias(f"a{i}_{j}") for i in range(dim_source) for j in range(i, dim_source)]
+    right = [F.sum(F.col("s")[i] * F.col("t")[j].cast("double")).alias(f"b{i}_{j}") for i in range(dim_source) for j in range(dim_target)]
+    got = both.agg(*left, *right).first()
+    a, b = np.eye(dim_source) * ridge, np.zeros((dim_source, dim_target))
+    for i in range(dim_source):
+        for j in range(i, dim_source):
+            a[i, j] += got[f"a{i}_{j}"] or 0.0
+            a[j, i] = a[i, j]
+        for j in range(dim_target):
+            b[i, j] = got[f"b{i}_{j}"] or 0.0
+    w = np.linalg.solve(a, b)
+    return source.select("word", F.array(*(sum((F.col("vec")[i] * float(w[i, j]) for i in range(1, dim_source)), F.col("vec")[0] * float(w[0, j])) for j in range(dim_target))).alias("vec"))
+
+
+def centroid_export(centroids: DataFrame, scored: DataFrame, label: str, term: str = "termino", top: int = 10) -> DataFrame:
+    """Centroids with the ``top`` positive terms of their class by chi-square."""
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.desc("chi2_yates"), term))
+    best = scored.where("phi > 0").withColumn("r", rank).where(F.col("r") <= top)
+    listed = best.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("r", term))).alias("t")).select(label, F.col(f"t.{term}").alias("terminos"))
+    return centroids.join(listed, label, "left")

@@ -105,3 +105,19 @@ select uce_id, hit, cast(inicio as int) as inicio, substring(texto, greatest(ini
 def kwic_tengo_que(spark: SparkSession, folder: str) -> DataFrame:
     """Concordance of "tengo que" in the units."""
     return grammar.kwic(units(spark, folder, "texto"), "uce_id", "texto", "tengo que")
+
+
+@query("unit_projections")
+def unit_projections(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens, content lemmas, word classes and markers of each unit by the built-in tagger."""
+    return grammar.unit_projection(tokens(spark, folder)).drop("formas")
+
+
+@query("complexity_profile")
+def complexity_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(grammar.complexity(tokens(spark, folder)))
+
+
+@query("negation_profile")
+def negation_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return grammar.negations(tokens(spark, folder)).groupBy("tipo", "alcance_pos").agg(F.count(F.lit(1)).alias("n"))

@@ -300,3 +300,34 @@ def retrofitted_vectors(spark: SparkSession, folder: str) -> DataFrame:
     moved = space.retrofit(vectors, constraint_graph(spark, folder).withColumn("peso", F.lit(1.0)), DIM, rounds=3)
     both = vectors.join(moved.withColumnRenamed("vec", "nuevo"), "word")
     return rounded(both.select("word", cosine(F.col("vec"), F.col("nuevo")).alias("coseno")), 5)
+
+
+@query("double_classification")
+def double_classification(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of the elementary units that hold at two sizes of context unit, and how many units keep theirs."""
+    from tesela.operators.pipeline import double_classification as run
+
+    u = units(spark, folder, "doc_id", "local_idx", "stems").where("doc_id is not null and local_idx is not null")
+    first = u.dropDuplicates(["doc_id", "local_idx"])
+    return run(first)[0].groupBy("clase", "estable").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("term_embeddings")
+def term_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of the two hundred most frequent stems from their PPMI."""
+    return space.term_embeddings(space.ppmi(matrix(spark, folder)[0], "uce_id"), "uce_id", 16, most=200).withColumn("vec", F.transform("vec", lambda x: F.round(x, 5)))
+
+
+@query("similar_stems")
+def similar_stems(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of those stems that are alike."""
+    from tesela.operators.coref import similar_pairs
+
+    return rounded(similar_pairs(term_embeddings(spark, folder), "word", "vec", 0.8), 5)
+
+
+@query("centroid_export")
+def centroid_export(spark: SparkSession, folder: str) -> DataFrame:
+    """Centroids of the classes with their most telling stems."""
+    m, k = matrix(spark, folder)
+    return space.centroid_export(class_centroids(spark, folder), terms.characteristic_terms(m, k, "uce_id", "cluster_id"), "cluster_id")

@@ -112,3 +112,14 @@ def agents(path: str) -> list[dict]:
     """Agent settings (name, role, instructions, json_schema, few_shot_examples, gram_cats, disc_cats) in the order of their names."""
     found = settings(path)
     return [{"name": k, "gram_cats": [], "disc_cats": [], "few_shot_examples": [], **v} for k, v in sorted(found.items())] if os.path.exists(path) else []
+
+
+def contextual_diversity(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
+    """word and cd of a table with the columns Word and SUBTLCD (a percentage)."""
+    rows = spark.read.csv(path, sep=sep, header=True)
+    return rows.select(F.lower("Word").alias("word"), (F.expr("try_cast(SUBTLCD as double)") / 100).alias("cd")).where("word is not null").dropDuplicates(["word"])
+
+
+def stable_units(units: DataFrame) -> DataFrame:
+    """Stable units in the order of documents and places; a missing place is 0."""
+    return units.where("is_stable").orderBy("doc_id", F.coalesce("local_idx", F.lit(0)))
