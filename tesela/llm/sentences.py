@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts of the training sample, at most.
+#: Texts of the training sample, at most, and their greatest length: both bound what the driver holds.
+SAMPLE_LENGTH = 20_000
 SAMPLE_TEXTS = 3000
 
 # Abbreviations. Those that always have something after them, and those that may be a sentence's last word.
@@ -368,8 +369,8 @@ def train(texts: Iterable[str | None], l2: float = 0.05, steps: int = 60) -> Mod
 
 
 def train_on(df: DataFrame, text: str, sample: int = SAMPLE_TEXTS) -> Model:
-    """A model from at most ``sample`` texts of the table."""
-    rows = df.select(text).where(F.col(text).isNotNull()).limit(sample).collect()
+    """A model from at most ``sample`` texts of the table, none longer than SAMPLE_LENGTH characters."""
+    rows = df.select(text).where(F.char_length(text) <= SAMPLE_LENGTH).limit(sample).collect()
     return train(r[0] for r in rows)
 
 
