@@ -27,13 +27,14 @@ def merged_chains(chains: DataFrame, least: float = 85.0) -> DataFrame:
     Pairs are sought among representatives that share a word only; the components of the pairs do not hang on the
     order of the chains.
     """
-    named = chains.select("doc_id", "chain_id", T.representative(F.col("representative")).alias("rep")).where("rep <> ''")
-    words = named.select("*", F.explode(F.array_distinct(F.split("rep", " "))).alias("w"))
-    other = words.select("doc_id", "w", F.col("chain_id").alias("otra"), F.col("rep").alias("rep2"))
-    pairs = words.join(other, ["doc_id", "w"]).where("chain_id < otra").where(likeness(F.col("rep"), F.col("rep2")) >= least)
-    edges = pairs.select(F.concat_ws("/", "doc_id", "chain_id").alias("a"), F.concat_ws("/", "doc_id", "otra").alias("b")).distinct()
+    named = chains.select("doc_id", "chain_id", T.representative(F.col("representative")).alias("rep"))
+    # chains of one representative are one already; only different ones are compared
+    words = named.where("rep <> ''").select("doc_id", "rep").distinct().select("*", F.explode(F.array_distinct(F.split("rep", " "))).alias("w"))
+    other = words.select("doc_id", "w", F.col("rep").alias("rep2"))
+    pairs = words.join(other, ["doc_id", "w"]).where("rep < rep2").where(likeness(F.col("rep"), F.col("rep2")) >= least)
+    edges = pairs.select(F.concat_ws("/", "doc_id", "rep").alias("a"), F.concat_ws("/", "doc_id", "rep2").alias("b")).distinct()
     groups = label_communities(edges)
-    keyed = chains.withColumn("nodo", F.concat_ws("/", "doc_id", "chain_id"))
+    keyed = named.withColumn("nodo", F.when(F.col("rep") == "", F.concat_ws("/", "doc_id", "chain_id")).otherwise(F.concat_ws("/", "doc_id", "rep")))
     return keyed.join(groups, "nodo", "left").select("doc_id", "chain_id", F.coalesce("grupo", F.xxhash64("nodo")).alias("entidad"))
 
 
@@ -187,6 +188,7 @@ def cluster_summary(frames: DataFrame, cluster: str, top: int = 5) -> DataFrame:
 def similar_pairs(items: DataFrame, key: str, vector: str, least: float = 0.72, top: int = 15, bands: int = 12, bits: int = 10, seed: int = 7) -> DataFrame:
     """key_1 < key_2 and coseno of vectors at least so alike, each with its ``top`` best: paraphrases, related nouns.
 
+    Of equal vectors the least key stands for all: copies are not paired with one another.
     Candidates share a band of signs of seeded random projections; a pair is made once, in the first band that
     it shares, and its cosine is exact. The recall hangs on bands and bits and should be measured against brute force.
     """
@@ -204,7 +206,7 @@ def similar_pairs(items: DataFrame, key: str, vector: str, least: float = 0.72,
         on = (x @ planes.T > 0).reshape(len(x), bands, bits)
         return pd.Series(list((on * (1 << np.arange(bits))).sum(axis=2)))
 
-    usable = items.where((F.size(vector) == dim) & F.exists(vector, lambda v: v != 0)).select(key, vector)
+    usable = items.where((F.size(vector) == dim) & F.exists(vector, lambda v: v != 0)).groupBy(vector).agg(F.min(key).alias(key)).select(key, vector)
     marked = usable.withColumn("_s", signs(vector)).checkpoint()
     exploded = marked.select(key, vector, "_s", F.posexplode("_s").alias("banda", "cubo"))
     other = exploded.select(F.col(key).alias("_k"), F.col(vector).alias("_v"), F.col("_s").alias("_t"), "banda", "cubo")

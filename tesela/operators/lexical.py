@@ -20,14 +20,23 @@ def vocabulary(terms: DataFrame, unit: str, term: str = "termino", min_units: in
     return with_rank(kept, [F.col(term)], "indice", start=0)
 
 
-def with_rank(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
-    """Adds a running number in ``order``: a range sort, then an offset for each partition."""
-    placed = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id())
+def with_rank(df: DataFrame, order: list[Column], name: str, start: int = 1, by: str | None = None) -> DataFrame:
+    """Adds a running number in ``order``, anew for each value of ``by`` if given; no task sees all rows.
+
+    A range sort is written to the checkpoint folder with the place of each row in its partition, so that
+    all that is counted from it sees the same partitions; a row's number is its place and the sizes of the
+    partitions before. With ``by`` the first number of each value is taken off.
+    """
+    keys = [*([F.col(by)] if by else []), *order]
+    placed = df.orderBy(*keys).withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id()).checkpoint()
     sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_n").alias("_first"))
     before = F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
-    starts = sizes.select("_p", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-    ranked = placed.join(F.broadcast(starts), "_p").withColumn(name, (F.col("_n") - F.col("_first") + F.col("_before") + start).cast("long"))
-    return ranked.drop("_p", "_n", "_first", "_before")
+    starts = sizes.select("_p", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    numbered = placed.join(F.broadcast(starts), "_p").withColumn(name, (F.col("_n") + F.col("_shift") + start).cast("long")).drop("_p", "_n", "_shift")
+    if by is None:
+        return numbered
+    first = numbered.groupBy(by).agg(F.min(name).alias("_least"))
+    return numbered.join(first, by).withColumn(name, F.col(name) - F.col("_least") + start).drop("_least")
 
 
 def incidence(terms: DataFrame, unit: str, vocab: DataFrame, term: str = "termino") -> DataFrame:

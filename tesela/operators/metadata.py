@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesela.functions.distributions import chi2_sf, f_sf
+from tesela.operators.lexical import with_rank
 
 
 def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
@@ -54,11 +55,11 @@ def permutation_test(df: DataFrame, unit: str, label: str, variable: str, rounds
     """p = (rounds with a chi-square of at least the observed one, plus 1) / (rounds + 1), labels dealt anew by a seeded hash."""
     known = df.where(F.col(label).isNotNull() & F.col(variable).isNotNull()).select(unit, label, variable)
     dealt = known.withColumn("vuelta", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-    window = Window.partitionBy("vuelta")
+    window = Window.partitionBy("vuelta")  # of cells, not of units
     # round 0 keeps the order: the observed table
-    by_unit = F.row_number().over(window.orderBy(F.when(F.col("vuelta") == 0, 0).otherwise(F.xxhash64(unit, "vuelta", F.lit(seed))), unit))
-    places = dealt.select("vuelta", variable, by_unit.alias("n"))
-    labels = dealt.select("vuelta", label, F.row_number().over(window.orderBy(unit)).alias("n"))
+    shuffled = F.when(F.col("vuelta") == 0, 0).otherwise(F.xxhash64(unit, "vuelta", F.lit(seed)))
+    places = with_rank(dealt, [shuffled, F.col(unit)], "n", by="vuelta").select("vuelta", variable, "n")
+    labels = with_rank(dealt, [F.col(unit)], "n", by="vuelta").select("vuelta", label, "n")
     cells = places.join(labels, ["vuelta", "n"]).groupBy("vuelta", label, variable).agg(F.count(F.lit(1)).alias("o"))
     nr = F.sum("o").over(Window.partitionBy("vuelta", label))
     nc = F.sum("o").over(Window.partitionBy("vuelta", variable))
@@ -108,15 +109,15 @@ def forest(df: DataFrame, label: str, categories: list[str], numbers: list[str]
         stages.append(Imputer(inputCols=plain, outputCols=[f"{c}_m" for c in plain], strategy="median"))
         inputs += [f"{c}_m" for c in plain]
     stages += [VectorAssembler(inputCols=inputs, outputCol="features"), RandomForestClassifier(labelCol="_l", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)]
-    data = data.withColumn("_fold", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(folds))).cache()
+    data = data.withColumn("_id", F.monotonically_increasing_id()).withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(folds))).checkpoint()
     train, test = data.where("_fold > 0"), data.where("_fold = 0")
     model = Pipeline(stages=stages).fit(train)
     held = model.transform(test)
     base = held.agg(F.avg((F.col("prediction") == F.col("_l")).cast("double"))).first()[0] or 0.0
     rows = []
     for c in [*categories, *numbers]:
-        keyed = test.withColumn("_k", F.row_number().over(Window.partitionBy("_fold").orderBy(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed + 1)))))
-        donor = test.select(F.col(c).alias("_v"), F.row_number().over(Window.partitionBy("_fold").orderBy(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed + 2)))).alias("_k"))
+        keyed = with_rank(test.withColumn("_h", F.xxhash64("_id", F.lit(seed + 1))), [F.col("_h"), F.col("_id")], "_k").drop("_h")
+        donor = with_rank(test.select(F.col(c).alias("_v"), "_id", F.xxhash64("_id", F.lit(seed + 2)).alias("_h")), [F.col("_h"), F.col("_id")], "_k").drop("_h", "_id")
         dealt = keyed.join(donor, "_k").drop(c, "_k").withColumnRenamed("_v", c)
         loss = model.transform(dealt).agg(F.avg((F.col("prediction") == F.col("_l")).cast("double"))).first()[0] or 0.0
         rows.append((c, float(base - loss), float(base)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesela.functions.distributions import CHI2_95, chi2_sf
+from tesela.operators.lexical import with_rank
 
 
 def yates(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -66,14 +67,13 @@ def with_p_values(terms: DataFrame, label: str) -> DataFrame:
 def permutation_thresholds(incidence: DataFrame, classes: DataFrame, unit: str, label: str, term: str = "termino", rounds: int = 20, seed: int = 42, q: float = 0.95) -> DataFrame:
     """Per term and class, the ``q`` quantile of (a - E)^2 / E when labels are dealt anew ``rounds`` times.
 
-    The labels of each round are those of the units in the order of a seeded hash, so a round is a sort
-    of the units within itself, not of all rounds together.
+    The labels of each round are those of the units in the order of a seeded hash; both orders come from a
+    range sort, so no task holds a round.
     """
     known = classes.where(F.col(label).isNotNull() & (F.col(label) != -1)).select(unit, label)
-    order = Window.partitionBy("vuelta")
     dealt = known.withColumn("vuelta", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    places = dealt.select("vuelta", unit, F.row_number().over(order.orderBy(F.xxhash64(unit, "vuelta", F.lit(seed)), unit)).alias("n"))
-    labels = dealt.select("vuelta", label, F.row_number().over(order.orderBy(label, unit)).alias("n"))
+    places = with_rank(dealt.select("vuelta", unit), [F.xxhash64(unit, "vuelta", F.lit(seed)), F.col(unit)], "n", by="vuelta")
+    labels = with_rank(dealt, [F.col(label), F.col(unit)], "n", by="vuelta").drop(unit)
     shuffled = places.join(labels, ["vuelta", "n"]).select("vuelta", unit, label)
     size = known.groupBy(label).agg(F.count(F.lit(1)).alias("n_clase"))
     n = known.count()
