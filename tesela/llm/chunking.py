@@ -113,14 +113,15 @@ def split_oversized(texts: DataFrame, config: DataFrame, only_oversized: bool =
     Columns: tabla, clave, pieza (from 0), inicio and fin (code points), palabras, limite_natural
     (whether it ends at a natural boundary), trozo. Neighbours share exactly solape_tokens words. A text
     within its limit is one piece; a null text or one without words has none. A null or unknown
-    config_id means configuration 1. Words are counted in the JVM; only oversized texts go to Python.
+    config_id means configuration 1, without which nothing is cut; further columns, whatever their names, are
+    left behind. Words are counted in the JVM; only oversized texts go to Python.
     """
     limits = config.select(
         "config_id", F.col("max_tokens_por_uce").alias("limite"), F.col("solape_tokens").alias("solape")
     ).dropDuplicates(["config_id"])
     first = limits.where("config_id = 1").select(F.col("limite").alias("limite_1"), F.col("solape").alias("solape_1"))
     usual = first.first()
-    known = texts.join(limits, "config_id", "left").withColumns(
+    known = texts.select("tabla", "clave", "texto", "config_id").join(limits, "config_id", "left").withColumns(
         {
             "limite": F.coalesce("limite", F.lit(usual["limite_1"] if usual else None).cast("int")),
             "solape": F.coalesce("solape", F.lit(usual["solape_1"] if usual else None).cast("int"), F.lit(0)),

@@ -64,7 +64,7 @@ def test_frame_with_odd_rows(spark):
     long = "palabra " * 5000
     rows = [("t", "1", "corto", 1, "x"), ("t", "1", "corto", 1, "x"), ("t", "2", None, 1, "x"), ("t", "3", "", None, "x"), ("t", "4", long, None, "x"), ("t", "5", long, 99, "x")]
     texts = spark.createDataFrame(rows, "tabla string, clave string, texto string, config_id int, limite string")
-    texts = texts.drop("limite")
+    texts = texts.withColumn("n", texts.limite).withColumn("piezas", texts.limite)
     config = spark.createDataFrame([(1, 5, 100, 10), (2, 5, 50, 0)], "config_id int, min_tokens_por_uce int, max_tokens_por_uce int, solape_tokens int")
     got = chunking.split_oversized(texts, config).collect()
     by = {}
