@@ -89,3 +89,13 @@ def test_empty_tables(spark):
     t = frame(spark, []) if False else spark.createDataFrame([], SCHEMA)
     for rule in (grammar.negations, grammar.pronouns, grammar.verbs, grammar.quantifiers, grammar.adverbs, grammar.discourse_markers, grammar.insubordinations, grammar.rarities, grammar.complexity):
         assert rule(t).count() == 0
+
+
+def test_adverb_model(spark):
+    from tesela.operators import adverb_model
+
+    model, accuracy = adverb_model.train(adverb_model.examples(spark))
+    assert accuracy > 0.8
+    some = spark.createDataFrame([("Lo hizo ayer", "ayer"), ("Dijo torpemente que sí", "torpemente")], "oracion string, adverbio string")
+    got = {r["adverbio"]: r for r in adverb_model.classify(some, model).collect()}
+    assert got["ayer"]["categoria"] == "tiempo" and got["ayer"]["confianza"] == 1.0 and 0 < got["torpemente"]["confianza"] < 1
