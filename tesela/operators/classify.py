@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tesela.functions.distributions import CHI2_95
 
-#: Non-zero cells of one tree node that its kernel takes, at most; a larger node is cut by its first factor from joins.
-NODE_CELLS = 20_000_000
+#: Non-zero cells of one tree node that its kernel takes, at most; a larger node is cut by joins (large_cut).
+NODE_CELLS = 5_000_000
 
 
 def first_factor(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n: int, m: int, pseudo: float = 0.01, steps: int = 100) -> np.ndarray:
@@ -111,18 +111,93 @@ def swap(rows: np.ndarray, cols: np.ndarray, n: int, m: int, right: np.ndarray,
     return right
 
 
-def cdh(incidence: DataFrame, unit: str, term: str = "termino", min_share: float = 0.1, min_size: int = 5, max_depth: int = 10, min_r2: float = 0.05, passes: int = 2, pseudo: float = 0.01, weight: str | None = None) -> tuple[DataFrame, list[tuple]]:
+def large_cut(cells: DataFrame, unit: str, least: int, min_r2: float = 0.05, passes: int = 2, pseudo: float = 0.01, rounds: int = 20, bins: int = 4096) -> DataFrame | None:
+    """(unit, right) of a node too large for a kernel, or None if it is a leaf.
+
+    The first factor is the same reciprocal averaging with two joins a round, written to the checkpoint folder.
+    The cut is the best among ``bins`` equal steps of the axis. Swaps are made for all units at once in each pass
+    and not one by one, so the result can differ from a kernel's in single units near the border.
+    """
+    rows = cells.groupBy(unit).agg(F.sum("w").alias("r"))
+    cols = cells.groupBy("t").agg(F.sum("w").alias("c"))
+    n, m = rows.count(), cols.count()
+    if n < 2 * least or m < 2:
+        return None
+    start = F.pmod(F.xxhash64(unit, F.lit(42)), F.lit(1 << 30)) / float(1 << 29) - 1
+    rows = rows.select(unit, (F.col("r") + pseudo * m).alias("r"), start.alias("x")).checkpoint()
+    cols = cols.withColumn("c", F.col("c") + pseudo * n).checkpoint()
+    for _ in range(rounds):
+        of_x = rows.agg(F.sum("x")).first()[0]
+        z = cells.join(rows.select(unit, "x"), unit).groupBy("t").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
+        z = z.join(cols, "t").select("t", ((F.col("s") + pseudo * of_x) / F.col("c")).alias("z")).checkpoint()
+        of_z = z.agg(F.sum("z")).first()[0]
+        y = cells.join(z, "t").groupBy(unit).agg(F.sum(F.col("w") * F.col("z")).alias("s")).join(rows, unit)
+        y = y.select(unit, "r", "x", ((F.col("s") + pseudo * of_z) / F.col("r")).alias("y")).checkpoint()
+        mass, first, second = y.agg(F.sum("r"), F.sum(F.col("r") * F.col("y")), F.sum(F.col("r") * F.col("y") * F.col("y"))).first()
+        mean = first / mass
+        length = np.sqrt(max(second / mass - mean * mean, 0.0))
+        if length < 1e-12:
+            return None
+        new = (F.col("y") - mean) / length
+        same, turned = y.agg(F.max(F.abs(new - F.col("x"))), F.max(F.abs(new + F.col("x")))).first()
+        rows = y.select(unit, "r", new.alias("x"))
+        if min(same, turned) < 1e-4:
+            break
+    low, high = rows.agg(F.min("x"), F.max("x")).first()
+    if high <= low:
+        return None
+    step = (high - low) / bins
+    counted = rows.groupBy(F.least(F.floor((F.col("x") - low) / step), F.lit(bins - 1)).alias("b")).agg(F.count(F.lit(1)).alias("k"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    table = np.array(sorted((r["b"], r["k"], r["s"], r["q"]) for r in counted.collect()), dtype=float)  # at most ``bins`` rows
+    k, left = np.cumsum(table[:, 1])[:-1], np.cumsum(table[:, 2])[:-1]
+    total = table[:, 2].sum()
+    if not len(k):
+        return None
+    between = left**2 / k + (total - left) ** 2 / (n - k) - total**2 / n
+    at = int(between.argmax())
+    whole = table[:, 3].sum() - total**2 / n
+    r2 = between[at] / whole if whole > 0 else 0.0
+    if n * r2 < 3.84 or r2 < min_r2:
+        return None
+    border = low + (table[at, 0] + 1) * step
+    sides = rows.select(unit, (F.col("x") >= border).alias("right"))
+    present = cells.where("w > 0").select(unit, "t")
+    for _ in range(passes):
+        sides = sides.checkpoint()
+        sizes = {r["right"]: r["count"] for r in sides.groupBy("right").count().collect()}
+        n0, n1 = float(sizes.get(False, 0)), float(sizes.get(True, 0))
+        if min(n0, n1) <= 1:
+            break
+        counts = present.join(sides, unit).groupBy("t").agg(F.count_if(~F.col("right")).alias("c0"), F.count_if("right").alias("c1"))
+
+        def chi(c0, c1, a, b):
+            t = c0 + c1
+            e0, e1 = t * (a / (a + b)), t * (b / (a + b))
+            return F.pow(c0 - e0, 2) / F.greatest(e0, F.lit(1e-12)) + F.pow(c1 - e1, 2) / F.greatest(e1, F.lit(1e-12))
+
+        c0, c1 = F.col("c0").cast("double"), F.col("c1").cast("double")
+        old = chi(c0, c1, n0, n1)
+        gain = F.when(F.col("right"), chi(c0 + 1, c1 - 1, n0 + 1, n1 - 1) - old).otherwise(chi(c0 - 1, c1 + 1, n0 - 1, n1 + 1) - old)
+        gains = present.join(sides, unit).join(counts, "t").groupBy(unit).agg(F.sum(gain).alias("g"))
+        sides = sides.join(gains, unit, "left").select(unit, F.when(F.col("g") > 0, ~F.col("right")).otherwise(F.col("right")).alias("right"))
+    sides = sides.checkpoint()
+    sizes = [r["count"] for r in sides.groupBy("right").count().collect()]
+    return sides if len(sizes) == 2 and min(sizes) >= least else None
+
+
+def cdh(incidence: DataFrame, unit: str, term: str = "termino", min_share: float = 0.1, min_size: int = 5, max_depth: int = 10, min_r2: float = 0.05, passes: int = 2, pseudo: float = 0.01, weight: str | None = None, node_cells: int = NODE_CELLS) -> tuple[DataFrame, list[tuple]]:
     """Descending hierarchical classification of the (unit, term) table.
 
     Returns ((unit, nodo, clase), tree rows (nodo, padre, profundidad, n, hoja)). Each level cuts all open
     nodes at once, a node in one kernel under ``applyInPandas``: first factor, best cut, test (n R^2 of at
-    least 3.84 and R^2 of at least ``min_r2``), swaps. A part under the least size makes its node a leaf.
+    least 3.84 and R^2 of at least ``min_r2``), swaps. A node of more than ``node_cells`` cells goes to
+    :func:`large_cut` instead, so that no task holds it. A part under the least size makes its node a leaf.
     Classes are numbered in the order of the leaves from left to right. The level's assignment is written
     to the checkpoint folder.
     """
     spark = incidence.sparkSession
     w = F.col(weight) if weight else F.lit(1.0)
-    cells = incidence.select(unit, F.xxhash64(term).alias("t"), w.cast("double").alias("w"))
+    cells = incidence.select(unit, F.xxhash64(term).alias("t"), w.cast("double").alias("w")).checkpoint()
     assigned = cells.select(unit).distinct().withColumn("nodo", F.lit("0")).checkpoint()
     n_all = assigned.count()
     least = max(min_size, int(n_all * min_share))
@@ -152,7 +227,16 @@ def cdh(incidence: DataFrame, unit: str, term: str = "termino", min_share: float
         if not open_nodes:
             break
         active = cells.join(assigned.where(F.col("nodo").isin(open_nodes)), unit)
-        done = assigned.where(~F.col("nodo").isin(open_nodes))
+        large = sorted(r["nodo"] for r in active.groupBy("nodo").count().where(F.col("count") > node_cells).collect())
+        for node in large:
+            own = active.where(F.col("nodo") == node).drop("nodo").checkpoint()
+            sides = large_cut(own, unit, least, min_r2, passes, pseudo)
+            if sides is not None:
+                moved = sides.select(unit, F.when(F.col("right"), node + "1").otherwise(node + "0").alias("nodo"))
+                assigned = assigned.where(F.col("nodo") != node).union(moved).checkpoint()
+        small = [x for x in open_nodes if x not in large]
+        active = active.where(F.col("nodo").isin(small))
+        done = assigned.where(~F.col("nodo").isin(small))
         assigned = done.union(active.groupBy("nodo").applyInPandas(cut, schema).select(unit, "nodo")).checkpoint()
         sizes = {r["nodo"]: r["count"] for r in assigned.groupBy("nodo").count().collect()}  # at most 1 / min_share rows
         grown = []

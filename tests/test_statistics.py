@@ -89,6 +89,14 @@ def test_cdh_finds_the_blocks(blocks):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, assigned.collect()))
 
 
+def test_cdh_by_joins_finds_the_same_blocks(blocks):
+    assigned, tree = classify.cdh(blocks, "u", node_cells=400)
+    kinds = {}
+    for r in assigned.collect():
+        kinds.setdefault(r["clase"], set()).add(int(r["u"][1:]) % 2)
+    assert len(kinds) >= 2 and all(len(k) == 1 for k in kinds.values()) and sum(t[3] for t in tree if t[4]) == 120
+
+
 def test_swap_and_density():
     rows = np.repeat(np.arange(8), 2)
     cols = np.array([0, 1] * 4 + [2, 3] * 4)
