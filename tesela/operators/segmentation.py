@@ -71,24 +71,70 @@ def elementary_units(texts: DataFrame, key: str, text: str, ideal: int = IDEAL_T
     return texts.select(key, F.col(text).alias("_t")).mapInArrow(run, f"`{key}` {kind}, local_idx int, start_char int, end_char int, n_tokens int, texto string")
 
 
-def context_units(units: DataFrame, doc: str, order: str, size: str, min_forms: int = 10) -> DataFrame:
+def context_units(units: DataFrame, doc: str, order: str, size: str, min_forms: int = 10, block: int = 100_000) -> DataFrame:
     """Adds uc_idx: a unit closes its context unit once ``size`` adds up to ``min_forms``; the rest is one too.
 
-    The running sum starts anew at each close, so it is a fold over the document's units; it goes through
-    the sorted array of a document in the JVM, and carries (order, size) only.
+    The running sum starts anew at each close, so it is a fold over the document's units in order. A document is
+    parted into blocks of ``block`` units. What a block does to each of the ``min_forms`` sums it can begin with is
+    found side by side; the blocks of a document are then folded (one row each), and each block is run once from
+    the sum it really begins with. So no task holds a document, whatever share of the units it has. A null size is 0.
     """
-    ordered = units.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("int").alias("s")))).alias("us"))
-    start = F.struct(F.lit(0).alias("suma"), F.lit(0).alias("uc"), F.array().cast(f"array<struct<o:{dict(units.dtypes)[order]},uc:int>>").alias("lista"))
-
-    def step(state: Column, u: Column) -> Column:
-        total = state.suma + u.s
-        closed = total >= min_forms
-        return F.struct(
-            F.when(closed, 0).otherwise(total).alias("suma"), F.when(closed, state.uc + 1).otherwise(state.uc).alias("uc"),
-            F.concat(state.lista, F.array(F.struct(u.o.alias("o"), state.uc.alias("uc")))).alias("lista"),
-        )
-
-    placed = ordered.select(doc, F.explode(F.aggregate("us", start, step).lista).alias("x")).select(doc, F.col("x.o").alias(order), F.col("x.uc").alias("uc_idx"))
+    numbered = units.select(doc, order, F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("int"), F.lit(0)).alias("_s"))
+    window = Window.partitionBy(doc).orderBy(order)
+    if units.groupBy(doc).count().where(F.col("count") > block).limit(1).count():
+        from tesela.operators.lexical import with_rank
+
+        placed = with_rank(numbered, [F.col(order)], "_i", start=0, by=doc)
+        parts = placed.withColumn("_b", F.floor(F.col("_i") / block).cast("int"))
+    else:
+        parts = numbered.withColumn("_i", F.row_number().over(window) - 1).withColumn("_b", F.lit(0))
+    kinds = dict(units.dtypes)
+    lists = parts.groupBy(doc, "_b").agg(F.sort_array(F.collect_list(F.struct("_i", F.col(order).alias("o"), F.col("_s").alias("s")))).alias("us"))
+
+    def moves(starts: pd.Series) -> pd.Series:
+        out = []
+        for us in starts:
+            total, closed = np.arange(min_forms), np.zeros(min_forms, dtype=np.int64)
+            for s in us:
+                total = total + s
+                full = total >= min_forms
+                closed += full
+                total[full] = 0
+            out.append({"suma": total.tolist(), "cerradas": closed.tolist()})
+        return pd.DataFrame(out)
+
+    known = lists.where("_b > 0").limit(1).count()
+    if known:
+        table = F.pandas_udf(moves, "struct<suma:array<long>,cerradas:array<long>>")
+        done = lists.select(doc, "_b", table(F.transform("us", lambda u: u.s)).alias("m"))
+        chain = done.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("_b", "m"))).alias("bs"))
+        begin = F.struct(F.lit(0).cast("long").alias("suma"), F.lit(0).cast("long").alias("uc"), F.array().cast("array<struct<_b:int,suma:long,uc:long>>").alias("r"))
+
+        def link(state: Column, x: Column) -> Column:
+            row = F.struct(x["_b"].alias("_b"), state.suma.alias("suma"), state.uc.alias("uc"))
+            at = (state.suma + 1).cast("int")
+            return F.struct(F.element_at(x["m"]["suma"], at).alias("suma"), (state.uc + F.element_at(x["m"]["cerradas"], at)).alias("uc"), F.concat(state.r, F.array(row)).alias("r"))
+
+        starts = chain.select(doc, F.explode(F.aggregate("bs", begin, link).r).alias("x")).select(doc, "x._b", F.col("x.suma").cast("int").alias("_suma"), F.col("x.uc").cast("int").alias("_uc"))
+        lists = lists.join(starts, [doc, "_b"])
+    else:
+        lists = lists.withColumn("_suma", F.lit(0)).withColumn("_uc", F.lit(0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                us = batch.column("us")[row].values
+                sizes = us.field("s").to_pylist()
+                total, uc, index = batch.column("_suma")[row].as_py(), batch.column("_uc")[row].as_py(), np.empty(len(sizes), dtype=np.int32)
+                for i, s in enumerate(sizes):
+                    index[i] = uc
+                    total += s
+                    if total >= min_forms:
+                        total, uc = 0, uc + 1
+                keys = batch.column(doc).take(pa.array(np.full(len(sizes), row)))
+                yield pa.RecordBatch.from_arrays([keys, us.field("o"), pa.array(index)], [doc, order, "uc_idx"])
+
+    placed = lists.select(doc, "us", "_suma", "_uc").mapInArrow(run, f"`{doc}` {kinds[doc]}, `{order}` {kinds[order]}, uc_idx int")
     return units.join(placed, [doc, order])
 
 

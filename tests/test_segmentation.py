@@ -25,6 +25,22 @@ def test_context_units_of_the_fixture(spark):
     assert [(r["doc"], r["uc_idx"]) for r in got] == [(1, 0)] * 3 + [(1, 1)] * 2 + [(2, 0)]
 
 
+def test_context_units_by_blocks_are_the_same(spark):
+    r = np.random.default_rng(4)
+    rows = [(d, i, int(r.integers(0, 9))) for d in range(3) for i in range(200 if d else 7)]
+    frame = spark.createDataFrame(rows, "doc int, i int, n int")
+    whole = sorted(map(tuple, seg.context_units(frame, "doc", "i", "n", 10).select("doc", "i", "uc_idx").collect()))
+    assert sorted(map(tuple, seg.context_units(frame, "doc", "i", "n", 10, block=16).select("doc", "i", "uc_idx").collect())) == whole
+    for d in range(3):
+        at, uc = 0, 0
+        for doc, i, n in rows:
+            if doc == d:
+                assert (d, i, uc) in whole
+                at += n
+                if at >= 10:
+                    at, uc = 0, uc + 1
+
+
 def test_smoothing_of_the_fixture(spark):
     frame = spark.createDataFrame([(1, i, float(s)) for i, s in enumerate([1, 0, 1, 0])], "d int, i int, s double")
     got = [r["suave"] for r in seg.smoothed(frame, "d", "i", "s").orderBy("i").collect()]
