@@ -32,7 +32,7 @@ def compose(text: Column) -> Column:
 
 def normalize(text: Column, composed: bool = False) -> Column:
     """Byte order mark off, straight quotes, control characters (but tab and line ends) to spaces."""
-    text = F.ltrim(text, F.lit("﻿")) if False else F.regexp_replace(text, "^\\x{feff}+", "")
+    text = F.regexp_replace(text, "^\\x{feff}+", "")
     text = compose(text) if composed else text
     text = F.translate(text, "“”«»‘’", "\"\"\"\"''")
     return F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", " ")
