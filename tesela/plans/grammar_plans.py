@@ -17,6 +17,11 @@ def tokens(spark: SparkSession, folder: str) -> DataFrame:
     return grammar.rule_tokens(u, "doc_id", "uce_id", "texto")
 
 
+def kept_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, written once for rules that read them several times."""
+    return tokens(spark, folder).checkpoint()
+
+
 def _listed(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
@@ -54,22 +59,22 @@ def pronoun_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("pronoun_profile")
 def pronoun_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(grammar.pronoun_profile(grammar.pronouns(tokens(spark, folder))))
+    return rounded(grammar.pronoun_profile(grammar.pronouns(kept_tokens(spark, folder))))
 
 
 @query("adverb_profile")
 def adverb_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return grammar.adverbs(tokens(spark, folder)).groupBy("categoria", "frase").agg(F.count(F.lit(1)).alias("n"))
+    return grammar.adverbs(kept_tokens(spark, folder)).groupBy("categoria", "frase").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("discourse_markers")
 def discourse_markers(spark: SparkSession, folder: str) -> DataFrame:
-    return grammar.discourse_markers(tokens(spark, folder)).groupBy("categoria", "frase", "posicion").agg(F.count(F.lit(1)).alias("n"))
+    return grammar.discourse_markers(kept_tokens(spark, folder)).groupBy("categoria", "frase", "posicion").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("marker_density")
 def marker_density(spark: SparkSession, folder: str) -> DataFrame:
-    t = tokens(spark, folder)
+    t = kept_tokens(spark, folder)
     return rounded(grammar.marker_density(t, grammar.discourse_markers(t)).select("uce_id", "palabras", "marcadores", "densidad"))
 
 
@@ -91,7 +96,7 @@ def insubordination_profile(spark: SparkSession, folder: str) -> DataFrame:
 @query("grammar_summary")
 def grammar_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every attribute of the annotations, by family."""
-    t = tokens(spark, folder)
+    t = kept_tokens(spark, folder)
     found = grammar.annotations(negacion=grammar.negations(t).select("doc_id", "uce_id", "i", "tipo"), verbo=grammar.verbs(t).select("doc_id", "uce_id", "i", "voz", "perifrasis"), cuantificador=grammar.quantifiers(t).select("doc_id", "uce_id", "i", "tipo"), marcador=grammar.discourse_markers(t).select("doc_id", "uce_id", "i", "categoria", "posicion"))
     return grammar.feature_counts(found)
 
@@ -115,9 +120,9 @@ def unit_projections(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("complexity_profile")
 def complexity_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(grammar.complexity(tokens(spark, folder)))
+    return rounded(grammar.complexity(kept_tokens(spark, folder)))
 
 
 @query("negation_profile")
 def negation_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return grammar.negations(tokens(spark, folder)).groupBy("tipo", "alcance_pos").agg(F.count(F.lit(1)).alias("n"))
+    return grammar.negations(kept_tokens(spark, folder)).groupBy("tipo", "alcance_pos").agg(F.count(F.lit(1)).alias("n"))
