@@ -143,7 +143,7 @@ def p3_clases(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     classes = of_class.select("cluster_id").distinct().count()
-    return terms.divergence_scores(counts, "cluster_id", max(classes, 1)).drop("campo")
+    return terms.divergence_scores(counts, "cluster_id", max(classes, 1)).drop("campo").withColumn("puntaje", F.round("puntaje", 6))
 
 
 ORACLES["p3_found"] = f"""{_COUNTS}
@@ -160,6 +160,18 @@ select uc_id, termino, tf, apariciones, unidades, round((log2(1 + lam) + tfn * l
 """
 
 
+ORACLES["p3_clases"] = f"""{_COUNTS},
+k as (select cluster_id, termino, sum(tf) as tf from tf where campo = 'lemmas' and cluster_id is not null and cluster_id <> -1 group by all),
+nc as (select cast(count(distinct cluster_id) as double) as n from u where cluster_id is not null and cluster_id <> -1),
+f as (select termino, sum(tf) as apariciones, count(*) as unidades from k group by termino),
+l as (select cluster_id, cast(sum(tf) as double) as largo from k group by cluster_id),
+m as (select sum(largo) / any_value(nc.n) as largo_medio from l, nc),
+s as (select cluster_id, termino, cast(tf as bigint) as tf, cast(apariciones as bigint) as apariciones, unidades, apariciones / nc.n as lam,
+    tf * log2(1 + largo_medio / largo) as tfn from k join f using (termino) join l using (cluster_id), m, nc)
+select cluster_id, termino, tf, apariciones, unidades, round((log2(1 + lam) + tfn * log2((1 + lam) / lam)) / (tfn + 1), 6) as puntaje from s
+"""
+
+
 def _baskets(spark: SparkSession, folder: str) -> DataFrame:
     """The distinct lemmas of each context unit."""
     counts = terms.record_terms(units(spark, folder, "lemmas"), "uc_id", "lemmas")
