@@ -83,7 +83,15 @@ def verb_profile(spark: SparkSession, folder: str) -> DataFrame:
     return grammar.verbs(tokens(spark, folder)).groupBy("pos", "voz", "perifrasis").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("subordination_profile")
+_SUBORDINATORS = ", ".join(f"('{k}', '{a}', {repr(b) if b else 'null'})" for k, (a, b) in es.SUBORDINATORS.items() if " " not in k)
+#: Words that the tagger has in a class before that of subordinators.
+_EARLIER = _listed([*es.ARTICLES, *es.PREPOSITIONS, *es.PRONOUNS, *es.AUXILIARIES, *es.CONJUNCTIONS])
+
+
+@query(
+    "subordination_profile",
+    f"with {_TOKENS}, l(w, tipo, subtipo) as (values {_SUBORDINATORS}) select w as lower, tipo, subtipo, count(*) as n from k join l using (w) where w not in ({_EARLIER}) group by all",
+)
 def subordination_profile(spark: SparkSession, folder: str) -> DataFrame:
     return grammar.subordinations(tokens(spark, folder)).groupBy("lower", "tipo", "subtipo").agg(F.count(F.lit(1)).alias("n"))
 

@@ -316,7 +316,18 @@ def _edges(spark: SparkSession, folder: str) -> DataFrame:
     return network.association(pairs, v, n).where("ppmi > 0").select("a", "b", "conteo", "ppmi")
 
 
-@query("network_degree")
+_NETWORK = f"""{UNITS}, {sql_terms('stems')}, nn as (select count(*) as n, greatest(20, count(*) // 200) as lim from u),
+v as (select termino, count(distinct uce_id) as unidades from t group by termino having count(distinct uce_id) >= (select lim from nn)),
+m as (select distinct uce_id, termino from t join v using (termino)),
+e as (select a.termino as a, b.termino as b, count(*) as conteo from m a join m b on a.uce_id = b.uce_id and a.termino < b.termino group by all having count(*) >= (select lim from nn)),
+g as (select e.*, ln(((conteo + 1) / n) / (((p.unidades + 1) / n) * ((q.unidades + 1) / n))) / ln(2.0) as ppmi from e join v p on p.termino = e.a join v q on q.termino = e.b, nn)"""
+
+
+@query(
+    "network_degree",
+    f"""with {_NETWORK}, x as (select a as nodo, ppmi from g where ppmi > 0 union all select b, ppmi from g where ppmi > 0)
+select nodo, count(*) as grado, round(sum(ppmi), 6) as grado_peso from x group by nodo""",
+)
 def network_degree(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(network.degrees(_edges(spark, folder), "ppmi"))
 

@@ -274,7 +274,12 @@ def class_dendrogram(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(factor.merge_frame(spark, factor.class_dendrogram(m, scored, k, "uce_id", "cluster_id", 0)), 9)
 
 
-@query("semantic_diversity")
+@query(
+    "semantic_diversity",
+    f"""with {_VECTORS}, n as (select uc_id, doc_id, list_transform(v, lambda q: q / sqrt(list_dot_product(v, v))) as v from e), d as (select doc_id, unnest(v) as q, generate_subscripts(v, 1) as j from n),
+s as (select doc_id, j, sum(q) as s from d group by all), r as (select doc_id, sum(s * s) as r from s group by doc_id), c as (select doc_id, count(*) as n from n group by doc_id)
+select doc_id, n, round(1 - (r - n) / (n * (n - 1)), 6) as diversidad from r join c using (doc_id) where n > 1""".replace(", c as (select doc_id", ", cc as (select doc_id").replace("join c using", "join cc using"),
+)
 def semantic_diversity(spark: SparkSession, folder: str) -> DataFrame:
     """Mean cosine distance of the context units of an interview."""
     from tesela.functions.vectors import usable
