@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A cell is dense with at least this share of all usable units, so there are at most 1 / share of them.
-DENSE_SHARE, DENSE_LEAST = 0.0005, 4
+#: A cell is dense with at least this share of all usable units, so there are at most 1 / share of them; of few units, with four, else two.
+DENSE_SHARE, DENSE_LEAST = 0.0005, (4, 2)
 #: Edge of a cell, in the space of unit vectors.
 CELL = 0.4
+#: If fewer groups than names are found, as happens with few units, the cells are made wider by these factors.
+WIDER = (1.0, 1.25, 1.5, 2.0)
 #: Means closer than this belong to one group.
 SAME_GROUP = 0.8
 
@@ -216,11 +218,24 @@ def cluster(
     if not usable or not names:
         means = np.zeros((0, dim))
     else:
-        least_units = max(DENSE_LEAST, int(np.ceil(usable * DENSE_SHARE)))
-        components = dense_components(grid_cells(units, embedding, axes, cell), least_units)
-        means = group_directions(components, len(names), dim)
+        means = np.zeros((0, dim))
+        for wider in WIDER:
+            cells = grid_cells(units, embedding, axes, cell * wider).checkpoint()
+            for least_units in dict.fromkeys(max(n, int(np.ceil(usable * DENSE_SHARE))) for n in DENSE_LEAST):
+                found = group_directions(dense_components(cells, least_units), len(names), dim)
+                means = found if len(found) > len(means) else means
+                if len(means) == len(names):
+                    break
+            if len(means) == len(names):
+                break
         if len(means):
             means = refined(units, embedding, means, least)
+        if 0 < len(means) < len(names):  # once more over what no group holds
+            rest = assign(units, embedding, means, least, (key, embedding)).where("grupo is null")
+            more = group_directions(dense_components(grid_cells(rest, embedding, axes, cell * WIDER[-1]).checkpoint(), DENSE_LEAST[-1]), len(names), dim)
+            apart = [m for m in more if (means @ m < SAME_GROUP).all()][: len(names) - len(means)]
+            if apart:
+                means = refined(units, embedding, np.vstack([means, *apart]), least)
     members = assign(units, embedding, means, least, (key, label)).checkpoint()
     votes = members.where(F.col("grupo").isNotNull() & F.col(label).isin(names)).groupBy("grupo", label).count().collect() if names else []
     named: dict[int, int] = {}
