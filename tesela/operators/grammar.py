@@ -197,6 +197,7 @@ def phrases(tokens: DataFrame, lexicon: dict[str, str], most: int = 5) -> DataFr
     table = lookup(tokens.sparkSession, pairs, "frase string, categoria string, n int")
     window = Window.partitionBy("doc_id", "uce_id").orderBy("i")
     words = tokens.where("not is_punct").select(*SENTENCE, "i", "lower", *(F.lead("lower", k).over(window).alias(f"w{k}") for k in range(1, most)))
+    words = words.where(_in(F.col("lower"), sorted({w.split()[0] for w, *_ in pairs})))  # only where a phrase can begin
     longest = max(n for *_, n in pairs)
     spans = F.array(*(F.when(F.lit(True) if k == 1 else F.col(f"w{k - 1}").isNotNull(), F.struct(F.concat_ws(" ", "lower", *(f"w{j}" for j in range(1, k))).alias("frase"), F.lit(k).alias("n"))) for k in range(1, min(most, longest) + 1)))
     hits = words.select(*SENTENCE, "i", F.explode(F.filter(spans, lambda x: x.isNotNull())).alias("x")).select(*SENTENCE, "i", "x.frase", "x.n").join(table, ["frase", "n"])
