@@ -55,9 +55,11 @@ def mix(
     """(records of the mix, report by source) of ``sized`` (doc_id, source, n_tokens).
 
     ``targets`` (source, cuota, max_repeticiones) is a small fixed table and read by the driver. The
-    total is, unless given, the greatest at which every source that has tokens gets its share within
-    its repetitions; shares of sources without any go to the others in proportion. It is cut into equal
-    blocks, apportioned to the sources and then, for each source, to shards of about ``shard_tokens``.
+    total is, unless given, all tokens of the sources with a target; shares of sources without any
+    tokens go to the others in proportion. It is cut into equal blocks, apportioned to the sources and
+    then, for each source, to shards of about ``shard_tokens``. A source too scarce for its blocks gives
+    all its records at their full repetitions; what it lacks is not given to others, who have their
+    blocks already, so the mix is smaller by it and ``cuota_real`` tells the shares that result.
     In a shard the records follow in an order drawn by ``seed``; a quota of several times the shard's
     tokens repeats all of it, and the rest takes the first records whose running sum comes nearest.
     A source of one third of all rows so is spread over many tasks. Records of a null or unknown source,
@@ -76,11 +78,9 @@ def mix(
     spark = sized.sparkSession
     have = {r["source"]: r["t"] for r in clean.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     weights = {s: goals[s][0] for s in have}
-    share = {s: w / sum(weights.values()) for s, w in weights.items()}
-    total = total_tokens or int(min((have[s] * goals[s][1] / share[s] for s in have), default=0))
+    total = total_tokens or sum(have.values())
     block = max(1.0, total / blocks)
-    caps = {s: int(have[s] * goals[s][1] // block) for s in have}
-    given = apportion(weights, round(total / block), caps)
+    given = apportion(weights, round(total / block))
     # shards: their number follows the size of the source
     shards = {s: max(1, -(-have[s] // shard_tokens)) for s in have}
     n_shards = F.create_map(*(F.lit(x) for kv in shards.items() for x in kv)) if shards else F.create_map(F.lit(""), F.lit(1))
@@ -92,6 +92,9 @@ def mix(
         sizes[r["source"]][r["shard"]] = r["t"]
     quotas = []
     for s, by_shard in sizes.items():
+        if given[s] * block >= have[s] * goals[s][1]:  # scarce: all of it, whatever the blocks of its shards
+            quotas.extend((s, k, goals[s][1], 0.0, goals[s][1]) for k in by_shard)
+            continue
         top = {k: int(t * goals[s][1] // block) + 1 for k, t in by_shard.items()}
         for k, n in apportion({k: float(t) for k, t in by_shard.items()}, given[s], top).items():
             quota = min(n * block, float(by_shard[k] * goals[s][1]))

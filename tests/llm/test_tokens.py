@@ -77,6 +77,23 @@ def test_mix(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, every))
 
 
+def test_a_scarce_source_bounds_only_itself(spark):
+    rows = [(i, "a", 100) for i in range(600)] + [(1000 + i, "b", 100) for i in range(200)] + [(2000, "c", 7)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 2), ("c", 0.1, 2)], "source string, cuota double, max_repeticiones int")
+    records, report = mixing.mix(sized, targets, shard_tokens=20_000)
+    got = {x["source"]: x for x in report.collect()}
+    assert got["c"]["tokens_mezcla"] == 14 and got["c"]["repeticion_maxima"] == 2  # all there is, less than a block or not
+    assert got["a"]["tokens_mezcla"] == pytest.approx(0.5 * 80_007, abs=300)
+    assert got["b"]["tokens_mezcla"] == pytest.approx(0.4 * 80_007, abs=300) and got["b"]["repeticion_maxima"] == 2
+    assert sum(x["cuota_real"] for x in got.values()) == pytest.approx(1)
+    few = {x["source"]: x for x in mixing.mix(sized, targets, blocks=10)[1].collect()}
+    assert few["c"]["tokens_mezcla"] == 14
+    once = targets.selectExpr("source", "cuota", "1 as max_repeticiones")  # shares are kept where nothing may repeat
+    alone = {x["source"]: x["tokens_mezcla"] for x in mixing.mix(sized, once)[1].collect()}
+    assert alone["a"] == pytest.approx(0.5 * 80_007, abs=300) and alone["b"] == 20_000 and alone["c"] == 7
+
+
 def test_mix_of_nothing(spark):
     sized = spark.createDataFrame([], "doc_id long, source string, n_tokens int")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, cuota double, max_repeticiones int")
