@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 EXACT_CLASSES = 512
 #: A vocabulary of up to so many items is broadcast; a larger one is joined by exchange.
 BROADCAST_ITEMS = 200_000
+#: Parts into which the rows of an item are dealt when they are joined by exchange.
+SALTS = 16
 #: Width of a class of -log10 p when q values are made, and the number of such classes.
 P_STEP, P_CLASSES = 0.02, 20_000
 
@@ -83,27 +85,34 @@ def item_counts(baskets: DataFrame, items: str) -> DataFrame:
     return baskets.select(F.explode(items).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _join_items(rows: DataFrame, vocabulary: DataFrame, on: str, spread: str, small: bool) -> DataFrame:
+    """``rows`` with the columns of their item: a small vocabulary is broadcast, a larger one repeated for
+    each of SALTS parts of the rows (by ``spread``), so that no task gets all rows of a frequent item."""
+    if small:
+        return rows.join(F.broadcast(vocabulary), on)
+    salted = rows.withColumn("sal", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    each = vocabulary.withColumn("sal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(each, [on, "sal"]).drop("sal")
+
+
 def pair_counts(baskets: DataFrame, items: str, counts: DataFrame, name: str, n_records: int, min_pairs: int, per: int, lift: int):
-    """Vocabulary and exact counts of the pairs that can reach the bounds.
+    """Exact counts of all pairs, or of those that hold the bounds.
 
-    ``baskets`` holds each record's distinct items. A pair with n_ab >= min_pairs, per n_ab >= N and
-    n_ab N >= lift n_a n_b has both items in at least min_pairs and N / per records and in at most
-    N / lift: so other items are left out before any pair is made, and no pair that counts is lost.
-    Pairs are summed in each partition before the exchange. Returns (vocabulary, pairs).
+    ``baskets`` holds each record's distinct items. A bound of 0 (``per``, ``lift``) or 1 (``min_pairs``)
+    is none. A pair with n_ab >= min_pairs, per n_ab >= N and n_ab N >= lift n_a n_b has both items in at
+    least min_pairs and N / per records and in at most N / lift: so other items are left out before any
+    pair is made, and no pair that counts is lost. Pairs are summed in each partition before the exchange.
     """
-    least = max(min_pairs, -(-n_records // per))
+    least = max(min_pairs, -(-n_records // per) if per else 1)
     vocabulary = (
         counts.where((F.col("n") >= least) & (F.col("n") * lift <= n_records))
         .withColumn("id", F.monotonically_increasing_id())
         .checkpoint()
     )
-    # at most (items per record) x per of them, as each is in N / per records
     small = vocabulary.count() <= BROADCAST_ITEMS
-    hint = F.broadcast if small else (lambda df: df)
+    held = baskets.withColumn("r", F.monotonically_increasing_id()).select("r", F.explode(items).alias("item"))
     ids = (
-        baskets.withColumn("r", F.monotonically_increasing_id())
-        .select("r", F.explode(items).alias("item"))
-        .join(hint(vocabulary.select("item", "id")), "item")
+        _join_items(held, vocabulary.select("item", "id"), "item", "r", small)
         .groupBy("r")
         .agg(F.sort_array(F.collect_list("id")).alias("ids"))
     )
@@ -112,13 +121,13 @@ def pair_counts(baskets: DataFrame, items: str, counts: DataFrame, name: str, n_
         .select("a", F.explode(F.slice(F.col("ids"), F.col("i") + 2, F.size("ids"))).alias("b"))
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("n_ab"))
-        .where((F.col("n_ab") >= min_pairs) & (F.col("n_ab") * per >= n_records))
+        .where(F.col("n_ab") >= least)
     )
-    one = hint(vocabulary.select(F.col("id").alias("a"), F.col("item").alias("item_1"), F.col("n").alias("n_1")))
-    two = hint(vocabulary.select(F.col("id").alias("b"), F.col("item").alias("item_2"), F.col("n").alias("n_2")))
-    named = pairs.join(one, "a").join(two, "b").where(F.col("n_ab") * n_records >= lift * F.col("n_1") * F.col("n_2"))
+    one = vocabulary.select(F.col("id").alias("a"), F.col("item").alias("item_1"), F.col("n").alias("n_1"))
+    two = vocabulary.select(F.col("id").alias("b"), F.col("item").alias("item_2"), F.col("n").alias("n_2"))
+    named = _join_items(_join_items(pairs, one, "a", "b", small), two, "b", "a", small).where(F.col("n_ab") * n_records >= lift * F.col("n_1") * F.col("n_2"))
     forward = F.col("item_1") < F.col("item_2")
-    return vocabulary, named.select(
+    return named.select(
         F.least("item_1", "item_2").alias(f"{name}_a"),
         F.greatest("item_1", "item_2").alias(f"{name}_b"),
         F.when(forward, F.col("n_1")).otherwise(F.col("n_2")).alias("n_a"),
@@ -128,14 +137,16 @@ def pair_counts(baskets: DataFrame, items: str, counts: DataFrame, name: str, n_
 
 
 def pair_surprise(
-    baskets: DataFrame, items: str, name: str, n_records: int, min_pairs: int = 5, per: int = 2000, lift: int = 20
+    baskets: DataFrame, items: str, name: str, n_records: int, min_pairs: int = 1, per: int = 0, lift: int = 0
 ) -> DataFrame:
     """Pairs of items with their count, what chance gives, and how surprising the count is.
 
     Columns: item_a < item_b, n_a, n_b, n_ab, ``esperado`` (mean under the bipartite configuration
     null, which keeps the frequency of items and the size of records), ``veces`` (n_ab over it),
-    ``p`` (Poisson-binomial upper tail) and ``q`` (Benjamini-Hochberg over all pairs of the vocabulary,
+    ``p`` (Poisson-binomial upper tail) and ``q`` (Benjamini-Hochberg over all pairs of all items,
     rounded up to the next class of P_STEP in -log10 p). An empty input gives an empty result.
+    Every pair held by a record comes out, those below chance with p and q of 1. With bounds (see
+    ``pair_counts``) only the pairs that hold them do, and q is an upper bound, as the others have no rank.
     ``baskets`` has the array ``items`` of each record's distinct items, null for none; it is written once
     to the checkpoint folder, as it is read for the frequencies, the sizes and the pairs.
 
@@ -143,7 +154,7 @@ def pair_surprise(
     """
     baskets = baskets.select(items).where(F.size(items) > 0).checkpoint()
     counts = item_counts(baskets, items).checkpoint()
-    vocabulary, pairs = pair_counts(baskets, items, counts, name, n_records, min_pairs, per, lift)
+    pairs = pair_counts(baskets, items, counts, name, n_records, min_pairs, per, lift)
     by_degree = (
         counts.groupBy(_class_of(F.col("n")).alias("c")).agg(F.count(F.lit(1)).alias("items"), F.avg("n").alias("n")).collect()
     )
@@ -161,19 +172,23 @@ def pair_surprise(
 
     def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            xa, xb = (np.exp(np.interp(np.log(batch[c].to_numpy(float)), log_degrees, log_x)) for c in ("n_a", "n_b"))
+            # many pairs share their three counts
+            low, high = np.minimum(batch["n_a"], batch["n_b"]), np.maximum(batch["n_a"], batch["n_b"])
+            own, of = np.unique(np.column_stack([low, high, batch["n_ab"]]).astype(float), axis=0, return_inverse=True)
+            xa, xb = (np.exp(np.interp(np.log(own[:, i]), log_degrees, log_x)) for i in (0, 1))
             q = (np.outer(xa, y) / (1 + np.outer(xa, y))) * (np.outer(xb, y) / (1 + np.outer(xb, y)))
             mean = (q * records).sum(axis=1)
-            n = batch["n_ab"].to_numpy(float)
+            n = own[:, 2]
             p = np.maximum(poisson_binomial_tail(q, records, n), 1e-300)
-            yield batch.assign(esperado=mean, veces=n / mean, p=p)
+            of = of.ravel()
+            yield batch.assign(esperado=mean[of], veces=(n / mean)[of], p=p[of])
 
     schema = f"{name}_a string, {name}_b string, n_a long, n_b long, n_ab long, esperado double, veces double, p double"
-    tested = pairs.mapInPandas(tails, schema).withColumn(
+    tested = pairs.sortWithinPartitions("n_a", "n_b", "n_ab").mapInPandas(tails, schema).withColumn(
         "c", F.least(F.floor(-F.log10("p") / P_STEP), F.lit(P_CLASSES)).cast("int")
     ).checkpoint()
     histogram = {r["c"]: r["count"] for r in tested.groupBy("c").count().collect()}
-    n_items = vocabulary.count()
+    n_items = counts.count()
     tests, seen, q, rows = n_items * (n_items - 1) / 2, sum(histogram.values()), 1.0, []
     for c in sorted(histogram):  # from the largest p down
         q = min(q, 10 ** (-c * P_STEP) * tests / seen, 1.0)

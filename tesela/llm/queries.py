@@ -181,12 +181,13 @@ def _baskets(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of lemmas that hold the bounds and exceed what the null expects."""
-    return p4_pares(spark, folder).where("veces > 1").select("lemma_a", "lemma_b")
+    bounded = cooc.pair_surprise(_baskets(spark, folder), "lemmas", "lemma", count_units(spark, folder), min_pairs=5, per=2000, lift=20)
+    return bounded.where("veces > 1").select("lemma_a", "lemma_b")
 
 
 @query
 def p4_pares(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of lemmas with their counts, expectation, tail probability and q value."""
+    """Every two lemmas of a unit with their counts, expectation, tail probability and q value."""
     return cooc.pair_surprise(_baskets(spark, folder), "lemmas", "lemma", count_units(spark, folder))
 
 

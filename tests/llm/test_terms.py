@@ -92,6 +92,36 @@ def test_pairs_against_brute_force(spark):
     assert planted["veces"] > 5 and planted["q"] < 1e-6 and all(0 < v["p"] <= 1 and v["q"] >= v["p"] for v in got.values())
 
 
+@pytest.mark.parametrize("broadcast_items", [200_000, 0])
+def test_all_pairs_of_items_of_any_frequency(spark, monkeypatch, broadcast_items):
+    import random
+
+    monkeypatch.setattr(cooc, "BROADCAST_ITEMS", broadcast_items)
+    r = random.Random(6)
+    sets = [{"todo"} | {f"w{r.randrange(40)}" for _ in range(r.randrange(0, 5))} | ({"par_a", "par_b"} if r.random() < 0.1 else set()) for _ in range(300)]
+    frame = spark.createDataFrame([(sorted(s),) for s in sets], "lemmas array<string>")
+    got = {(x["lemma_a"], x["lemma_b"]): x for x in cooc.pair_surprise(frame, "lemmas", "lemma", 300).collect()}
+    assert {k: v["n_ab"] for k, v in got.items()} == brute_pairs(sets, 300, 1, 300, 0) and ("par_a", "todo") in got
+    f = Counter(x for s in sets for x in s)
+    assert all((v["n_a"], v["n_b"]) == (f[a], f[b]) for (a, b), v in got.items())
+    ranked, tests, q = sorted((v["p"], k) for k, v in got.items()), len(f) * (len(f) - 1) / 2, 1.0
+    for i in range(len(ranked), 0, -1):  # Benjamini-Hochberg over all pairs, those of no record with p = 1
+        p, k = ranked[i - 1]
+        q = min(q, p * tests / i)
+        assert q * 0.999 <= got[k]["q"] <= min(1, q * 10**cooc.P_STEP * 1.001)
+    assert got["par_a", "par_b"]["q"] < 1e-6
+
+
+def test_query_keeps_pairs_below_the_bounds_of_found(spark, tmp_path):
+    from tesela.llm import queries
+
+    rows = [(f"u{i}", ["todo", "a", "b"] if i < 2 else ["todo", f"x{i % 5}"]) for i in range(40)]
+    spark.createDataFrame(rows, "uc_id string, lemmas array<string>").write.parquet(str(tmp_path / "ucs.parquet"))
+    got = {(x["lemma_a"], x["lemma_b"]): x["n_ab"] for x in queries.queries()["p4_pares"](spark, str(tmp_path)).collect()}
+    assert got["a", "b"] == 2 and got["a", "todo"] == 2 and len(got) == 8
+    assert queries.queries()["p4_found"](spark, str(tmp_path)).count() == 0
+
+
 def test_pairs_of_nothing(spark):
     frame = spark.createDataFrame([], "lemmas array<string>")
     assert cooc.pair_surprise(frame, "lemmas", "lemma", 0).count() == 0
