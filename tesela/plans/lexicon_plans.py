@@ -307,12 +307,16 @@ def cooc_weights(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(network.association(edges, v, units(spark, folder).count()))
 
 
-def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    """The network of the kernels: pairs in twenty units or more and in one of two hundred, weighted by ppmi."""
+def _edges(spark: SparkSession, folder: str, frequent: bool = False) -> DataFrame:
+    """The network: pairs of stems in two units or more, weighted by ppmi.
+
+    ``frequent``, as the SQL of network_degree has it: in twenty units or more and in one of two hundred.
+    """
     t = stems(spark, folder)
     n = units(spark, folder).count()
-    v = lexical.vocabulary(t, "uce_id", min_units=max(20, n // 200))
-    pairs = network.pair_counts(lexical.incidence(t, "uce_id", v), "uce_id", least=max(20, n // 200))
+    least = max(20, n // 200) if frequent else 2
+    v = lexical.vocabulary(t, "uce_id", min_units=least).checkpoint()
+    pairs = network.pair_counts(lexical.incidence(t, "uce_id", v), "uce_id", least=least)
     return network.association(pairs, v, n).where("ppmi > 0").select("a", "b", "conteo", "ppmi")
 
 
@@ -329,7 +333,7 @@ g as (select e.*, ln(((conteo + 1) / n) / (((p.unidades + 1) / n) * ((q.unidades
 select nodo, count(*) as grado, round(sum(ppmi), 6) as grado_peso from x group by nodo""",
 )
 def network_degree(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(network.degrees(_edges(spark, folder), "ppmi"))
+    return rounded(network.degrees(_edges(spark, folder, frequent=True), "ppmi"))
 
 
 @query("network_pagerank")
@@ -339,11 +343,11 @@ def network_pagerank(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("network_communities")
 def network_communities(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(network.communities(_edges(spark, folder), "ppmi"), 9)
+    return rounded(network.communities_of_any_size(_edges(spark, folder), "ppmi"), 9)
 
 
 @query("community_summary")
 def community_summary(spark: SparkSession, folder: str) -> DataFrame:
-    edges = _edges(spark, folder)
+    edges = _edges(spark, folder).checkpoint()
     frequency = lexical.vocabulary(stems(spark, folder), "uce_id")
-    return rounded(network.community_summary(network.communities(edges, "ppmi"), edges, "ppmi", frequency))
+    return rounded(network.community_summary(network.communities_of_any_size(edges, "ppmi"), edges, "ppmi", frequency))

@@ -149,6 +149,31 @@ def test_graph_kernels(spark):
     assert [(r["n"], r["puentes"], r["densidad"]) for r in summary] == [(4, 1, 1.0)] * 2
 
 
+def test_network_holds_pairs_of_two_units(spark, tmp_path):
+    from tesela.plans import registry
+
+    rows = [(f"u{i}", 1, ["casa", "sol"] if i < 2 else [f"x{i % 3}"], 0) for i in range(30)]
+    spark.createDataFrame(rows, "uce_id string, doc_id long, stems array<string>, cluster_id int").write.parquet(str(tmp_path / "uces.parquet"))
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert {r["nodo"] for r in run("network_pagerank")} == {r["nodo"] for r in run("network_communities")} == {"casa", "sol"}
+    assert [r["n"] for r in run("community_summary")] == [2]
+
+
+def test_networks_beyond_the_kernels(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    pairs = [(i, j) for i in range(240) for j in range(i) if r.random() < (0.25 if i % 4 == j % 4 else 0.01)]
+    edges = spark.createDataFrame([(f"n{i:03}", f"n{j:03}", 1.0 + (i * j) % 3) for i, j in pairs], "a string, b string, peso double")
+    held = {x["nodo"]: x for x in network.communities_of_any_size(edges, "peso").collect()}
+    alone = network.betweenness(network._collected(edges, "peso"))
+    assert all(held[v]["intermediacion"] == pytest.approx(alone[v]) for v in alone) and len(alone) == 240
+    monkeypatch.setattr(network, "KERNEL_EDGES", 500)
+    got = {x["nodo"]: x for x in network.communities_of_any_size(edges, "peso").collect()}
+    assert set(got) == set(held) and all(x["intermediacion"] is None for x in got.values())
+    for k in range(4):  # the planted groups
+        assert len({got[f"n{i:03}"]["comunidad"] for i in range(k, 240, 4)}) == 1
+    assert len({x["comunidad"] for x in got.values()}) == 4
+
+
 def test_metadata_tests(spark):
     rows = [(i, "ab"[i % 2], "xy"[(i % 2) ^ (i % 7 == 0)], float(i % 2) + (i % 5) / 10, None) for i in range(70)]
     frame = spark.createDataFrame(rows, "u int, k string, v string, n double, z string")
