@@ -61,6 +61,29 @@ def test_apportionment():
         assert mixing.apportion(w, n) == given
 
 
+def test_a_large_source_among_small_ones():
+    """Highest quotients, one after another, where the share alone would give the large one too much or too little."""
+    weights = {"grande": 940.0, **{f"c{i:03}": 0.6 for i in range(100)}}
+    given = dict.fromkeys(weights, 0)
+    for _ in range(1000):
+        given[min(weights, key=lambda s: (-weights[s] / (2 * given[s] + 1), s))] += 1
+    assert mixing.apportion(weights, 1000) == given and given["grande"] == 900
+    assert sum(mixing.apportion(weights, 10**9).values()) == 10**9
+    equal = {f"s{i}": 1.0 for i in range(7)}
+    assert mixing.apportion(equal, 10) == {f"s{i}": 1 + (i < 3) for i in range(7)}
+
+
+def test_blocks_follow_the_shards(spark):
+    """Far more tokens than blocks times shards: no part of a quota is lost, every share is met within a block."""
+    rows = [(i, "ab"[i % 2], 10) for i in range(4000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 1)], "source string, cuota double, max_repeticiones int")
+    for shard_tokens in (100, 1000, 100_000):
+        got = {x["source"]: x for x in mixing.mix(sized, targets, blocks=20, shard_tokens=shard_tokens)[1].collect()}
+        assert got["a"]["tokens_mezcla"] + got["b"]["tokens_mezcla"] == pytest.approx(40_000, rel=0.02)
+        assert got["a"]["cuota_real"] == pytest.approx(0.7, abs=0.01)
+
+
 def test_mix(spark):
     r = random.Random(9)
     rows = [(i, ["Grande", "grande ", "chico", None, "otro"][i % 5 if i < 3000 else 0], r.randrange(1, 400), 1) for i in range(4000)] + [(1, "grande", 50, 1)] * 3 + [(9, "grande", None, 1), (10, "grande", 0, 1)]
