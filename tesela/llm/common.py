@@ -49,11 +49,26 @@ def term(value: Column) -> Column:
     return F.btrim(F.lower(nfc(value)), F.lit(" \t"))
 
 
+#: Repeated keys that are broadcast, at most; beyond, rows are made distinct by an exchange.
+REPEATED_KEYS = 200_000
+
+
 def units(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """One row per context unit: repeated rows of ``ucs`` count once, rows without uc_id are left out."""
-    return (
-        table(spark, folder, "ucs").select("uc_id", *columns).where(F.col("uc_id").isNotNull()).dropDuplicates(["uc_id"])
+    """One row per context unit: repeated rows of ``ucs`` count once, rows without uc_id are left out.
+
+    The keys alone tell which repeat. Of their rows only the first stays, by file and place in it; up to
+    REPEATED_KEYS such keys are broadcast, so that no array goes through an exchange.
+    """
+    every = table(spark, folder, "ucs").where(F.col("uc_id").isNotNull())
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+    repeated = every.groupBy("uc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("uc_id").checkpoint()
+    if repeated.count() > REPEATED_KEYS:
+        return every.select("uc_id", *columns).dropDuplicates(["uc_id"])
+    first = (
+        every.select("uc_id", place.alias("_p")).join(F.broadcast(repeated), "uc_id").groupBy("uc_id").agg(F.min("_p").alias("_primero"))
     )
+    rows = every.select("uc_id", *columns, place.alias("_p")).join(F.broadcast(first), "uc_id", "left")
+    return rows.where(F.col("_primero").isNull() | (F.col("_p") == F.col("_primero"))).drop("_p", "_primero")
 
 
 def count_units(spark: SparkSession, folder: str) -> int:

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 EXACT_CLASSES = 512
 #: A vocabulary of up to so many items is broadcast; a larger one is joined by exchange.
 BROADCAST_ITEMS = 200_000
+#: Items of a record whose pairs one row makes, at most; wider records are cut into blocks of so many.
+WIDE = 1024
 #: Parts into which the rows of an item are dealt when they are joined by exchange.
 SALTS = 16
 #: Width of a class of -log10 p when q values are made, and the number of such classes.
@@ -95,7 +99,50 @@ def _join_items(rows: DataFrame, vocabulary: DataFrame, on: str, spread: str, sm
     return salted.join(each, [on, "sal"]).drop("sal")
 
 
-def pair_counts(baskets: DataFrame, items: str, counts: DataFrame, name: str, n_records: int, min_pairs: int, per: int, lift: int):
+def _item_ids(baskets: DataFrame, items: str, vocabulary: DataFrame, small: bool) -> DataFrame:
+    """(ids): the sorted numbers of each record's items. With a small vocabulary the items are looked up in place,
+    batch by batch; a larger one is joined by exchange and the records are put together again."""
+    if not small:
+        held = baskets.withColumn("r", F.monotonically_increasing_id()).select("r", F.explode(items).alias("item"))
+        joined = _join_items(held, vocabulary.select("item", "id"), "item", "r", small)
+        return joined.groupBy("r").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids")
+    rows = vocabulary.select("item", "id").toArrow()  # at most BROADCAST_ITEMS rows
+    names = baskets.sparkSession.sparkContext.broadcast((rows.column("item").to_pylist(), rows.column("id").to_numpy()))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ids = names.value
+        words = pa.array(words, pa.string())
+        for batch in batches:
+            lists = batch.column(0)
+            at = pc.index_in(lists.flatten(), value_set=words)
+            known = np.asarray(at.is_valid())
+            of = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)))[known]
+            own = ids[np.asarray(at.drop_null())]
+            order = np.lexsort((own, of))
+            offsets = np.zeros(len(lists) + 1, dtype=np.int32)
+            np.cumsum(np.bincount(of, minlength=len(lists)), out=offsets[1:])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(own[order]))], ["ids"])
+
+    return baskets.select(items).mapInArrow(numbered, "ids array<long>")
+
+
+def _pairs(ids: DataFrame, widest: int) -> DataFrame:
+    """(a, b), a < b: every two numbers of a record. Records of more than WIDE items, if there are any, are cut into
+    blocks of WIDE and every two blocks are dealt to the tasks, so that none makes all pairs of a huge record."""
+    near = (
+        ids.where(F.size("ids") <= WIDE).select("ids", F.posexplode("ids").alias("i", "a"))
+        .select("a", F.explode(F.slice(F.col("ids"), F.col("i") + 2, F.size("ids"))).alias("b"))
+    )
+    if widest <= WIDE:
+        return near
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / WIDE).cast("int")), lambda k: F.slice(F.col("ids"), k * WIDE + 1, WIDE))
+    cut = ids.where(F.size("ids") > WIDE).select(blocks.alias("blocks"))
+    two = cut.select("blocks", F.posexplode("blocks").alias("i", "x")).select("x", F.explode(F.slice(F.col("blocks"), F.col("i") + 1, F.size("blocks"))).alias("y"))
+    dealt = two.repartition(F.xxhash64("x", "y"))
+    return near.unionAll(dealt.select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b")).where("a < b"))
+
+
+def pair_counts(baskets: DataFrame, items: str, counts: DataFrame, name: str, n_records: int, min_pairs: int = 1, per: int = 0, lift: int = 0):
     """Exact counts of all pairs, or of those that hold the bounds.
 
     ``baskets`` holds each record's distinct items. A bound of 0 (``per``, ``lift``) or 1 (``min_pairs``)
@@ -110,15 +157,9 @@ def pair_counts(baskets: DataFrame, items: str, counts: DataFrame, name: str, n_
         .checkpoint()
     )
     small = vocabulary.count() <= BROADCAST_ITEMS
-    held = baskets.withColumn("r", F.monotonically_increasing_id()).select("r", F.explode(items).alias("item"))
-    ids = (
-        _join_items(held, vocabulary.select("item", "id"), "item", "r", small)
-        .groupBy("r")
-        .agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    )
+    widest = baskets.agg(F.max(F.size(items)).alias("k")).first()["k"] or 0
     pairs = (
-        ids.select("ids", F.posexplode("ids").alias("i", "a"))
-        .select("a", F.explode(F.slice(F.col("ids"), F.col("i") + 2, F.size("ids"))).alias("b"))
+        _pairs(_item_ids(baskets, items, vocabulary, small), widest)
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("n_ab"))
         .where(F.col("n_ab") >= least)

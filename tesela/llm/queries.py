@@ -126,7 +126,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p3_unidades(spark: SparkSession, folder: str) -> DataFrame:
     """Divergence-from-randomness score of every lemma of every context unit."""
-    counts = terms.record_terms(units(spark, folder, "lemmas"), "uc_id", "lemmas")
+    counted = terms.tallies(units(spark, folder, "lemmas"), "uc_id", "lemmas").checkpoint()  # read for the terms and for the records
+    counts = counted.select("uc_id", F.lit("lemmas").alias("campo"), F.explode("lemmas").alias("v"), F.col("lemmas_largo").alias("largo")).select("uc_id", "campo", "v.*", "largo")
     scored = terms.divergence_scores(counts, "uc_id", count_units(spark, folder)).drop("campo")
     return scored.withColumn("puntaje", F.round("puntaje", 6))
 
@@ -141,7 +142,10 @@ def p3_clases(spark: SparkSession, folder: str) -> DataFrame:
         .where("termino is not null and termino <> ''")
         .groupBy("cluster_id", "campo", "termino")
         .agg(F.count(F.lit(1)).alias("tf"))
+        .checkpoint()
     )
+    lengths = counts.groupBy("cluster_id").agg(F.sum("tf").alias("largo"))
+    counts = counts.join(lengths, "cluster_id")
     classes = of_class.select("cluster_id").distinct().count()
     return terms.divergence_scores(counts, "cluster_id", max(classes, 1)).drop("campo").withColumn("puntaje", F.round("puntaje", 6))
 
@@ -174,8 +178,7 @@ select cluster_id, termino, tf, apariciones, unidades, round((log2(1 + lam) + tf
 
 def _baskets(spark: SparkSession, folder: str) -> DataFrame:
     """The distinct lemmas of each context unit."""
-    counts = terms.record_terms(units(spark, folder, "lemmas"), "uc_id", "lemmas")
-    return counts.groupBy("uc_id").agg(F.collect_list("termino").alias("lemmas"))
+    return terms.tallies(units(spark, folder, "lemmas"), "uc_id", "lemmas").select("uc_id", F.col("lemmas.termino").alias("lemmas"))
 
 
 @query
@@ -191,6 +194,19 @@ def p4_pares(spark: SparkSession, folder: str) -> DataFrame:
     return cooc.pair_surprise(_baskets(spark, folder), "lemmas", "lemma", count_units(spark, folder))
 
 
+@query
+def p4_conteos(spark: SparkSession, folder: str) -> DataFrame:
+    """Every two lemmas of a unit with the units that hold each and both."""
+    baskets = _baskets(spark, folder).select("lemmas").where(F.size("lemmas") > 0).checkpoint()
+    return cooc.pair_counts(baskets, "lemmas", cooc.item_counts(baskets, "lemmas"), "lemma", 0)
+
+
+ORACLES["p4_conteos"] = f"""{_COUNTS},
+i as (select uc_id, termino from tf where campo = 'lemmas')
+select lemma_a, lemma_b, a.unidades as n_a, b.unidades as n_b, n_ab
+from (select a.termino as lemma_a, b.termino as lemma_b, count(*) as n_ab from i a join i b on a.uc_id = b.uc_id and a.termino < b.termino group by all) p
+join df a on a.campo = 'lemmas' and a.termino = lemma_a join df b on b.campo = 'lemmas' and b.termino = lemma_b
+"""
 ORACLES["p4_found"] = f"""{_COUNTS},
 i as (select distinct uc_id, termino from tf join df using (campo, termino), n
       where campo = 'lemmas' and unidades >= 5 and unidades * 2000 >= n.n and unidades * 20 <= n.n),

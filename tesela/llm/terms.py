@@ -2,30 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesela.llm.common import term
 
 
+#: Terms whose statistics are broadcast to their records, at most; beyond, they are joined by an exchange.
+BROADCAST_TERMS = 500_000
+
+
+def tallies(records: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``key`` and for each array column ``c`` of it ``c`` (array of (termino, tf)) and ``c_largo`` (values in all).
+
+    Values are sorted within their row and runs of equal ones are counted there: no exchange, and no work
+    beyond n log n for a very long array. Null and blank values are none; a null array has none.
+    """
+    def ordered(column: str) -> Column:
+        values = F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), term)
+        return F.sort_array(F.filter(values, lambda v: v != ""))
+
+    def starts(values: Column) -> Column:
+        return F.filter(F.transform(values, lambda v, i: F.when((i == 0) | (v != F.get(values, i - 1)), i)), lambda i: i.isNotNull())
+
+    def runs(values: Column, begin: Column) -> Column:
+        return F.transform(begin, lambda i, k: F.struct(F.get(values, i).alias("termino"), (F.coalesce(F.get(begin, k + 1), F.size(values)) - i).cast("long").alias("tf")))
+
+    ready = records.select(key, *(ordered(c).alias(c) for c in columns))
+    cut = ready.select(key, *columns, *(starts(F.col(c)).alias(f"_{c}") for c in columns))
+    return cut.select(key, *(runs(F.col(c), F.col(f"_{c}")).alias(c) for c in columns), *(F.size(c).cast("long").alias(f"{c}_largo") for c in columns))
+
+
 def record_terms(records: DataFrame, key: str, *columns: str) -> DataFrame:
-    """(key, campo, termino, tf): how often each value occurs in each record.
+    """(key, campo, termino, tf, largo): how often each value occurs in each record, and the values of the record.
 
-    Null and blank values are none; a null or empty array has no rows. ``records`` must hold each key
-    once. As it comes hashed by key, the counts per record need no further exchange.
+    Null and blank values are none; a null or empty array has no rows. ``records`` must hold each key once.
     """
-    def tagged(column: str) -> Column:
-        values = F.coalesce(F.col(column), F.array().cast("array<string>"))
-        return F.transform(values, lambda v: F.struct(F.lit(column).alias("campo"), v.alias("valor")))
+    def named(column: str) -> Column:
+        return F.transform(column, lambda v: F.struct(F.lit(column).alias("campo"), v.termino.alias("termino"), v.tf.alias("tf"), F.col(f"{column}_largo").alias("largo")))
 
-    values = F.concat(*map(tagged, columns))
-    return (
-        records.select(key, F.explode(values).alias("v"))
-        .select(key, F.col("v.campo").alias("campo"), term(F.col("v.valor")).alias("termino"))
-        .where("termino is not null and termino <> ''")
-        .groupBy(key, "campo", "termino")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    counted = tallies(records, key, *columns)
+    values = F.concat(*map(named, columns))
+    return counted.select(key, F.explode(values).alias("v")).select(key, "v.*")
 
 
 def term_frequencies(counts: DataFrame, n_records: int, rare_below: int = 3, common_tenths: int = 3) -> DataFrame:
@@ -53,21 +71,20 @@ def divergence_scores(counts: DataFrame, key: str, n_records: int) -> DataFrame:
 
         score = (log2(1 + lambda) + tfn log2((1 + lambda) / lambda)) / (tfn + 1)
 
-    The mean length is over all ``n_records``. ``counts`` holds (key, campo, termino, tf), hashed by
-    ``key`` as it comes from :func:`record_terms`, so the length of a record is summed in place. Adds
-    unidades (records with the term), apariciones and ``puntaje``. The statistics of a term come back by
-    a join on it, not by a window over it: a term held by a third of all records would put them into one
-    task, while AQE splits such a join.
+    The mean length is over all ``n_records``. ``counts`` holds (key, campo, termino, tf, largo) as it comes from
+    :func:`record_terms`. Adds unidades (records with the term), apariciones and ``puntaje``. The statistics of a
+    term, summed in each partition first, come back by a join on it: those of up to BROADCAST_TERMS terms are
+    broadcast, so that the records stay where they are; more are joined by an exchange, in which AQE splits a
+    term held by a third of all records.
     """
-    stats = counts.groupBy("campo", "termino").agg(
-        F.sum("tf").alias("apariciones"), F.count(F.lit(1)).alias("unidades")
+    stats = (
+        counts.groupBy("campo", "termino")
+        .agg(F.sum("tf").alias("apariciones"), F.count(F.lit(1)).alias("unidades"))
+        .checkpoint()
     )
     mean = stats.groupBy("campo").agg((F.sum("apariciones") / F.lit(float(n_records))).alias("largo_medio"))
-    joined = (
-        counts.withColumn("largo", F.sum("tf").over(Window.partitionBy(key, "campo")))
-        .join(stats, ["campo", "termino"])
-        .join(F.broadcast(mean), "campo")  # one row per campo
-    )
+    small = stats.count() <= BROADCAST_TERMS
+    joined = counts.join(F.broadcast(stats) if small else stats, ["campo", "termino"]).join(F.broadcast(mean), "campo")  # one row per campo
     lam = F.col("apariciones") / F.lit(float(n_records))
     tfn = F.col("tf") * F.log2(1 + F.col("largo_medio") / F.col("largo"))
     return joined.withColumn("tfn", tfn).select(

@@ -45,7 +45,21 @@ def test_repeated_rows_count_once(spark, tmp_path):
     assert units(spark, str(tmp_path), "lemmas").count() == 4
 
 
-def test_scores_against_the_formula(records):
+@pytest.mark.parametrize("repeated_keys", [200_000, 0])
+def test_first_rows_of_repeated_keys(spark, tmp_path, monkeypatch, repeated_keys):
+    """A key of a third of all rows, over several files, counts once; both ways give the same rows."""
+    from tesela.llm import common
+
+    monkeypatch.setattr(common, "REPEATED_KEYS", repeated_keys)
+    rows = [(f"u{i}", ["x", f"y{i}"]) for i in range(40)] + [("u0", ["x", "y0"])] * 20 + [(None, ["x"])]
+    spark.createDataFrame(rows, "uc_id string, lemmas array<string>").repartition(5).write.parquet(str(tmp_path / "ucs.parquet"))
+    got = units(spark, str(tmp_path), "lemmas")
+    assert sorted(map(tuple, got.collect())) == sorted((k, v) for k, v in rows[:40]) and got.columns == ["uc_id", "lemmas"]
+
+
+@pytest.mark.parametrize("broadcast_terms", [500_000, 0])
+def test_scores_against_the_formula(records, monkeypatch, broadcast_terms):
+    monkeypatch.setattr(terms, "BROADCAST_TERMS", broadcast_terms)
     counts = terms.record_terms(records, "uc_id", "lemmas")
     got = {(r["uc_id"], r["termino"]): r["puntaje"] for r in terms.divergence_scores(counts, "uc_id", 4).collect()}
     tf = {k: Counter(v) for k, v in {"a": ["casa", "casa", "sol"], "b": ["casa", "mar"], "d": ["café", "café", "χρέος"]}.items()}
@@ -92,11 +106,12 @@ def test_pairs_against_brute_force(spark):
     assert planted["veces"] > 5 and planted["q"] < 1e-6 and all(0 < v["p"] <= 1 and v["q"] >= v["p"] for v in got.values())
 
 
-@pytest.mark.parametrize("broadcast_items", [200_000, 0])
-def test_all_pairs_of_items_of_any_frequency(spark, monkeypatch, broadcast_items):
+@pytest.mark.parametrize("broadcast_items,wide", [(200_000, 1024), (0, 1024), (200_000, 2), (0, 3)])
+def test_all_pairs_of_items_of_any_frequency(spark, monkeypatch, broadcast_items, wide):
     import random
 
     monkeypatch.setattr(cooc, "BROADCAST_ITEMS", broadcast_items)
+    monkeypatch.setattr(cooc, "WIDE", wide)
     r = random.Random(6)
     sets = [{"todo"} | {f"w{r.randrange(40)}" for _ in range(r.randrange(0, 5))} | ({"par_a", "par_b"} if r.random() < 0.1 else set()) for _ in range(300)]
     frame = spark.createDataFrame([(sorted(s),) for s in sets], "lemmas array<string>")
