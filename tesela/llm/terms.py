@@ -82,11 +82,12 @@ def divergence_scores(counts: DataFrame, key: str, n_records: int) -> DataFrame:
         .agg(F.sum("tf").alias("apariciones"), F.count(F.lit(1)).alias("unidades"))
         .checkpoint()
     )
-    mean = stats.groupBy("campo").agg((F.sum("apariciones") / F.lit(float(n_records))).alias("largo_medio"))
+    means = {r["campo"]: r["t"] / n_records for r in stats.groupBy("campo").agg(F.sum("apariciones").alias("t")).collect()}  # one row per campo
+    mean = F.create_map(*(F.lit(x) for kv in means.items() for x in kv))[F.col("campo")] if means else F.lit(None).cast("double")
     small = stats.count() <= BROADCAST_TERMS
-    joined = counts.join(F.broadcast(stats) if small else stats, ["campo", "termino"]).join(F.broadcast(mean), "campo")  # one row per campo
+    joined = counts.join(F.broadcast(stats) if small else stats, ["campo", "termino"])
     lam = F.col("apariciones") / F.lit(float(n_records))
-    tfn = F.col("tf") * F.log2(1 + F.col("largo_medio") / F.col("largo"))
+    tfn = F.col("tf") * F.log2(1 + mean / F.col("largo"))
     return joined.withColumn("tfn", tfn).select(
         key,
         "campo",
