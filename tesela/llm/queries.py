@@ -241,7 +241,8 @@ def p5_textos(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sentence_model(spark: SparkSession, folder: str) -> sentences.Model:
-    return sentences.train_on(table(spark, folder, "segmentos"), "texto_literal")
+    known = sentences.short_words(texts(spark, folder, "uces", "segmentos"))
+    return sentences.train_on(table(spark, folder, "segmentos"), "segmento_id", "texto_literal", known)
 
 
 @query

@@ -1,35 +1,45 @@
 """Problem 6: sentence boundaries across languages and scripts.
 
-Marks that may end a sentence are the candidates. Each is described by the mark, the token before it,
-what follows and the gap between, and a maximum-entropy model over these features and their
-conjunctions decides. It is trained on reliable boundaries: candidates of a bounded sample whose
-description leaves no doubt.
+Marks that may end a sentence are the candidates. Each is described by the mark, the token before it (its
+kind, length, case and, if frequent, itself), what follows (its kind and, if frequent, the word), the gap
+between and the scripts on both sides, and a maximum-entropy model over these features and their conjunctions
+decides. It is trained on reliable boundaries: candidates of a bounded sample, and of a few sentences in other
+languages, whose description leaves no doubt. Which short words are abbreviations is counted over all texts.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import product
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts of the training sample, at most, and their greatest length: both bound what the driver holds.
 SAMPLE_LENGTH = 20_000
 SAMPLE_TEXTS = 3000
+#: Words before and after a candidate that are features of their own, at most: the most frequent of the sample.
+FREQUENT_WORDS = 120
+#: An abbreviation has its full stop in so many of its uses, and so many uses: at least the first number, and that share of all dotted short words.
+DOTTED_SHARE, DOTTED_LEAST = 0.8, (4, 1e-5)
+#: An ordinary short word has a full stop inside a sentence in fewer of its uses than this, and as many uses as the rest tells.
+PLAIN_SHARE, PLAIN_LEAST = 0.3, (3, 1e-7)
 
 # Abbreviations. Those that always have something after them, and those that may be a sentence's last word.
 LEADING = frozenset(
     "dr dra dres sr sra srta sres sras d dª dña lic ing arq prof profa mr mrs ms st mme mlle hr hrn fr herr frau κ κα ул пл пр им"
     " av avda avd ctra pza pl c cl ud uds vd vds art arts cap caps fig figs pág págs pag pags núm num n nº no nr vol vols ref refs"
     " cf p pp s ss ca vgl bzw ed eds trad vs tel tlf ej ex exa expte vid véase p.ej p.ex z.b u.a d.h т.е т.к см стр рис гл sta sto gral gen col cap"
-    " e.g i.e π.χ ee ff jj dd rr oo cc".split()
+    " e.g i.e π.χ ee ff jj dd rr oo cc sen gov rep lt sgt capt cpt maj cmdr rev hon pres supt mt ft messrs bros"
+    " mons mgr pbro fdo rte dirs abg lcdo mtro mtra".split()
 )
-ENDING = frozenset("etc aprox izda dcha izq dpto urb entlo pral uu ee.uu ss.aa cía cia ltda inc ltd co jr ph.d м.б др т.д т.п usw a.m p.m κλπ κ.λπ a.c d.c".split())
+ENDING = frozenset("etc aprox izda dcha izq dpto urb entlo pral uu ee.uu ss.aa cía cia ltda inc ltd co corp jr ph.d м.б др т.д т.п usw a.m p.m κλπ κ.λπ a.c d.c".split())
 #: Of these, those after which a sentence hardly ever goes on but with one of the words given next.
 CLOSING = frozenset("etc aprox usw κλπ".split())
 GOING_ON = frozenset("y e o u ni de del en que con para por a al se es son está fue und oder and or i".split())
@@ -40,10 +50,12 @@ MONTHS = frozenset(
 )
 TOP_DOMAINS = frozenset("example test invalid localhost com org net edu gov es mx cl ar fr de pt it eu info io cat".split())
 
-_FINAL = ".!?…。！？｡؟۔।॥;;"
+#: Every sentence-final mark of Unicode, the ellipsis and the Greek question mark.
+_FINAL = "".join(sorted({*regex.findall(r"\p{Sentence_Terminal}", "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))), *"….;\u037e"}))
+_MARK = re.escape(_FINAL)
 _LINE = "\n\r\x0b\x0c\x85\u2028\u2029"
-_CANDIDATE = re.compile(f"[{_FINAL}]+|[{_LINE}]")
-_CANDIDATE_THAI = re.compile(f"[{_FINAL}]+|[{_LINE}]|(?<=[ก-๛])[^\\S{_LINE}]+(?=\\S)")
+_CANDIDATE = re.compile(f"[{_MARK}]+|[{_LINE}]")
+_CANDIDATE_THAI = re.compile(f"[{_MARK}]+|[{_LINE}]|(?<=[ก-๛])[^\\S{_LINE}]+(?=\\S)")
 _THAI = re.compile("[ก-๛]")
 _QUOTES = re.compile(f"[«»“”„‟‘「」『』\"()\\[\\]{_LINE}]")
 _HAS_QUOTE = re.compile("[«»“”„「」『』\"()\\[\\]]")
@@ -52,6 +64,8 @@ _CLOSERS = frozenset("»”’\"')]」』›")
 _OPENERS = frozenset("¿¡«“„‘「『\"'([‹")
 _DASHES = frozenset("—–-―‒")
 _STOPS = frozenset(",;:)]}»”%/，、；：،؛")
+_QUOTE_OR_LINE = re.compile(f'["{_LINE}]')
+_NEXT_WORD = re.compile(r"\w+")
 _RIGHT = re.compile(r"[\w@.\-]*")
 _NUMBER = re.compile(r"[\d.,/:\-+()]*\d[\d.,/:\-+()]*")
 _LOOKS_CJK = re.compile("[⺀-鿿豈-﫿぀-ヿ]")
@@ -73,7 +87,8 @@ def _spans(text: str) -> tuple[list[tuple[int, int]], set[int]]:
         if c == '"':
             opened = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
             if opened is None:
-                if '"' in text[i + 1 : i + 2000].split("\n", 1)[0]:
+                mate = _QUOTE_OR_LINE.search(text, i + 1)
+                if mate and mate.group() == '"':
                     stack.append((c, i))
                 continue
             wanted = '"'
@@ -128,14 +143,30 @@ def _continues(text: str, at: int) -> bool:
     return i == at and c.isalpha() and not c.isupper()
 
 
+#: Scripts told apart, by the last code point of each.
+_SCRIPTS = ((0x24F, "latin"), (0x36F, ""), (0x3FF, "greek"), (0x52F, "cyrillic"), (0x58F, "armenian"), (0x5FF, "hebrew"), (0x8FF, "arabic"), (0xDFF, "indic"), (0xEFF, "thai"), (0x1EFF, "other"), (0x1FFF, "greek"), (0x2E7F, ""), (0xD7FF, "ideographs"))
+
+
+@lru_cache(maxsize=65_536)
+def _script(c: str) -> str:
+    code = ord(c) if c else 0
+    if not c.isalpha():
+        return "digit" if c.isdigit() else ""
+    return next((name for last, name in _SCRIPTS if code <= last), "other")
+
+
 class Model:
-    """Weights of the maximum-entropy model and the abbreviations learned with it."""
+    """Weights of the maximum-entropy model, and the abbreviations and ordinary short words it knows."""
 
     def __init__(self, weights: dict[str, float], learned: frozenset[str], words: frozenset[str] = frozenset()) -> None:
         self.weights, self.learned, self.words = weights, learned, words
         self.known: dict[tuple, bool] = {}
+        self.frequent = frozenset(f[2:] for f in weights if f[:2] in ("w=", "n="))
 
-    def ends(self, key: tuple[str, str, str, str]) -> bool:
+    def ends(self, description: tuple) -> bool:
+        """Whether a candidate ends its sentence."""
+        *rest, word, following = description
+        key = (*rest, word if word in self.frequent else "", following if following in self.frequent else "")
         found = self.known.get(key)
         if found is None:
             found = self.known[key] = sum(self.weights.get(f, 0.0) for f in _features(key)) > 0
@@ -154,7 +185,8 @@ class Model:
         out = [at]
         spans, closing = _spans(text) if _HAS_QUOTE.search(text) else ((), ())
         pattern = _CANDIDATE_THAI if _THAI.search(text) else _CANDIDATE
-        reach = 0  # spans before it are behind
+        reach, furthest = 0, -1  # spans that open before the candidate, and where the last of them closes
+        blank = -1  # the last blank before the candidate
         for m in pattern.finditer(text):
             i = m.start()
             if i < out[-1]:
@@ -169,13 +201,15 @@ class Model:
                     k += 1
                 if k + 1 < n and text[k + 1] == "»" and text[k] in " \xa0\u202f" and k + 1 in closing:
                     k += 2
-                if spans:
-                    while reach < len(spans) and spans[reach][1] < i:
-                        reach += 1
-                    if any(o < i and k <= e for o, e in spans[reach : reach + 4] if o < i < e):
-                        continue
-                key = self.describe(text, i, m.end(), k)
-                if key is None or not self.ends(key):
+                while reach < len(spans) and spans[reach][0] < i:
+                    furthest = max(furthest, spans[reach][1])
+                    reach += 1
+                if k <= furthest:
+                    continue
+                if c == ".":
+                    blank = max(blank, text.rfind(" ", blank + 1, i))
+                description = self.describe(text, i, m.end(), k, blank)
+                if description is None or not self.ends(description):
                     continue
             while k < n and text[k].isspace():
                 k += 1
@@ -183,8 +217,12 @@ class Model:
                 out.append(k)
         return out
 
-    def describe(self, text: str, i: int, end: int, k: int) -> tuple[str, str, str, str] | None:
-        """(mark, token before, what follows, gap) of the candidate text[i:end], closed by k; None: surely no end."""
+    def describe(self, text: str, i: int, end: int, k: int, blank: int | None = None) -> tuple | None:
+        """The candidate text[i:end], closed by k; None: surely no end.
+
+        (mark, kind of token before, kind of what follows, gap, length and case of the token, scripts before and after,
+        the token, the word that follows). ``blank`` is the last blank before a full stop, if it is known.
+        """
         n = len(text)
         q = k
         while q < n and text[q].isspace():
@@ -193,11 +231,13 @@ class Model:
         c = text[end - 1]
         if end - i > 1:
             c = next((x for x in text[i:end] if x in "!?。！？؟।"), "…" if "." in text[i:end] or "…" in text[i:end] else c)
-        j = text.rfind(" ", max(0, i - 60), i)
-        left = text[max(j + 1, i - 60, 0) : i]
-        if not left.isalnum():
-            left = left.split()[-1] if left and not left[-1:].isspace() and left.split() else ""
-            left = left.lstrip("¿¡«“„\"'([{—–-「『‘")
+        left = ""
+        if c == "." or c == ";":
+            j = text.rfind(" ", 0, i) if blank is None or c == ";" else blank
+            left = text[j + 1 : i]
+            if not left.isalnum():
+                left = left.split()[-1] if left and not left[-1:].isspace() and left.split() else ""
+                left = left.lstrip("¿¡«“„\"'([{—–-「『‘")
         if c == ";" and not (left and "Ͱ" <= left[-1] <= "Ͽ" or left and "ἀ" <= left[-1] <= "῿"):
             return None
         mark = "." if c == "." else "…" if c == "…" else "!" if c in "!?" else "。"
@@ -227,8 +267,11 @@ class Model:
                 after = "stop" if k > end and gap == "no" else "caseless"
             else:
                 after = "other"
+        following = _NEXT_WORD.match(text, q)
+        sides = _script(text[i - 1 : i]), _script(text[q : q + 1])
+        word = following.group().lower() if following else ""
         if mark != ".":
-            return mark, "", after, gap
+            return mark, "", after, gap, "", "", *sides, "", word
         if gap == "no" and after in ("lower", "upper", "digit", "caseless") and k == end:
             if after == "lower":
                 return None  # an address, or an abbreviation written without blanks
@@ -239,7 +282,9 @@ class Model:
                 return None
             if len(left) <= 2 and (after != "upper" or left.isupper()) or left.isupper() and right.isupper():
                 return None
-        return mark, self.token(text, i, left, after, q), after, gap
+        size = "1" if len(left) < 2 else "2" if len(left) < 3 else "3" if len(left) < 4 else "5" if len(left) < 6 else "6"
+        case = "lower" if left.islower() else "upper" if left.isupper() else "title" if left[:1].isupper() else ""
+        return mark, self.token(text, i, left, after, q), after, gap, size, case, *sides, left.lower(), word
 
     def token(self, text: str, i: int, left: str, after: str, q: int) -> str:
         """Kind of the token before a full stop."""
@@ -288,18 +333,20 @@ def _inside(spans, i: int, k: int) -> bool:
     return any(o < i and k <= e for o, e in spans)
 
 
-MARKS, TOKENS = (".", "…", "!", "。"), ("none", "number", "ordinal", "item", "ending", "numbered", "initial", "leading", "dotted", "learned", "word", "short")
-AFTERS, GAPS = ("end", "stop", "dash", "upper", "lower", "open", "digit", "caseless", "other"), ("no", "blank")
-
-
-def _features(key: tuple[str, str, str, str]) -> list[str]:
-    mark, token, after, gap = key
-    return ["", f"m{mark}", f"t{token}", f"a{after}", f"g{gap}", f"{mark}|{after}", f"{token}|{after}", f"{mark}|{gap}", f"{after}|{gap}", f"{mark}|{after}|{gap}", f"{mark}|{token}|{after}"]
+def _features(description: tuple) -> list[str]:
+    mark, token, after, gap, size, case, before, behind, word, following = description
+    out = ["", f"m{mark}", f"t{token}", f"a{after}", f"g{gap}", f"{mark}|{after}", f"{token}|{after}", f"{mark}|{gap}", f"{after}|{gap}", f"{mark}|{after}|{gap}", f"{mark}|{token}|{after}"]
+    out += [f"l{size}", f"c{case}", f"l{size}|{case}|{after}", f"s{before}", f"r{behind}", f"{before}|{behind}"]
+    if word:
+        out.append(f"w={word}")
+    if following:
+        out.append(f"n={following}")
+    return out
 
 
-def reliable(key: tuple[str, str, str, str]) -> bool | None:
-    """True or False where the description of a candidate leaves no doubt, else None."""
-    mark, token, after, gap = key
+def reliable(key: tuple) -> bool | None:
+    """True or False where mark, token, what follows and gap leave no doubt, else None."""
+    mark, token, after, gap = key[:4]
     if after == "stop":
         return False
     if mark == "…":
@@ -321,41 +368,107 @@ def reliable(key: tuple[str, str, str, str]) -> bool | None:
     return None
 
 
-def train(texts: Iterable[str | None], l2: float = 0.05, steps: int = 60) -> Model:
-    """A model from the reliable candidates of ``texts``.
+# Sentences that every model is trained on besides its sample, so that no script is without an example.
+SEED = (
+    "The hall was empty. Mrs. Hale, i.e. the owner, wrote at 9.15 to Dr. Moss. \"Who is it?\" Nobody knew... She was... well, late. She paid 3.50 for pp. 12 to 14. Really?! Yes! Hill & Co. in Kent, owned by Hill Jr. since May, sold it at 7 p.m. or so. At last it rained.",
+    "La puerta se cerró. ¿Quién era? ¡Nadie! El Sr. Luna, núm. 4, pagó 3.500 y se fue... Pues sí... eso creo. Compró pan, sal, etc. Luego durmió. Vive en EE. UU. desde 1998. La cía. de su tío daba pan, sal, etc. al pueblo. Vino J. Luna a las 10.30. no sé. ¿Y tú?",
+    "Il pleuvait. Où est-elle ? Personne ! M. Petit, p. ex., attendait le 3.5.1998. « Viens ! » dit-il. Elle partit... Puis... rien.",
+    "A chuva parou. O Dr. Lima saiu, pág. 9. Quem viu? Ninguém! Era tarde... Depois dormiu.",
+    "Es regnete. Am 3. Mai kam Hr. Berg, z. B. mit Brot, Nr. 7. Wer war es? Niemand! Er schwieg... Dann… ging er. Das kostet 4.500 usw. Danach schlief er.",
+    "Va ploure. El Sr. Puig, pàg. 3, dormia. Qui era? Ningú! Després res.",
+    "Έβρεχε. Ο κ. Ρήγας, π.χ. το βράδυ, ήρθε; Κανείς! Μετά τίποτα. Πλήρωσε 3,50.",
+    "Шёл дождь. На ул. Мира, т. е. дома, было тихо. Кто там? Никто! Потом... уснули... В 9.15 пришли. Всё.",
+    "बारिश हुई। कौन था? कोई नहीं! फिर सब सो गए।",
+    "توقف المطر. من هناك؟ لا أحد! ثم ناموا۔",
+    "雨停了。谁在那里？没有人！“走吧。”他说。后来睡了。",
+    "雨がやんだ。誰ですか？誰もいない！「行こう。」と言った。それから寝た。",
+    "ភ្លៀងឈប់។ គ្មាននរណាទេ។",
+    "မိုးတိတ်သည်။ ဘယ်သူမှမရှိ။",
+)
+_DOTTED = re.compile(r"(?<![\w.@])([^\W\d_]{2,5})\.(?=,|\s+[a-zà-öø-ÿα-ωά-ώа-яё0-9])")
+_SHORT = re.compile(r"(?<![\w.@])[^\W\d_]{2,5}(?![\w@])")
 
-    Abbreviations are learned first: short words that nearly always have a full stop with a small letter,
-    a digit or a comma after it; and the short words that rarely have. Every description about which there is no doubt counts once besides, so
-    that rare ones are never without an example.
-    """
-    texts = [t for t in texts if t]
+
+def _counted(texts: Iterable[str | None]) -> tuple[Counter, Counter]:
+    """Uses of short words before a full stop inside a sentence, and all their uses."""
     dotted, plain = Counter(), Counter()
     for t in texts:
-        dotted.update(w.lower() for w in re.findall(r"(?<![\w.@])([^\W\d_]{2,5})\.(?=,|\s+[a-záéíóúñà-ÿа-я0-9])", t))
-        plain.update(w.lower() for w in re.findall(r"(?<![\w.@])[^\W\d_]{2,5}(?![\w@])", t))
-    learned = frozenset(w for w, k in dotted.items() if k >= 4 and k >= 0.8 * plain[w])
-    words = frozenset(w for w, k in plain.items() if len(w) <= 3 and k >= 3 and dotted[w] < 0.3 * k)
-    model = Model({}, learned, words)
-    counts: Counter = Counter({k: 1 for k in product(MARKS, TOKENS, AFTERS, GAPS)})
-    for t in texts:
+        if t:
+            dotted.update(w.lower() for w in _DOTTED.findall(t))
+            plain.update(w.lower() for w in _SHORT.findall(t))
+    return dotted, plain
+
+
+def _short_words(rows: Iterable[tuple[str, int, int]], n_dotted: int, n_plain: int) -> tuple[frozenset[str], frozenset[str]]:
+    """(abbreviations, ordinary words) of (word, dotted uses, uses)."""
+    learned, words = set(), set()
+    for w, dotted, uses in rows:
+        if dotted >= max(DOTTED_LEAST[0], DOTTED_LEAST[1] * n_dotted) and dotted >= DOTTED_SHARE * uses:
+            learned.add(w)
+        elif len(w) <= 3 and uses >= max(PLAIN_LEAST[0], PLAIN_LEAST[1] * n_plain) and dotted < PLAIN_SHARE * uses:
+            words.add(w)
+    return frozenset(learned), frozenset(words)
+
+
+def short_words(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
+    """Abbreviations and ordinary short words, counted over all of (…, texto).
+
+    Batches count their words, the counts are added by word, and only words over the shares of DOTTED_LEAST
+    and PLAIN_LEAST, at most as many as these allow, come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dotted, plain = _counted(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(plain), pa.string()), pa.array([dotted[w] for w in plain], pa.int64()), pa.array(list(plain.values()), pa.int64())], ["palabra", "con_punto", "usos"]
+            )
+
+    counts = texts.select("texto").mapInArrow(run, "palabra string, con_punto long, usos long").groupBy("palabra").agg(F.sum("con_punto").alias("con_punto"), F.sum("usos").alias("usos")).checkpoint()
+    totals = counts.agg(F.coalesce(F.sum("con_punto"), F.lit(0)).alias("d"), F.coalesce(F.sum("usos"), F.lit(0)).alias("u")).first()
+    dotted = (F.col("con_punto") >= max(DOTTED_LEAST[0], DOTTED_LEAST[1] * totals["d"])) & (F.col("con_punto") >= DOTTED_SHARE * F.col("usos"))
+    plain = (F.length("palabra") <= 3) & (F.col("usos") >= max(PLAIN_LEAST[0], PLAIN_LEAST[1] * totals["u"]))
+    return _short_words(map(tuple, counts.where(dotted | plain).collect()), totals["d"], totals["u"])
+
+
+def train(texts: Iterable[str | None], known: tuple[frozenset[str], frozenset[str]] | None = None, l2: float = 0.1, steps: int = 60) -> Model:
+    """A model from the reliable candidates of ``texts`` and of SEED.
+
+    ``known`` are the abbreviations and ordinary short words, from :func:`short_words`; without it they are
+    counted in ``texts``. The most frequent words beside the candidates become features of their own.
+    """
+    texts = [t for t in texts if t]
+    if known is None:
+        dotted, plain = _counted(texts)
+        known = _short_words(((w, dotted[w], k) for w, k in plain.items()), sum(dotted.values()), sum(plain.values()))
+    model = Model({}, *known)
+    counts: Counter = Counter()
+    for t in (*SEED, *texts):
+        _, closing = _spans(t) if _HAS_QUOTE.search(t) else ((), ())
         for m in _CANDIDATE.finditer(t):
             if t[m.start()] in _LINE:
                 continue
             k = m.end()
-            while k < len(t) and t[k] in _CLOSERS:
+            while k < len(t) and (t[k] in _CLOSERS and t[k] != '"' or k in closing):
                 k += 1
-            key = model.describe(t, m.start(), m.end(), k)
-            if key is not None:
-                counts[key] += 1
-    examples = [(k, reliable(k), np.log1p(c)) for k, c in counts.items()]
-    examples = [e for e in examples if e[1] is not None]
+            found = model.describe(t, m.start(), m.end(), k)
+            if found is not None and reliable(found) is not None:
+                counts[found] += 1
+    beside: tuple[Counter, Counter] = Counter(), Counter()
+    for d, c in counts.items():
+        beside[0][d[-2]] += c
+        beside[1][d[-1]] += c
+    common = [{w for w, _ in b.most_common(FREQUENT_WORDS)} for b in beside]
+    merged: Counter = Counter()
+    for d, c in counts.items():
+        merged[(*d[:-2], *(w if w in own else "" for w, own in zip(d[-2:], common)))] += c
     index: dict[str, int] = defaultdict(lambda: len(index))
-    columns = [[index[f] for f in _features(k)] for k, _, _ in examples]
-    x = np.zeros((len(examples), len(index)))
+    columns = [[index[f] for f in _features(d)] for d in merged]
+    x = np.zeros((len(columns), len(index)))
     for row, cols in zip(x, columns):
         row[cols] = 1
-    y = np.array([float(e[1]) for e in examples])
-    w = np.array([e[2] for e in examples])
+    y = np.array([float(reliable(d)) for d in merged])
+    w = np.log1p(np.array(list(merged.values()), dtype=float))
     beta = np.zeros(x.shape[1])
     for _ in range(steps):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -365,13 +478,18 @@ def train(texts: Iterable[str | None], l2: float = 0.05, steps: int = 60) -> Mod
         beta += move
         if np.abs(move).max() < 1e-6:
             break
-    return Model({f: float(beta[i]) for f, i in index.items()}, learned, words)
+    return Model({f: float(beta[i]) for f, i in index.items()}, *known)
+
 
+def train_on(df: DataFrame, key: str, text: str, known: tuple[frozenset[str], frozenset[str]] | None = None, sample: int = SAMPLE_TEXTS) -> Model:
+    """A model from at most ``sample`` texts of the table, none longer than SAMPLE_LENGTH characters.
 
-def train_on(df: DataFrame, text: str, sample: int = SAMPLE_TEXTS) -> Model:
-    """A model from at most ``sample`` texts of the table, none longer than SAMPLE_LENGTH characters."""
-    rows = df.select(text).where(F.char_length(text) <= SAMPLE_LENGTH).limit(sample).collect()
-    return train(r[0] for r in rows)
+    They are drawn by a hash of the key, so that the order and the files of the table do not matter.
+    """
+    part = max(1, df.count() // sample)
+    drawn = F.xxhash64(df[key].cast("string"))
+    rows = df.where((F.char_length(text) <= SAMPLE_LENGTH) & (F.pmod(drawn, F.lit(part)) == 0)).select(drawn.alias("_h"), text).orderBy("_h").limit(sample).collect()
+    return train((r[1] for r in rows), known)
 
 
 def sentence_starts(texts: DataFrame, model: Model, keep: tuple[str, ...] = ("tabla", "clave")) -> DataFrame:
