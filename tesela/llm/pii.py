@@ -4,7 +4,7 @@ Generators propose spans of five kinds. For each kind a set of labelers (pattern
 votes for or against every candidate or abstains. Expectation-maximisation over the votes of a bounded
 sample estimates how far each labeler can be trusted, and a logistic span classifier is trained on the
 votes and the shape of the candidates with the resulting probabilities. It decides about every candidate
-of every text.
+of every text. Surnames, further given names and ordinary words are counted over all texts.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 #: Texts of the training sample, at most, and their greatest length: both bound what the driver holds.
 SAMPLE_LENGTH = 20_000
 SAMPLE_TEXTS = 6000
-#: A word is a plain one and no surname from so many occurrences in small letters: at least the first, and one in as many texts as the second tells.
-PLAIN_FROM, PLAIN_TEXTS = 2, 750
+#: A word is an ordinary one and no surname from so many occurrences in small letters: at least the first, and that share of all words in small letters.
+PLAIN_LEAST = (2, 2e-5)
+#: The same for surnames, of all words beside given names, and for given names, of all words after cues.
+SURNAME_LEAST, GIVEN_LEAST = (2, 1e-5), (3, 1e-5)
 KINDS = ("email", "direccion", "documento", "telefono", "nombre")
 PLACEHOLDERS = {"email": "[EMAIL]", "direccion": "[DIRECCION]", "documento": "[DOCUMENTO]", "telefono": "[TELEFONO]", "nombre": "[NOMBRE]"}
 
@@ -39,19 +41,33 @@ GIVEN = (
     " ricardo roberto rocío rodrigo rosa rosario rubén rufino sabina salvador samuel sandra santiago sara saúl sebastián sergio silvia sofía soledad susana teo teresa"
     " tomás valentina vanesa verónica vicente víctor violeta virginia ximena yolanda"
 ).split()
-STREETS = "calle avenida avda avda. av. plaza pza. paseo camino carretera ctra. ronda travesía callejón glorieta alameda c/".split()
+FOREIGN_GIVEN = (
+    "andrew anna anne barbara camille catherine charles chloé christine dieter edward élise elizabeth emily emma fernanda françois francesca franz friedrich"
+    " george giovanni giulia giuseppe hannah hans heinrich helga henry henrique ingrid isabelle jacques james jean jennifer joão johann john joseph jürgen"
+    " karen karl klaus laurent linda luísa luca margaret marie mary matteo michael michel monika nancy nicolas otto paolo patrick paul paulo peter petra philippe"
+    " pierre renate richard robert sabine sarah sophie stefan stephen susan thomas thérèse ursula walter werner william wolfgang"
+).split()
+STREETS = (
+    "calle avenida avda avda. av. plaza pza. paseo camino carretera ctra. ronda travesía callejón glorieta alameda c/ bulevar calzada jirón"
+    " carrer avinguda plaça passeig rambla rua travessa praça estrada via viale piazza corso"
+).split()
 DIGIT_WORDS = "cero uno dos tres cuatro cinco seis siete ocho nueve".split()
-PERSON_CUES = (
-    "me llamo|se llama|se llamaba|conoces a|pregunta por|firmado por|mi vecina|mi vecino|mi prima|mi primo|doña|don|d.|dª|datos:|mandé a|lo sabía|¡ay,|ay,"
-    "|my name is|ich heiße|je m'appelle|em dic|meu nome é|me dic|меня зовут|με λένε|dr.|dra.|sr.|sra.|señor|señora|y con|con|ni|a"
+TITLES = "don doña d. dª dr. dra. sr. sra. señor señora srta. lic. prof. ing. fray sor mr. mrs. ms. miss mme. madame monsieur herr frau senhor senhora signor signora".split()
+INTRODUCTIONS = (
+    "me llamo|se llama|se llamaba|llamado|llamada|conoces a|conocí a|pregunta por|preguntó por|firmado por|firmado:|firma:|nombre:|datos:|atentamente,|my name is|i am called|signed by"
+    "|ich heiße|er heißt|sie heißt|je m'appelle|il s'appelle|elle s'appelle|em dic|meu nome é|me chamo|mi chiamo|me dic|меня зовут|με λένε"
 ).split("|")
+RELATIVES = "vecina vecino prima primo hermana hermano tía tío amiga amigo hija hijo abuela abuelo madre padre suegra suegro sobrina sobrino nieta nieto compañera compañero jefa jefe".split()
+#: Words before a person that come before much else too.
+WEAK_CUES = ("y con", "con", "ni", "a", "ay,", "para", "por", "entre")
+PERSON_CUES = (*INTRODUCTIONS, *TITLES, *(f"{w} {r}" for w in ("mi", "su", "tu") for r in RELATIVES), *WEAK_CUES)
 #: Cues after which even an unknown capitalised word is proposed as a name.
-STRONG_CUES = [c for c in PERSON_CUES if len(c) > 5 or c in ("doña", "dr.", "dra.")]
+STRONG_CUES = [c for c in PERSON_CUES if c not in WEAK_CUES and (len(c) > 5 or c in ("doña", "dr.", "dra.", "mr.", "mrs.", "ms.", "mme.", "frau", "herr", "sra.", "prof."))]
 NO_PERSON = frozenset("río calle avenida avda av plaza paseo camino virgen san santa santo cooperativa radio hotel bar colegio hospital barrio pueblo sierra monte puente editorial hilados fundación asociación banco grupo del al el la los las un una".split())
 PERSON_AFTER = re.compile(
-    r"[\s,/(]*(?:llegaba siempre|vivía|trabajaba|esperaba|decían|me dijo|que en paz|no le|recibía|cuánto tiempo|con dni|/|\)?, me dijo|»,|\()|\s+(?:y|i|e|und|et|and|ni|no)\s|[?,.]", re.I
+    r"\s+(?:(?:me|te|se|le|les|nos|no|ya|siempre|nunca|también)\s+)*[a-záéíóúñ]+(?:aba|aban|ía|ían|ó|jo|ieron|aron)\b|[\s,]+que en paz|\s+(?:y|i|e|und|et|and|ni|no|con)\s|\s*[/(]|[?!,.»]", re.I
 )
-WORD_AFTER = re.compile(r"\s+(?:era|eran|es|son|fue|de|del|en|y)\s+(?:el|la|un|una|los|las|rodilla|patio|color)\b", re.I)
+WORD_AFTER = re.compile(r"\s+(?:era|eran|es|son|fue|de|del|en|y)\s+(?:el|la|un|una|los|las)\b|\s+(?:de|del)\s", re.I)
 
 #: From here on letters stand without blanks between words.
 IDEOGRAPHS = "\u2e80"
@@ -79,16 +95,32 @@ _PHONE_WORDS = re.compile(rf"(?<![{_L}]){_DIGIT}(?:[\s,\-]+{_DIGIT}){{6,11}}(?![
 _DOCUMENT = re.compile(
     r"(?<![\w.\-/#])(?:\d{8}(?:-?[A-Za-z]|[ \xa0][A-Z])|\d{2}\.\d{3}\.\d{3}[ \xa0\-]?[\dA-Za-z]|[XYZxyz][ \xa0\-]?\d{7}[ \xa0\-]?[A-Za-z]|[A-Za-z]{2,3}\d{6}|\d{2}[/\- ]\d{8}[/\- ]\d{2})(?![\w/]|\.\d)"
 )
-_STREET_WORD = re.compile(rf"(?:{_BLANK}+|(?<=/){_BLANK}*)(?:(?:de|del|la|los|las|el|y)(?![{_L}])|[{_UP}][{_L}'’\-]*)")
+_STREET_WORD = re.compile(rf"(?:{_BLANK}+|(?<=/){_BLANK}*)(?:(?:de|del|la|los|las|el|y|da|do|das|dos|di|della|dels|les)(?![{_L}])|[{_UP}][{_L}'’\-]*)")
 _HOUSE = re.compile(
     rf",?{_BLANK}*(?:s/n|S/N|[nN]\.?{_BLANK}?[ºo°]\.?{_BLANK}*\d+|[nN]úm(?:ero|\.)?{_BLANK}*\d+|[kK][mM]\.?{_BLANK}*\d+(?:[.,]\d+)?|#{_BLANK}?\d+(?:-\d+)?|\d{{1,4}}(?:-\d+)?(?![\d%€])(?![.,]\d))"
 )
 _FLOOR = re.compile(rf",?{_BLANK}*(?:bajo|ático|entlo\.?|\d{{1,2}}\.?[ºª°]{_BLANK}*(?:(?:izda|dcha|izq)\.?|[A-Z](?![{_L}])))")
 _TOWN = re.compile(rf",{_BLANK}*\d{{5}}{_BLANK}+[{_UP}][{_L}]+(?:{_BLANK}+(?:de{_BLANK}+)?[{_UP}][{_L}]+)?|,{_BLANK}*[{_UP}][{_LOW}]+(?:{_BLANK}+(?:de{_BLANK}+)?[{_UP}][{_LOW}]+)?(?=,|{_BLANK}|\.|$)")
 _RUN = re.compile(r"\d[\d\xa0 .\-/()]{5,}")
-EMAIL_CUE = re.compile(r"(?:correo|escr|mail|adress|adresse|datos|mandé|siempre|write|schreib|邮箱|連絡|/|\()", re.I)
-PHONE_CUE = re.compile(r"(?:tel[eéè]?f?\w*\.?|móvil|número|numéro|phone|number|llám\w*|al|luego|/|:|电话是?|電話は?|nummer|era|le|el|is|ist|то|\()[\s:,]*(?:el |le |al |the )?$", re.I)
-DOCUMENT_CUE = re.compile(r"(?:dni|nie|nif|pasaporte|documento|identidad|seguridad social|papeles|ficha|tarjeta|número|creo que era|ponía|decían|con)[\s:,]*(?:\w+\s+){0,2}$", re.I)
+#: Telephones of any country: a prefix and groups, an area in brackets, a trunk zero, or three, three and four digits.
+_ANY_PHONE = re.compile(
+    rf"(?<![\w/.,#+\-])(?:(?:\+|00)\d{{1,3}}(?:{_SEP}?\(\d{{1,4}}\))?(?:[ \xa0.\-/]?\d{{1,4}}){{2,6}}|\(0?\d{{2,4}}\){_SEP}?\d{{2,4}}(?:{_SEP}\d{{2,4}}){{1,3}}"
+    rf"|0\d(?:{_SEP}\d\d){{4}}|0\d{{2,4}}[ \xa0/\-]\d{{5,8}}|\d{{3}}([.\-])\d{{3}}\1\d{{4}})(?![\d/]|[.\-][\dA-Za-z]|[A-Za-z])"
+)
+#: Numbers of other countries: groups of three, two and four; letters, six digits and a key; a long number after a cue.
+_ANY_DOCUMENT = re.compile(r"(?<![\w.\-/#+])(?:\d{3}-\d{2}-\d{4}|[A-Z]{4}\d{6}[A-Z]{6}[\dA-Z]\d|[A-ZÑ&]{3,4}\d{6}[\dA-Z]{3}|[A-HJNPQRSUVW]-?\d{7}[\dA-J]|\d{1,2}\.\d{3}\.\d{3}-[\dkK]|\d\.\d{3}\.\d{3})(?![\w/]|[.\-]\d)")
+_CUED_DOCUMENT = re.compile(r"(?:[A-Z]{1,3}[ \-]?)?\d{6,12}(?:-?[A-Z\d])?(?![\w/]|[.\-]\d)")
+_DOCUMENT_WORD = re.compile(r"\b(?:dni|nie|nif|cif|cédula|cedula|pasaporte|passport|reisepass|passeport|passaporte|ausweis|personalausweis|ssn)(?:\s+(?:n[º°o.]+|núm\.?|nr\.?|no\.?|number|número|de identidad))?[\s:.]{1,3}", re.I)
+#: Addresses with the number first or the word for the street last.
+_STREET_LAST = re.compile(
+    rf"(?<![\w.,])\d{{1,5}}[A-Za-z]?{_BLANK}+(?:[{_UP}][{_L}'’.\-]*{_BLANK}+){{1,4}}(?:Street|St\.|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Drive|Boulevard|Blvd\.?|Court|Square|Terrace|Crescent|Close|Place|Way)(?![{_L}])"
+    rf"|(?<![\w.,])\d{{1,4}}(?:{_BLANK}?(?:bis|ter))?,?{_BLANK}+(?:rue|avenue|boulevard|place|chemin|impasse|quai|allée|cours){_BLANK}+(?:(?:de|du|des|la|le|les){_BLANK}+|de{_BLANK}l['’]|d['’]|l['’])*[{_UP}][{_L}'’\-]+(?:{_BLANK}+[{_UP}][{_L}'’\-]+)*"
+    rf"|(?<![{_L}])[{_UP}][{_L}\-]+(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm){_BLANK}+\d{{1,4}}[a-z]?(?![\d{_L}])"
+)
+_STREET_HINT = re.compile(r"Street|St\.|Road|Rd|Ave|Lane|Ln|Drive|Boulevard|Blvd|Court|Square|Terrace|Crescent|Close|Place|Way|rue|avenue|boulevard|place|chemin|impasse|quai|allée|cours|straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm")
+EMAIL_CUE = re.compile(r"(?:correo|escr[ií]b|mail|adress|email|write|schreib|contact|邮箱|連絡|/|\()", re.I)
+PHONE_CUE = re.compile(r"(?:tel[eéè]?f?\w*\.?|móvil|número|numéro|phone|number|call|llám\w*|al|luego|/|:|电话是?|電話は?|nummer|era|le|el|is|ist|то|\()[\s:,]*(?:el |le |al |the )?$", re.I)
+DOCUMENT_CUE = re.compile(r"(?:dni|nie|nif|cif|pasaporte|passport|documento|identidad|identity|cédula|seguridad social|social security|papeles|carn[eé]t?|ficha|tarjeta|número|ssn|ausweis|era|con)[\s:,]*(?:\w+\s+){0,2}$", re.I)
 NUMBER_NO = re.compile(r"(?:expediente|lotes?|ref\.?|núm\.|pág\.|art\.|cap\.|fig\.|vol\.|n\.º|censo|factura|pedido)\s*(?:\w+\s+)?$", re.I)
 AFTER_NO = re.compile(r"\s*(?:euros?|€|%|por ciento|personas|kg|km|m\b|años|habitantes)", re.I)
 PLACE_CUE = re.compile(r"(?:en|a|de|cerca de|junto a|vive en|años en|mudamos a|cartas en|at|in|to|à|em)\s*(?:la\s+)?$", re.I)
@@ -106,10 +138,10 @@ class Finder:
 
     def __init__(self, surnames: frozenset[str] = frozenset(), givens: frozenset[str] = frozenset(), common: frozenset[str] = frozenset(), weights: dict[str, dict] | None = None, plain: frozenset[str] | None = None) -> None:
         self.surnames, self.common, self.weights, self.plain = surnames, common, weights or {}, plain
-        self.givens = frozenset(_bare(g) for g in GIVEN) | givens
+        self.givens = frozenset(_bare(g) for g in (*GIVEN, *FOREIGN_GIVEN)) | givens
         self.known: dict[tuple, bool] = {}
         machine = ahocorasick.Automaton()
-        givens = {v for g in {*GIVEN, *self.givens} for v in (g, _bare(g))}
+        givens = {v for g in {*GIVEN, *FOREIGN_GIVEN, *self.givens} for v in (g, _bare(g))}
         signs = ("@", "＠", "arroba", "[at]", "(at)", "{at}")
         for kind, words in (("g", givens), ("s", STREETS), ("d", DIGIT_WORDS), ("c", STRONG_CUES), ("@", signs)):
             for w in words:
@@ -128,14 +160,22 @@ class Finder:
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         hits = list(self.machine.iter(low))
-        digits_in_words, mails, last = 0, [], -1
-        for at, (kinds, _) in hits:
-            if "@" in kinds:
-                for m in _EMAIL.finditer(text, max(0, at - 80, last), at + 120):
-                    if m.start() >= last:
-                        last = m.end()
-                        mails.append(m.span())
-                        yield self.email(text, m)
+        digits_in_words, mails, last = 0, [], 0
+        for at, (kinds, size) in hits:
+            if "@" in kinds and at >= last:
+                s = at + 1 - size
+                while s > last and text[s - 1] in " \xa0[({":
+                    s -= 1
+                e = s
+                while s > last and (text[s - 1].isascii() and text[s - 1].isalnum() or text[s - 1] in "._+-"):
+                    s -= 1
+                while s < e and not text[s].isalnum():
+                    s += 1
+                m = _EMAIL.match(text, s) if s < e else None
+                if m:
+                    last = m.end()
+                    mails.append(m.span())
+                    yield self.email(text, m)
         k = 0
         for end, (kinds, size) in hits:
             start, after = end + 1 - size, end + 1
@@ -176,6 +216,17 @@ class Finder:
                 yield self.number(text, m, "telefono")
             for m in _DOCUMENT.finditer(text, *region):
                 yield self.number(text, m, "documento")
+            for m in _ANY_PHONE.finditer(text, *region):
+                yield self.number(text, m, "telefono", "general")
+            for m in _ANY_DOCUMENT.finditer(text, *region):
+                yield self.number(text, m, "documento", "general")
+        for cue in _DOCUMENT_WORD.finditer(text):
+            m = _CUED_DOCUMENT.match(text, cue.end())
+            if m:
+                yield self.number(text, m, "documento", "cued")
+        if _STREET_HINT.search(text):
+            for m in _STREET_LAST.finditer(text):
+                yield m.start(), m.end(), "direccion", (1, 1, 1 if PLACE_CUE.search(text[max(0, m.start() - 14) : m.start()]) else 0, -1 if AFTER_NO.match(text, m.end()) else 0), ("last",)
         if digits_in_words >= 7:
             for m in _PHONE_WORDS.finditer(text):
                 yield self.number(text, m, "telefono")
@@ -185,7 +236,7 @@ class Finder:
         votes = (1, 1 if "." in value or "punto" in value.lower() else -1, 1 if EMAIL_CUE.search(before) else 0)
         return m.start(), m.end(), "email", votes, ("plain" if "@" in value or "＠" in value else "spelled",)
 
-    def number(self, text: str, m: re.Match, kind: str) -> Span:
+    def number(self, text: str, m: re.Match, kind: str, shape: str = "") -> Span:
         s, e = m.span()
         value = m.group()
         before, after = text[max(0, s - 28) : s], text[e : e + 14]
@@ -195,17 +246,21 @@ class Finder:
             words = figures == 0
             form = "words" if words else "prefix" if value[0] in "(+" or value.startswith("00") else "plain" if value.isdigit() else "grouped"
             first = value[0] in "6789" or form in ("prefix", "words")
-            votes = (1 if form == "prefix" else 0, 1 if form != "prefix" and first else -1 if not first else 0, 1 if PHONE_CUE.search(before) else 0, no, 1 if words or 9 <= figures <= 14 else -1)
+            votes = (1 if form == "prefix" else 0, 1 if form != "prefix" and first else -1 if not first else 0, 1 if PHONE_CUE.search(before) else 0, no, 1 if words or 9 <= figures <= 15 else -1)
         else:
             letter = any(c.isalpha() for c in value)
             form = "slashes" if "/" in value else "dots" if "." in value else "letter" if letter else "digits"
             votes = (1 if letter or form in ("slashes", "dots") else 0, 1 if DOCUMENT_CUE.search(before) else 0, no, 1 if 6 <= figures <= 12 else -1)
-        return s, e, kind, votes, (form,)
+        if shape == "general" and kind == "telefono":
+            votes = (1, 0, *votes[2:])  # its form is a telephone's
+        elif shape:
+            votes = (1, 1 if shape == "cued" else votes[1], *votes[2:])
+        return s, e, kind, votes, (shape or form,)
 
     def street(self, text: str, s: int, e: int) -> Span | None:
         """An address from a street word at text[s:e]: words of the name, then a house number; else None."""
         at, words, capitals = e, 0, 0
-        while words < 8:
+        while True:
             m = _STREET_WORD.match(text, at)
             if not m:
                 break
@@ -235,10 +290,12 @@ class Finder:
         """The whole name around a given name at text[s:e]."""
         capital = text[s].isupper()
         end, taken = e, 0
-        while taken < 2:
+        while True:
             m = _AFTER_GIVEN.match(text, end)
             if not m or m.group(1) and taken:
                 break
+            if taken >= 2 and _bare(m.group(2)) not in self.surnames:
+                break
             if not self.surname(m.group(2), capital or m.group(2)[0].isupper() and m.group(2).isupper()):
                 if not (capital and _bare(m.group(2).split("-")[0]) in self.surnames and taken == 0):
                     break
@@ -274,7 +331,7 @@ class Finder:
         known = [p for p in re.split(r"[\s\xa0,\-.]+", value) if p and _bare(p) in self.surnames]
         ambiguous = _bare(given) in self.common if given else False
         blocked = word in NO_PERSON and not cue.endswith((".", ":")) and not (cue and len(cue) > 3)
-        strong = cue and cue not in ("con", "ni", "a", "y con", "d.")
+        strong = cue and cue not in WEAK_CUES and cue != "d."
         part_of_address = before[-1:] in ("@", "＠", "_") or text[e : e + 1] in ("@", "＠", "_")
         if blocked or part_of_address:
             return None
@@ -365,44 +422,161 @@ def _fit(rows: list[tuple[tuple, tuple]], p: np.ndarray, weight: np.ndarray, l2:
     return {f: float(beta[i]) for f, i in index.items()}
 
 
-def train(texts: Iterable[str | None]) -> Finder:
-    """A finder from the texts of a sample.
+# Sentences that every finder is trained on besides its sample, so that no form of a mention is without an example.
+SEED = (
+    "Call (212) 555-0147 or 415-555-0132. My number is +44 20 7946 0958. Tel. 030 1234567. Téléphone: 01 23 45 67 89. Telefone +351 912 345 678.",
+    "His SSN was 078-05-1120. Passport number 123456789. La cédula 1.234.567 y el NIF 123456789 constan. RUT 9.876.543-K. DNI: 12345678Z.",
+    "She lives at 12 Main Street. He moved to 48 Old Mill Road in May. Il habite 5, rue de la Paix. Sie wohnt in der Hauptstraße 12. Vivo en la calle Real 8. Mora na rua Direita, 14. Abita in via Roma 3.",
+    "Mr. Brown called. My name is Peter Brown. Frau Schmidt und Klaus Meier kamen. Mme. Dubois et Pierre Dubois dormaient. Mi tía Julia Romero reía. Dr. Watson agreed.",
+    "Write to peter.brown@mail.example or julia (arroba) correo (punto) example.",
+)
+_PAIR = re.compile(rf"(?<![{_L}])({_NAME_WORD}){_BLANK}+(?:{_PARTICLE})?({_NAME_WORD})(?:{_BLANK}+({_NAME_WORD}))?")
+_INITIAL_AND_NAME = re.compile(rf"(?<![{_L}.])[{_UP}]\.{_BLANK}(?:[{_UP}]\.{_BLANK})?({_NAME_WORD})(?={_BLANK}+[{_LOW}])")
+_ARTICLE = re.compile(rf"(?<![{_L}])(?i:el|la|los|las|un|una|con|de|del|sin)\s+([{_LOW}]+)")
+_SMALL = re.compile(rf"(?<![{_L}@.+\-])[{_LOW}]+")
+_CUED = re.compile(rf"(?i:(?<![{_L}])(?:{'|'.join(re.escape(c) for c in STRONG_CUES)})){_BLANK}+({_NAME_WORD})((?:{_BLANK}+{_NAME_WORD}){{0,2}})(?:,{_BLANK}({_NAME_WORD}))?")
+
 
-    Surnames and further given names are learned from capitalised words beside known given names and after
-    strong cues; common words are those that the sample also has in small letters after an article or
-    preposition. Then the votes of each kind are aggregated and its classifier is trained.
-    """
-    texts = [t for t in texts if t]
-    surnames, common, small = Counter(), Counter(), Counter()
-    first = Finder()
-    pairs = re.compile(rf"(?<![{_L}])({_NAME_WORD}){_BLANK}+(?:{_PARTICLE})?({_NAME_WORD})(?:{_BLANK}+({_NAME_WORD}))?")
-    initials = re.compile(rf"(?<![{_L}.])[{_UP}]\.{_BLANK}(?:[{_UP}]\.{_BLANK})?({_NAME_WORD})(?={_BLANK}+[{_LOW}])")
-    article = re.compile(rf"(?<![{_L}])(?i:el|la|los|las|un|una|con|de|del|sin)\s+([{_LOW}]+)")
-    cued, seconds = Counter(), Counter()
-    after_cue = re.compile(rf"(?i:{'|'.join(re.escape(c) for c in STRONG_CUES)}){_BLANK}+({_NAME_WORD})((?:{_BLANK}+{_NAME_WORD}){{0,2}})(?:,{_BLANK}({_NAME_WORD}))?")
+def _first_counts(texts: Iterable[str | None]) -> Counter:
+    """(kind, word): words in small letters, first and second words of names after cues."""
+    small, out = Counter(), Counter()
     for t in texts:
-        small.update(re.findall(rf"(?<![{_L}@.+\-])[{_LOW}]+", t))
-        for m in after_cue.finditer(t):
-            cued[_bare(m.group(3) or m.group(1))] += 1
-            seconds.update(_bare(w) for w in (m.group(1) if m.group(3) else "", *m.group(2).split()) if w)
-    lower = Counter()
+        if t:
+            small.update(_SMALL.findall(t))
+            for m in _CUED.finditer(t):
+                out["first", _bare(m.group(3) or m.group(1))] += 1
+                out.update(("second", _bare(w)) for w in (m.group(1) if m.group(3) else "", *m.group(2).split()) if w)
     for w, k in small.items():
-        lower[_bare(w)] += k
-    learned = frozenset(w for w, k in cued.items() if k >= 3 and k > 2 * seconds[w] and lower[w] <= k / 4)
-    givens = first.givens | learned
+        out["small", _bare(w)] += k
+    return out
+
+
+def _second_counts(texts: Iterable[str | None], givens: frozenset[str]) -> Counter:
+    """(kind, word): words beside given names and after initials, given names in small letters after an article."""
+    out: Counter = Counter()
     for t in texts:
-        for m in pairs.finditer(t):
+        if not t:
+            continue
+        for m in _PAIR.finditer(t):
             if _bare(m.group(1)) in givens:
-                for w in m.groups()[1:]:
-                    surnames.update(_bare(x) for x in (w or "").split("-") if x)
-        surnames.update(_bare(w) for w in initials.findall(t))
-        common.update(_bare(w) for w in article.findall(t))
-    known = frozenset(w for w, k in surnames.items() if k >= 2 and w not in givens and lower[w] <= k / 2)
-    words = frozenset(w for w, k in common.items() if w in givens and k >= 1)
-    plain = frozenset(w for w, k in lower.items() if k >= max(PLAIN_FROM, len(texts) / PLAIN_TEXTS) and len(w) >= 4)
-    finder = Finder(known, learned, words, None, plain)
+                out.update(("surname", _bare(x)) for w in m.groups()[1:] for x in (w or "").split("-") if x)
+        out.update(("surname", _bare(w)) for w in _INITIAL_AND_NAME.findall(t))
+        out.update(("common", g) for g in map(_bare, _ARTICLE.findall(t)) if g in givens)
+    return out
+
+
+def _least(bounds: tuple[int, float], total: int) -> float:
+    return max(bounds[0], bounds[1] * total)
+
+
+class Words:
+    """Given names beyond the fixed ones, surnames, given names that are words too, and ordinary words."""
+
+    def __init__(self, givens=frozenset(), surnames=frozenset(), common=frozenset(), plain=None) -> None:
+        self.givens, self.surnames, self.common, self.plain = givens, surnames, common, plain
+
+
+def _given_names(first: dict, second: dict, small: dict, total: int) -> frozenset[str]:
+    return frozenset(w for w, k in first.items() if k >= _least(GIVEN_LEAST, total) and k > 2 * second.get(w, 0) and small.get(w, 0) <= k / 4)
+
+
+def _by_kind(counts: Iterable[tuple[str, str, int]]) -> dict[str, dict[str, int]]:
+    out: dict[str, dict[str, int]] = {}
+    for kind, word, n in counts:
+        out.setdefault(kind, {})[word] = n
+    return out
+
+
+def _words(count_first, count_second) -> Words:
+    """The words from two counts, the second made with the given names of the first.
+
+    Each gives (rows (kind, word, n), total of each kind); only words over the least shares need be among the rows.
+    """
+    rows, totals = count_first()
+    kinds = _by_kind(rows)
+    small = kinds.get("small", {})
+    learned = _given_names(kinds.get("first", {}), kinds.get("second", {}), small, totals.get("first", 0))
+    givens = frozenset(_bare(g) for g in (*GIVEN, *FOREIGN_GIVEN)) | learned
+    rows, more = count_second(givens)
+    kinds = _by_kind(rows)
+    surnames = frozenset(
+        w for w, k in kinds.get("surname", {}).items() if k >= _least(SURNAME_LEAST, more.get("surname", 0)) and w not in givens and small.get(w, 0) <= k / 2
+    )
+    plain = frozenset(w for w, k in small.items() if k >= _least(PLAIN_LEAST, totals.get("small", 0)) and len(w) >= 4)
+    return Words(learned, surnames, frozenset(kinds.get("common", {})), plain)
+
+
+def learn_words(texts: DataFrame) -> Words:
+    """The words of all of (…, texto): two passes, of counts made by batch and added by word.
+
+    What comes to the driver is bounded: words over a least share of all of their kind, and for those the
+    counts in small letters.
+    """
+
+    def counted(function) -> tuple[DataFrame, dict[str, int]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = function(batch.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["clase", "palabra", "n"]
+                )
+
+        sums = texts.select("texto").mapInArrow(run, "clase string, palabra string, n long").groupBy("clase", "palabra").agg(F.sum("n").alias("n")).checkpoint()
+        totals = {r["clase"]: r["t"] for r in sums.groupBy("clase").agg(F.sum("n").alias("t")).collect()}
+        return sums, totals
+
+    def over(sums: DataFrame, totals: dict[str, int], bounds: dict[str, tuple[int, float]]) -> DataFrame:
+        keep = F.lit(False)
+        for kind, least in bounds.items():
+            keep = keep | ((F.col("clase") == kind) & (F.col("n") >= _least(least, totals.get(kind, 0))))
+        return sums.where(keep)
+
+    seen: dict[str, DataFrame] = {}
+
+    def first():
+        sums, totals = counted(_first_counts)
+        seen["small"] = sums
+        rows = over(sums, totals, {"first": GIVEN_LEAST, "small": PLAIN_LEAST})
+        names = rows.where("clase = 'first'").select("palabra")  # bounded by its least share
+        of_names = sums.where("clase <> 'first'").join(F.broadcast(names), "palabra", "left_semi")
+        return {tuple(r) for r in rows.select("clase", "palabra", "n").union(of_names.select("clase", "palabra", "n")).collect()}, totals
+
+    def second(givens):
+        sums, totals = counted(lambda batch: _second_counts(batch, givens))
+        rows = over(sums, totals, {"surname": SURNAME_LEAST, "common": (1, 0.0)})  # common ones are given names
+        small = seen["small"].where("clase = 'small'").join(F.broadcast(rows.where("clase = 'surname'").select("palabra")), "palabra", "left_semi")
+        ordinary = {r["palabra"]: r["n"] for r in small.collect()}
+        rows = [tuple(r) for r in rows.select("clase", "palabra", "n").collect()]
+        return [(c, w, n) for c, w, n in rows if c != "surname" or ordinary.get(w, 0) <= n / 2], totals
+
+    return _words(first, second)
+
+
+def count_words(texts: Iterable[str | None]) -> Words:
+    """The same of texts in hand."""
+    texts = list(texts)
+
+    def made(counts: Counter):
+        totals: Counter = Counter()
+        for (kind, _), n in counts.items():
+            totals[kind] += n
+        return [(k, w, n) for (k, w), n in counts.items()], totals
+
+    return _words(lambda: made(_first_counts(texts)), lambda givens: made(_second_counts(texts, givens)))
+
+
+def train(texts: Iterable[str | None], words: Words | None = None) -> Finder:
+    """A finder from the texts of a sample and the words of all texts (of the sample, if none are given).
+
+    Surnames and further given names are learned from capitalised words beside known given names and after
+    strong cues; common words are given names that texts also have in small letters after an article or
+    preposition. Then the votes of each kind are aggregated and its classifier is trained.
+    """
+    texts = [t for t in texts if t]
+    words = words or count_words(texts)
+    finder = Finder(words.surnames, words.givens, words.common, None, words.plain)
     rows: dict[str, Counter] = {k: Counter() for k in KINDS}
-    for t in texts:
+    for t in (*SEED, *texts):
         for _, _, kind, votes, shape in finder.candidates(t):
             rows[kind][votes, shape] += 1
     for kind in KINDS:
@@ -414,9 +588,15 @@ def train(texts: Iterable[str | None]) -> Finder:
     return Finder(*finder.settings())
 
 
-def train_on(df: DataFrame, text: str, sample: int = SAMPLE_TEXTS) -> Finder:
-    """A finder from at most ``sample`` texts of the table, none longer than SAMPLE_LENGTH characters."""
-    return train(r[0] for r in df.select(text).where(F.char_length(text) <= SAMPLE_LENGTH).limit(sample).collect())
+def train_on(df: DataFrame, key: str, text: str, words: Words | None = None, sample: int = SAMPLE_TEXTS) -> Finder:
+    """A finder from at most ``sample`` texts of the table, none longer than SAMPLE_LENGTH characters.
+
+    They are drawn by a hash of the key, so that the order and the files of the table do not matter.
+    """
+    part = max(1, df.count() // sample)
+    drawn = F.xxhash64(df[key].cast("string"))
+    rows = df.where((F.char_length(text) <= SAMPLE_LENGTH) & (F.pmod(drawn, F.lit(part)) == 0)).select(drawn.alias("_h"), text).orderBy("_h").limit(sample).collect()
+    return train((r[1] for r in rows), words)
 
 
 def find_mentions(texts: DataFrame, finder: Finder, keep: tuple[str, ...] = ("tabla", "clave")) -> DataFrame:

@@ -220,7 +220,8 @@ where n_ab >= 5 and 2000 * n_ab >= n.n and n_ab * n.n >= 20 * a.unidades * b.uni
 
 
 def _finder(spark: SparkSession, folder: str) -> pii.Finder:
-    return pii.train_on(table(spark, folder, "segmentos"), "texto_literal")
+    words = pii.learn_words(texts(spark, folder, "corpus", "segmentos", "spans"))
+    return pii.train_on(table(spark, folder, "segmentos"), "segmento_id", "texto_literal", words)
 
 
 @query
