@@ -193,7 +193,7 @@ def pair_surprise(
 
     What the driver gets is bounded: classes of degrees and of sizes, and classes of p.
     """
-    baskets = baskets.select(items).where(F.size(items) > 0).checkpoint()
+    baskets = baskets.select(items).checkpoint().where(F.size(items) > 0)  # the filter after it: before, the items would be made twice
     counts = item_counts(baskets, items).checkpoint()
     pairs = pair_counts(baskets, items, counts, name, n_records, min_pairs, per, lift)
     by_degree = (
