@@ -9,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A cell is dense with at least this share of all usable units, so there are at most 1 / share of them; of few units, with four, else two.
-DENSE_SHARE, DENSE_LEAST = 0.0005, (4, 2)
-#: Edge of a cell, in the space of unit vectors.
-CELL = 0.4
-#: If fewer groups than names are found, as happens with few units, the cells are made wider by these factors.
-WIDER = (1.0, 1.25, 1.5, 2.0)
+#: A cell is dense with at least this share of all usable units, so there are at most 1 / share of them, and with at least so many units.
+DENSE_SHARE, DENSE_LEAST = 0.0005, 4
+#: Edge of a cell: so many standard deviations of the axes that tell no groups apart, and at least so much, in the space of unit vectors.
+CELL_DEVIATIONS, CELL_LEAST = 3.3, 0.05
 #: Means closer than this belong to one group.
 SAME_GROUP = 0.8
 
@@ -36,10 +34,12 @@ def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, usable
 
 
-def principal_axes(units: DataFrame, embedding: str, dim: int, n_axes: int) -> tuple[np.ndarray, int]:
-    """The first axes of the unit vectors, and the number of usable ones.
+def principal_axes(units: DataFrame, embedding: str, dim: int) -> tuple[np.ndarray, float, int]:
+    """The axes of the unit vectors that tell groups apart, the edge of a cell, and the number of usable units.
 
-    Partitions give the sums of products, Spark adds them, the driver gets dim x (dim + 1) + 1 numbers.
+    Axes of more than the mean variance are kept; the lesser half of the variances is that within groups and
+    gives the edge. So both follow from the vectors alone. Partitions give the sums of products, Spark adds
+    them, the driver gets dim x (dim + 1) + 1 numbers.
     """
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,11 +57,14 @@ def principal_axes(units: DataFrame, embedding: str, dim: int, n_axes: int) -> t
         total[r["i"]] = r["v"]
     n = total[-1]
     if n == 0:
-        return np.zeros((dim, n_axes)), 0
+        return np.zeros((dim, 1)), CELL_LEAST, 0
     mean = total[dim * dim : -1] / n
-    _, axes = np.linalg.eigh(total[: dim * dim].reshape(dim, dim) / n - np.outer(mean, mean))
-    axes = axes[:, ::-1][:, :n_axes]
-    return axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])] < 0, -1.0, 1.0), int(n)
+    variances, axes = np.linalg.eigh(total[: dim * dim].reshape(dim, dim) / n - np.outer(mean, mean))
+    variances = np.maximum(variances, 0)
+    within = float(variances[: max(1, dim // 2)].mean()) if dim > 1 else 0.0
+    axes = axes[:, ::-1][:, : max(1, int((variances > variances.mean()).sum()))]
+    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)
+    return axes, max(CELL_LEAST, CELL_DEVIATIONS * within**0.5), int(n)
 
 
 def grid_cells(units: DataFrame, embedding: str, axes: np.ndarray, cell: float) -> DataFrame:
@@ -127,16 +130,17 @@ def dense_components(cells: DataFrame, least: int) -> DataFrame:
             return dense.drop("grupo").join(labels, "celda")
 
 
-def group_directions(components: DataFrame, n_groups: int, dim: int) -> np.ndarray:
+def group_directions(components: list, n_groups: int) -> np.ndarray:
     """Mean directions of the ``n_groups`` largest groups of dense cells, one row each.
 
-    Components whose means are closer than SAME_GROUP are parts of one group.
+    ``components`` are the rows of :func:`dense_components`. Those whose means are closer than SAME_GROUP are
+    parts of one group.
     """
-    sums = [F.sum(F.col("suma")[i]).alias(f"s{i}") for i in range(dim)]
-    rows = components.groupBy("grupo").agg(F.sum("n").alias("n"), *sums).collect()  # at most one row per dense cell
+    sums: dict[int, np.ndarray] = {}
+    for r in components:
+        sums[r["grupo"]] = sums.get(r["grupo"], 0) + np.array(r["suma"])
     found: list[np.ndarray] = []
-    for r in sorted(rows, key=lambda r: (-r["n"], r["grupo"])):
-        s = np.array([r[f"s{i}"] for i in range(dim)])
+    for _, s in sorted(sums.items(), key=lambda kv: (-np.linalg.norm(kv[1]), kv[0])):
         for k, t in enumerate(found):
             if s @ t / (np.linalg.norm(s) * np.linalg.norm(t)) >= SAME_GROUP:
                 found[k] = t + s
@@ -144,13 +148,17 @@ def group_directions(components: DataFrame, n_groups: int, dim: int) -> np.ndarr
         else:
             found.append(s)
     found.sort(key=lambda s: -np.linalg.norm(s))
-    top = np.array(found[:n_groups]).reshape(-1, dim)
-    return top / np.maximum(np.linalg.norm(top, axis=1, keepdims=True), 1e-300)
+    top = np.array(found[:n_groups])
+    return top / np.maximum(np.linalg.norm(top, axis=1, keepdims=True), 1e-300) if len(top) else top
+
 
+def assign(units: DataFrame, embedding: str, means: np.ndarray, least: float, keep: tuple[str, ...], axes: np.ndarray, cell: float, dense: dict) -> DataFrame:
+    """Columns ``keep``, grupo (row of ``means`` nearest by cosine, null under ``least``), coseno, densidad.
 
-def assign(units: DataFrame, embedding: str, means: np.ndarray, least: float, keep: tuple[str, ...]) -> DataFrame:
-    """Columns ``keep``, grupo (row of ``means`` nearest by cosine, null under ``least``), coseno."""
-    dim = means.shape[1]
+    densidad is the number of units in the unit's cell, 0 where that is not dense; ``dense`` has at most
+    1 / DENSE_SHARE cells.
+    """
+    dim = len(axes)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,52 +167,26 @@ def assign(units: DataFrame, embedding: str, means: np.ndarray, least: float, ke
             best = cosine.argmax(axis=1)
             value = cosine[np.arange(len(x)), best]
             member = usable & (value >= least)
+            places = np.floor(x @ axes / cell).astype(np.int32)
+            density = [dense.get(tuple(p), 0) if u else 0 for p, u in zip(places.tolist(), usable)]
             columns = [batch.column(c) for c in keep]
-            columns += [pa.array(best.astype(np.int32), mask=~member), pa.array(value, mask=~usable)]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "grupo", "coseno"])
+            columns += [pa.array(best.astype(np.int32), mask=~member), pa.array(value, mask=~usable), pa.array(density, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "grupo", "coseno", "densidad"])
 
     kinds = dict(units.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "grupo int, coseno double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "grupo int, coseno double, densidad long"])
     return units.select(*dict.fromkeys([*keep, embedding])).mapInArrow(nearest, schema)
 
 
-def refined(units: DataFrame, embedding: str, means: np.ndarray, least: float, rounds: int = 5) -> np.ndarray:
-    """Means of the units nearest to each mean, until no mean turns by more than 0.0001."""
-    dim = means.shape[1]
-    for _ in range(rounds):
-        fixed = means
-
-        def sums(batches: Iterator[pa.RecordBatch], fixed=fixed) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(fixed.shape)
-            for batch in batches:
-                x, usable = _vectors(batch.column(0), dim)
-                cosine = x @ fixed.T
-                best = cosine.argmax(axis=1)
-                member = usable & (cosine[np.arange(len(x)), best] >= least)
-                np.add.at(total, best[member], x[member])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "v"])
-
-        rows = units.select(embedding).mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        total = np.zeros(fixed.size)
-        for r in rows:
-            total[r["i"]] = r["v"]
-        total = total.reshape(fixed.shape)
-        norm = np.linalg.norm(total, axis=1, keepdims=True)
-        means = np.where(norm > 0, total / np.maximum(norm, 1e-300), fixed)
-        if ((means * fixed).sum(axis=1) > 1 - 1e-8).all():
-            break
-    return means
-
-
 def cluster(
     units: DataFrame, key: str = "uc_id", embedding: str = "embedding", label: str = "cluster_id", least: float = 0.6,
-    cell: float = CELL, noise: int = -1,
+    noise: int = -1,
 ) -> DataFrame:
-    """``key``, ``label``, grupo, nombre, coseno: each unit's group, the group's name, its likeness.
+    """``key``, ``label``, grupo, nombre, coseno, densidad: each unit's group, the group's name, its likeness, the units of its cell.
 
     ``units`` holds each key once. There are as many groups as recorded names (null and ``noise`` are
     none). A group is named by the label most of its units carry, each name given once; on ties the
-    smaller one. Units without a usable embedding (null, zero, not finite, of another length), or less
+    smaller one. A group needs a dense cell: one of DENSE_LEAST units and DENSE_SHARE of all. Units without a usable embedding (null, zero, not finite, of another length), or less
     like every mean than ``least``, have no group. Without names or usable units no unit has one.
     """
     names = [
@@ -213,30 +195,15 @@ def cluster(
     sizes = units.where(F.col(embedding).isNotNull()).groupBy(F.size(embedding).alias("d")).count().collect()
     dims = sorted(((r["count"], r["d"]) for r in sizes if r["d"] > 0), reverse=True)
     dim = dims[0][1] if dims else 1
-    n_axes = max(1, min(dim, len(names) - 1, 12))
-    axes, usable = principal_axes(units, embedding, dim, n_axes)
-    if not usable or not names:
-        means = np.zeros((0, dim))
-    else:
-        means = np.zeros((0, dim))
-        for wider in WIDER:
-            cells = grid_cells(units, embedding, axes, cell * wider).checkpoint()
-            for least_units in dict.fromkeys(max(n, int(np.ceil(usable * DENSE_SHARE))) for n in DENSE_LEAST):
-                found = group_directions(dense_components(cells, least_units), len(names), dim)
-                means = found if len(found) > len(means) else means
-                if len(means) == len(names):
-                    break
-            if len(means) == len(names):
-                break
-        if len(means):
-            means = refined(units, embedding, means, least)
-        if 0 < len(means) < len(names):  # once more over what no group holds
-            rest = assign(units, embedding, means, least, (key, embedding)).where("grupo is null")
-            more = group_directions(dense_components(grid_cells(rest, embedding, axes, cell * WIDER[-1]).checkpoint(), DENSE_LEAST[-1]), len(names), dim)
-            apart = [m for m in more if (means @ m < SAME_GROUP).all()][: len(names) - len(means)]
-            if apart:
-                means = refined(units, embedding, np.vstack([means, *apart]), least)
-    members = assign(units, embedding, means, least, (key, label)).checkpoint()
+    axes, cell, usable = principal_axes(units, embedding, dim)
+    means, dense = np.zeros((0, dim)), {}
+    if usable and names:
+        least_units = max(DENSE_LEAST, int(np.ceil(usable * DENSE_SHARE)))
+        components = dense_components(grid_cells(units, embedding, axes, cell), least_units).collect()  # at most 1 / DENSE_SHARE rows
+        found = group_directions(components, len(names))
+        means = found if len(found) else means
+        dense = {tuple(r["celda"]): r["n"] for r in components}
+    members = assign(units, embedding, means, least, (key, label), axes, cell, dense).checkpoint()
     votes = members.where(F.col("grupo").isNotNull() & F.col(label).isin(names)).groupBy("grupo", label).count().collect() if names else []
     named: dict[int, int] = {}
     for r in sorted(votes, key=lambda r: (-r["count"], r[label], r["grupo"])):  # at most names x names rows
@@ -248,15 +215,16 @@ def cluster(
 
 
 def describe(clustered: DataFrame, key: str = "uc_id", label: str = "cluster_id", top: int = 5) -> DataFrame:
-    """Each group with its name, size, mean likeness, share rightly recorded and most typical members.
+    """Each group with its name, size, mean likeness, share rightly recorded and most typical members: those of its
+    densest cells, the most alike to its mean first.
 
     The rank limit is applied in each partition before the exchange, so a group of a third of all units
     sends ``top`` rows from each.
     """
     members = clustered.where("grupo is not null")
-    rank = F.row_number().over(Window.partitionBy("grupo").orderBy(F.desc("coseno"), key))
+    rank = F.row_number().over(Window.partitionBy("grupo").orderBy(F.desc("densidad"), F.desc("coseno"), key))
     typical = (
-        members.select("grupo", key, "coseno").withColumn("puesto", rank).where(F.col("puesto") <= top)
+        members.select("grupo", key, "coseno", "densidad").withColumn("puesto", rank).where(F.col("puesto") <= top)
         .groupBy("grupo").agg(F.sort_array(F.collect_list(F.struct("puesto", key))).alias("t"))
         .select("grupo", F.col(f"t.{key}").alias("tipicas"))
     )

@@ -39,6 +39,14 @@ def test_description(spark, planted):
     assert all(len(g["tipicas"]) == 3 and {truth[u] for u in g["tipicas"]} == {k} for k, g in groups.items())
 
 
+def test_typical_members_are_of_the_densest_cells(spark, planted):
+    clustered = clusters.cluster(spark.createDataFrame(planted[0], SCHEMA)).checkpoint()
+    density = {r["uc_id"]: (r["grupo"], r["densidad"]) for r in clustered.collect()}
+    for g in clusters.describe(clustered, top=3).collect():
+        most = max(n for k, n in density.values() if k == g["grupo"])
+        assert most >= clusters.DENSE_LEAST and density[g["tipicas"][0]] == (g["grupo"], most)
+
+
 def test_nothing_to_group(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert clusters.cluster(empty).count() == 0
