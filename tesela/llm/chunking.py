@@ -19,7 +19,7 @@ _CLOSERS = "\"'»”’)]}」』"
 #: Strength of the boundary after a word that ends so; a paragraph has 6 and a line end 5.
 _MARKS = {m: s for s, marks in ((4, ".!?…。！？؟।"), (3, ";:；：؛·"), (2, ",、，،—–")) for m in marks}
 _OPENERS_AFTER = "—–-¿¡«“"
-PIECE = "array<struct<pieza:int,inicio:int,fin:int,palabras:int,limite_natural:boolean>>"
+PIECE = "array<struct<pieza:int,inicio:int,fin:int,palabras:int,limite_natural:boolean,trozo:string>>"
 
 
 def count_words(text: Column) -> Column:
@@ -88,8 +88,8 @@ def plan_pieces(strengths: np.ndarray, limit: int, overlap: int) -> list[tuple[i
         start, left = end - overlap, left - 1
 
 
-def pieces_of(text: str | None, limit: int, overlap: int) -> list[dict] | None:
-    """The pieces of one text as character ranges; None for a null text or one without words."""
+def pieces_of(text: str | None, limit: int, overlap: int, with_text: bool = False) -> list[dict] | None:
+    """The pieces of one text as character ranges, and themselves if asked for; None for a null text or one without words."""
     if text is None:
         return None
     spans = [m.span() for m in _WORD.finditer(text)]
@@ -98,20 +98,25 @@ def pieces_of(text: str | None, limit: int, overlap: int) -> list[dict] | None:
     strengths = boundary_strengths(text, spans)
     plan = plan_pieces(strengths, limit, overlap)
     return [
-        {"pieza": i, "inicio": spans[a][0], "fin": spans[b - 1][1], "palabras": b - a, "limite_natural": bool(b == len(spans) or strengths[b - 1] > 0)}
+        {"pieza": i, "inicio": spans[a][0], "fin": spans[b - 1][1], "palabras": b - a, "limite_natural": bool(b == len(spans) or strengths[b - 1] > 0),
+         "trozo": text[spans[a][0] : spans[b - 1][1]] if with_text else None}
         for i, (a, b) in enumerate(plan)
     ]
 
 
 def _pieces(text: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
+    return pd.Series([pieces_of(t, n, o, True) for t, n, o in zip(text, limit, overlap)], dtype=object)
+
+
+def _ranges(text: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
     return pd.Series([pieces_of(t, n, o) for t, n, o in zip(text, limit, overlap)], dtype=object)
 
 
-def split_oversized(texts: DataFrame, config: DataFrame, only_oversized: bool = False) -> DataFrame:
+def split_oversized(texts: DataFrame, config: DataFrame, only_oversized: bool = False, with_text: bool = True) -> DataFrame:
     """Pieces of (tabla, clave, texto, config_id) under the word limit of its configuration.
 
     Columns: tabla, clave, pieza (from 0), inicio and fin (code points), palabras, limite_natural
-    (whether it ends at a natural boundary), trozo. Neighbours share exactly solape_tokens words. A text
+    (whether it ends at a natural boundary), trozo (null unless ``with_text``). Neighbours share exactly solape_tokens words. A text
     within its limit is one piece; a null text or one without words has none. A null or unknown
     config_id means configuration 1, without which nothing is cut; further columns, whatever their names, are
     left behind. Words are counted in the JVM; only oversized texts go to Python.
@@ -137,14 +142,12 @@ def split_oversized(texts: DataFrame, config: DataFrame, only_oversized: bool =
         known = known.where(too_long)
     else:
         known = known.where("n > 0")
-    cut = known.withColumn("piezas", F.pandas_udf(_pieces, PIECE)(F.when(too_long, F.col("texto")), "limite", "solape"))
+    cut = known.withColumn("piezas", F.pandas_udf(_pieces if with_text else _ranges, PIECE)(F.when(too_long, F.col("texto")), "limite", "solape"))
     whole = F.array(
         F.struct(
             F.lit(0).alias("pieza"), F.lit(0).alias("inicio"), F.char_length("texto").alias("fin"),
             F.col("n").cast("int").alias("palabras"), F.lit(True).alias("limite_natural"),
+            (F.col("texto") if with_text else F.lit(None).cast("string")).alias("trozo"),
         )
     )
-    return (
-        cut.select("tabla", "clave", "texto", F.explode(F.coalesce("piezas", whole)).alias("p"))
-        .select("tabla", "clave", "p.*", F.substring("texto", F.col("p.inicio") + 1, F.col("p.fin") - F.col("p.inicio")).alias("trozo"))
-    )
+    return cut.select("tabla", "clave", F.explode(F.coalesce("piezas", whole)).alias("p")).select("tabla", "clave", "p.*")

@@ -21,6 +21,38 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Repeated keys of a table that are broadcast, at most; beyond, rows are made distinct by an exchange.
+REPEATED_KEYS = 200_000
+
+
+def first_rows(spark: SparkSession, folder: str, name: str, key: str, *columns: str) -> DataFrame:
+    """``key`` and ``columns``, one row per key: repeated rows count once, rows without a key are left out.
+
+    The keys alone tell which repeat. Of their rows only the first stays, by file and place in it; up to
+    REPEATED_KEYS such keys are broadcast, so that no text or array goes through an exchange.
+    """
+    every = table(spark, folder, name).where(F.col(key).isNotNull())
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+    repeated = every.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key).checkpoint()
+    if repeated.count() > REPEATED_KEYS:
+        return every.select(key, *columns).dropDuplicates([key])
+    first = every.select(key, place.alias("_p")).join(F.broadcast(repeated), key).groupBy(key).agg(F.min("_p").alias("_primero"))
+    rows = every.select(key, *columns, place.alias("_p")).join(F.broadcast(first), key, "left")
+    return rows.where(F.col("_primero").isNull() | (F.col("_p") == F.col("_primero"))).drop("_p", "_primero")
+
+
+def distinct_texts(spark: SparkSession, folder: str, *names: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """(tabla, clave, texto, *also) of the named tables, one row per key."""
+    out = None
+    for name in names:
+        key, text = TEXTS[name]
+        part = first_rows(spark, folder, name, key, text, *also).select(
+            F.lit(name).alias("tabla"), F.col(key).cast("string").alias("clave"), F.col(text).alias("texto"), *also
+        )
+        out = part if out is None else out.unionAll(part)
+    return out.where(F.col("texto").isNotNull())
+
+
 def texts(spark: SparkSession, folder: str, *names: str) -> DataFrame:
     """(tabla, clave, texto) of the named tables, rows without a key or a text left out.
 
@@ -49,26 +81,9 @@ def term(value: Column) -> Column:
     return F.btrim(F.lower(nfc(value)), F.lit(" \t"))
 
 
-#: Repeated keys that are broadcast, at most; beyond, rows are made distinct by an exchange.
-REPEATED_KEYS = 200_000
-
-
 def units(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """One row per context unit: repeated rows of ``ucs`` count once, rows without uc_id are left out.
-
-    The keys alone tell which repeat. Of their rows only the first stays, by file and place in it; up to
-    REPEATED_KEYS such keys are broadcast, so that no array goes through an exchange.
-    """
-    every = table(spark, folder, "ucs").where(F.col("uc_id").isNotNull())
-    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
-    repeated = every.groupBy("uc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("uc_id").checkpoint()
-    if repeated.count() > REPEATED_KEYS:
-        return every.select("uc_id", *columns).dropDuplicates(["uc_id"])
-    first = (
-        every.select("uc_id", place.alias("_p")).join(F.broadcast(repeated), "uc_id").groupBy("uc_id").agg(F.min("_p").alias("_primero"))
-    )
-    rows = every.select("uc_id", *columns, place.alias("_p")).join(F.broadcast(first), "uc_id", "left")
-    return rows.where(F.col("_primero").isNull() | (F.col("_p") == F.col("_primero"))).drop("_p", "_primero")
+    """One row per context unit: repeated rows of ``ucs`` count once, rows without uc_id are left out."""
+    return first_rows(spark, folder, "ucs", "uc_id", *columns)
 
 
 def count_units(spark: SparkSession, folder: str) -> int:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesela.llm import bpe, chunking, clusters, cooc, lookalike, mixing, pii, sentences, terms
-from tesela.llm.common import count_units, table, texts, units
+from tesela.llm.common import count_units, distinct_texts, table, texts, units
 from tesela.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,15 +51,15 @@ def _configured(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Keys of the texts that the splitter had to cut."""
-    pieces = chunking.split_oversized(_configured(spark, folder), table(spark, folder, "config_runs"), True)
+    pieces = chunking.split_oversized(_configured(spark, folder), table(spark, folder, "config_runs"), True, False)
     return pieces.where("pieza = 1").select("tabla", "clave").distinct()
 
 
 @query
 def p1_trozos(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every unit and full text."""
-    pieces = chunking.split_oversized(_configured(spark, folder), table(spark, folder, "config_runs"))
-    return pieces.dropDuplicates(["tabla", "clave", "pieza"])
+    every = distinct_texts(spark, folder, "uces", "corpus", also=("config_id",))
+    return chunking.split_oversized(every, table(spark, folder, "config_runs"))
 
 
 _WS = r"[^\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -197,7 +197,7 @@ def p4_pares(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p4_conteos(spark: SparkSession, folder: str) -> DataFrame:
     """Every two lemmas of a unit with the units that hold each and both."""
-    baskets = _baskets(spark, folder).select("lemmas").where(F.size("lemmas") > 0).checkpoint()
+    baskets = _baskets(spark, folder).select("lemmas").checkpoint().where(F.size("lemmas") > 0)
     return cooc.pair_counts(baskets, "lemmas", cooc.item_counts(baskets, "lemmas"), "lemma", 0)
 
 
@@ -234,8 +234,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p5_textos(spark: SparkSession, folder: str) -> DataFrame:
     """The same texts with a placeholder for every mention."""
-    clean = pii.replace_mentions(texts(spark, folder, "corpus", "segmentos", "spans"), _finder(spark, folder))
-    return clean.dropDuplicates(["tabla", "clave"])
+    return pii.replace_mentions(distinct_texts(spark, folder, "corpus", "segmentos", "spans"), _finder(spark, folder))
 
 
 # --- 6: sentences --------------------------------------------------------------------------------
@@ -256,8 +255,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p6_oraciones(spark: SparkSession, folder: str) -> DataFrame:
     """Every sentence of the units and segments, in order."""
-    whole = sentences.split_sentences(texts(spark, folder, "uces", "segmentos"), _sentence_model(spark, folder))
-    return whole.dropDuplicates(["tabla", "clave", "orden"])
+    return sentences.split_sentences(distinct_texts(spark, folder, "uces", "segmentos"), _sentence_model(spark, folder))
 
 
 # --- 7: similarity clusters ----------------------------------------------------------------------

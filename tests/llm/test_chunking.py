@@ -72,6 +72,7 @@ def test_frame_with_odd_rows(spark):
         by.setdefault(r["clave"], []).append(r)
     assert set(by) == {"1", "4", "5"} and len(by["1"]) == 2
     assert len(by["4"]) == len(by["5"]) == 56 and all(r["palabras"] <= 100 for r in by["4"])
+    assert all(r["trozo"] == (long if r["clave"] in "45" else "corto")[r["inicio"] : r["fin"]] for r in got)
     only = chunking.split_oversized(texts, config, True)
     assert {r["clave"] for r in only.collect()} == {"4", "5"}
     assert chunking.split_oversized(texts.limit(0), config).count() == 0
