@@ -56,6 +56,33 @@ def test_canonical_members(documents):
     assert len(whole) == documents.count() and {r["forma"] for r in whole if r["doc_id"] < 5} == {"El año de la casa"}
 
 
+def test_confusables_of_every_script(spark):
+    letters = lookalike.confusable_letters(spark)
+    assert all(letters.get(a) == b for a, b in {"α": "a", "ρ": "p", "ι": "i", "Ꭺ": "A", "а": "a", "О": "O", "ѕ": "s"}.items())
+    assert not {"б", "з", "0", "1", "²", "ñ"} & set(letters) and all(a.isupper() == b.isupper() for a, b in letters.items())
+    looks = lookalike.Looks(lookalike.character_map(letters))
+    assert looks.visible("Ꭺ cαsα ‐ co‑op") == "A casa - co-op"
+    for text in ("El año: ¿sí? «no»\n", "ascii", "汉字、かな", "１²½ﬁ", "é", "a\u0301\r\nb", "\xa0", None, ""):
+        assert looks.visible(text) == (None if text is None else looks._form(text.replace("\r\n", "\n")))
+
+
+def test_texts_of_signs_alone(spark):
+    """They do not share one digest, and those that look the same are found."""
+    assert len({lookalike._coarse_digest(f) for f in ("!!!", "...", "?!", "—", "***")}) == 5
+    frame = spark.createDataFrame([(1, "—\xa0!"), (2, "— !"), (3, "—  !"), (4, "..."), (5, "...")], "doc_id long, text string")
+    assert [tuple(r) for r in lookalike.look_alike_pairs(lookalike.look_alike_classes(frame)).collect()] == [(1, 2)]
+
+
+def test_members_have_the_form_of_their_canonical_member(documents, monkeypatch):
+    classes = lookalike.look_alike_classes(documents)
+    chosen = {r["doc_id"]: r["forma"] for r in classes.collect()}
+    for most in (500_000, 0):
+        monkeypatch.setattr(lookalike, "BROADCAST_MEMBERS", most)
+        whole = {r["doc_id"]: r for r in lookalike.canonical_texts(documents, classes).collect()}
+        assert len(whole) == documents.count() and all(whole[k]["forma"] == v and whole[k]["clase"] for k, v in chosen.items())
+        assert all(r["clase"] is None for k, r in whole.items() if k not in chosen)
+
+
 def test_empty_table(documents):
     classes = lookalike.look_alike_classes(documents.limit(0))
     assert classes.count() == 0 and lookalike.look_alike_pairs(classes).count() == 0
