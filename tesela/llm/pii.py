@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -110,14 +111,15 @@ _ANY_PHONE = re.compile(
 #: Numbers of other countries: groups of three, two and four; letters, six digits and a key; a long number after a cue.
 _ANY_DOCUMENT = re.compile(r"(?<![\w.\-/#+])(?:\d{3}-\d{2}-\d{4}|[A-Z]{4}\d{6}[A-Z]{6}[\dA-Z]\d|[A-ZÑ&]{3,4}\d{6}[\dA-Z]{3}|[A-HJNPQRSUVW]-?\d{7}[\dA-J]|\d{1,2}\.\d{3}\.\d{3}-[\dkK]|\d\.\d{3}\.\d{3})(?![\w/]|[.\-]\d)")
 _CUED_DOCUMENT = re.compile(r"(?:[A-Z]{1,3}[ \-]?)?\d{6,12}(?:-?[A-Z\d])?(?![\w/]|[.\-]\d)")
-_DOCUMENT_WORD = re.compile(r"\b(?:dni|nie|nif|cif|cédula|cedula|pasaporte|passport|reisepass|passeport|passaporte|ausweis|personalausweis|ssn)(?:\s+(?:n[º°o.]+|núm\.?|nr\.?|no\.?|number|número|de identidad))?[\s:.]{1,3}", re.I)
+DOCUMENT_WORDS = "dni nie nif cif cédula cedula pasaporte passport reisepass passeport passaporte ausweis personalausweis ssn".split()
+_DOCUMENT_LINK = re.compile(r"(?:\s+(?:n[º°o.]+|núm\.?|nr\.?|no\.?|number|número|de identidad))?[\s:.]{1,3}", re.I)
 #: Addresses with the number first or the word for the street last.
 _STREET_LAST = re.compile(
     rf"(?<![\w.,])\d{{1,5}}[A-Za-z]?{_BLANK}+(?:[{_UP}][{_L}'’.\-]*{_BLANK}+){{1,4}}(?:Street|St\.|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Drive|Boulevard|Blvd\.?|Court|Square|Terrace|Crescent|Close|Place|Way)(?![{_L}])"
     rf"|(?<![\w.,])\d{{1,4}}(?:{_BLANK}?(?:bis|ter))?,?{_BLANK}+(?:rue|avenue|boulevard|place|chemin|impasse|quai|allée|cours){_BLANK}+(?:(?:de|du|des|la|le|les){_BLANK}+|de{_BLANK}l['’]|d['’]|l['’])*[{_UP}][{_L}'’\-]+(?:{_BLANK}+[{_UP}][{_L}'’\-]+)*"
     rf"|(?<![{_L}])[{_UP}][{_L}\-]+(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm){_BLANK}+\d{{1,4}}[a-z]?(?![\d{_L}])"
 )
-_STREET_HINT = re.compile(r"Street|St\.|Road|Rd|Ave|Lane|Ln|Drive|Boulevard|Blvd|Court|Square|Terrace|Crescent|Close|Place|Way|rue|avenue|boulevard|place|chemin|impasse|quai|allée|cours|straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm")
+STREET_HINTS = "street st. road rd ave avenue lane ln drive boulevard blvd court square terrace crescent close place way rue chemin impasse quai allée cours straße strasse str. weg gasse platz allee ufer damm".split()
 EMAIL_CUE = re.compile(r"(?:correo|escr[ií]b|mail|adress|email|write|schreib|contact|邮箱|連絡|/|\()", re.I)
 PHONE_CUE = re.compile(r"(?:tel[eéè]?f?\w*\.?|móvil|número|numéro|phone|number|call|llám\w*|al|luego|/|:|电话是?|電話は?|nummer|era|le|el|is|ist|то|\()[\s:,]*(?:el |le |al |the )?$", re.I)
 DOCUMENT_CUE = re.compile(r"(?:dni|nie|nif|cif|pasaporte|passport|documento|identidad|identity|cédula|seguridad social|social security|papeles|carn[eé]t?|ficha|tarjeta|número|ssn|ausweis|era|con)[\s:,]*(?:\w+\s+){0,2}$", re.I)
@@ -128,9 +130,18 @@ PLACE_CUE = re.compile(r"(?:en|a|de|cerca de|junto a|vive en|años en|mudamos a|
 Span = tuple[int, int, str, tuple, tuple]
 
 
+_ACUTE = str.maketrans("áéíóúü", "aeiouu")
+
+
 def _bare(word: str) -> str:
     """A word without acute accents and small."""
-    return word.lower().translate(str.maketrans("áéíóúü", "aeiouu"))
+    return word.lower().translate(_ACUTE)
+
+
+def _lowered(text: str) -> str:
+    """The text in small letters, of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 class Finder:
@@ -143,7 +154,7 @@ class Finder:
         machine = ahocorasick.Automaton()
         givens = {v for g in {*GIVEN, *FOREIGN_GIVEN, *self.givens} for v in (g, _bare(g))}
         signs = ("@", "＠", "arroba", "[at]", "(at)", "{at}")
-        for kind, words in (("g", givens), ("s", STREETS), ("d", DIGIT_WORDS), ("c", STRONG_CUES), ("@", signs)):
+        for kind, words in (("g", givens), ("s", STREETS), ("d", DIGIT_WORDS), ("c", STRONG_CUES), ("n", DOCUMENT_WORDS), ("l", STREET_HINTS), ("@", signs)):
             for w in words:
                 machine.add_word(w, machine.get(w, "") + kind)
         for w in list(machine.keys()):
@@ -156,9 +167,7 @@ class Finder:
 
     def candidates(self, text: str) -> Iterator[Span]:
         """(start, end, kind, votes, shape) of every candidate."""
-        low = text.lower()
-        if len(low) != len(text):
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        low = _lowered(text)
         hits = list(self.machine.iter(low))
         digits_in_words, mails, last = 0, [], 0
         for at, (kinds, size) in hits:
@@ -176,13 +185,15 @@ class Finder:
                     last = m.end()
                     mails.append(m.span())
                     yield self.email(text, m)
-        k = 0
+        k, hinted = 0, False
         for end, (kinds, size) in hits:
             start, after = end + 1 - size, end + 1
             while k < len(mails) and mails[k][1] <= start:
                 k += 1
             if "@" in kinds or k < len(mails) and mails[k][0] <= start:
                 continue  # names inside an address are none
+            if "l" in kinds and not low[after : after + 1].isalpha():
+                hinted = True
             if start and low[start - 1].isalpha() and low[start - 1] < IDEOGRAPHS or after < len(low) and low[end].isalpha() and low[after].isalpha() and low[after] < IDEOGRAPHS:
                 continue
             if "d" in kinds:
@@ -191,6 +202,11 @@ class Finder:
                 found = self.street(text, start, after)
                 if found:
                     yield found
+            if "n" in kinds:
+                link = _DOCUMENT_LINK.match(text, after)
+                m = _CUED_DOCUMENT.match(text, link.end()) if link else None
+                if m:
+                    yield self.number(text, m, "documento", "cued")
             if "g" in kinds:
                 found = self.person(text, start, after)
                 if found:
@@ -220,11 +236,7 @@ class Finder:
                 yield self.number(text, m, "telefono", "general")
             for m in _ANY_DOCUMENT.finditer(text, *region):
                 yield self.number(text, m, "documento", "general")
-        for cue in _DOCUMENT_WORD.finditer(text):
-            m = _CUED_DOCUMENT.match(text, cue.end())
-            if m:
-                yield self.number(text, m, "documento", "cued")
-        if _STREET_HINT.search(text):
+        if hinted:
             for m in _STREET_LAST.finditer(text):
                 yield m.start(), m.end(), "direccion", (1, 1, 1 if PLACE_CUE.search(text[max(0, m.start() - 14) : m.start()]) else 0, -1 if AFTER_NO.match(text, m.end()) else 0), ("last",)
         if digits_in_words >= 7:
@@ -432,9 +444,18 @@ SEED = (
 )
 _PAIR = re.compile(rf"(?<![{_L}])({_NAME_WORD}){_BLANK}+(?:{_PARTICLE})?({_NAME_WORD})(?:{_BLANK}+({_NAME_WORD}))?")
 _INITIAL_AND_NAME = re.compile(rf"(?<![{_L}.])[{_UP}]\.{_BLANK}(?:[{_UP}]\.{_BLANK})?({_NAME_WORD})(?={_BLANK}+[{_LOW}])")
-_ARTICLE = re.compile(rf"(?<![{_L}])(?i:el|la|los|las|un|una|con|de|del|sin)\s+([{_LOW}]+)")
+_ARTICLE = re.compile(rf"\b(?:[Ee]l|[Ll]a|[Ll]os|[Ll]as|[Uu]n|[Uu]na|[Cc]on|[Dd]e|[Dd]el|[Ss]in)\s+([{_LOW}]+)")
 _SMALL = re.compile(rf"(?<![{_L}@.+\-])[{_LOW}]+")
-_CUED = re.compile(rf"(?i:(?<![{_L}])(?:{'|'.join(re.escape(c) for c in STRONG_CUES)})){_BLANK}+({_NAME_WORD})((?:{_BLANK}+{_NAME_WORD}){{0,2}})(?:,{_BLANK}({_NAME_WORD}))?")
+_AFTER_CUE = re.compile(rf"{_BLANK}+({_NAME_WORD})((?:{_BLANK}+{_NAME_WORD}){{0,2}})(?:,{_BLANK}({_NAME_WORD}))?")
+
+
+@lru_cache(maxsize=1)
+def _cues() -> ahocorasick.Automaton:
+    machine = ahocorasick.Automaton()
+    for c in STRONG_CUES:
+        machine.add_word(c, len(c))
+    machine.make_automaton()
+    return machine
 
 
 def _first_counts(texts: Iterable[str | None]) -> Counter:
@@ -443,7 +464,13 @@ def _first_counts(texts: Iterable[str | None]) -> Counter:
     for t in texts:
         if t:
             small.update(_SMALL.findall(t))
-            for m in _CUED.finditer(t):
+            low = _lowered(t)
+            for end, size in _cues().iter(low):
+                if end >= size and low[end - size].isalpha():
+                    continue  # within a word
+                m = _AFTER_CUE.match(t, end + 1)
+                if m is None:
+                    continue
                 out["first", _bare(m.group(3) or m.group(1))] += 1
                 out.update(("second", _bare(w)) for w in (m.group(1) if m.group(3) else "", *m.group(2).split()) if w)
     for w, k in small.items():
@@ -454,6 +481,7 @@ def _first_counts(texts: Iterable[str | None]) -> Counter:
 def _second_counts(texts: Iterable[str | None], givens: frozenset[str]) -> Counter:
     """(kind, word): words beside given names and after initials, given names in small letters after an article."""
     out: Counter = Counter()
+    after_article: Counter = Counter()
     for t in texts:
         if not t:
             continue
@@ -461,7 +489,10 @@ def _second_counts(texts: Iterable[str | None], givens: frozenset[str]) -> Count
             if _bare(m.group(1)) in givens:
                 out.update(("surname", _bare(x)) for w in m.groups()[1:] for x in (w or "").split("-") if x)
         out.update(("surname", _bare(w)) for w in _INITIAL_AND_NAME.findall(t))
-        out.update(("common", g) for g in map(_bare, _ARTICLE.findall(t)) if g in givens)
+        after_article.update(_ARTICLE.findall(t))
+    for w, k in after_article.items():
+        if _bare(w) in givens:
+            out["common", _bare(w)] += k
     return out
 
 
