@@ -16,7 +16,7 @@ TEMPLATES = ("Lo hizo {} en la casa", "{} llegó mi hermana", "Eso {} no se sabe
 
 def examples(spark: SparkSession) -> DataFrame:
     """oracion, adverbio, categoria: every adverb of the lexicon in every template."""
-    rows = [(w, c) for c, ws in es.ADVERBS.items() for w in ws.split("|")]
+    rows = [(w, c) for c, ws in es.ADVERBS.items() for w in ws]
     words = spark.createDataFrame(rows, "adverbio string, categoria string").withColumn("plantilla", F.explode(F.array(*map(F.lit, TEMPLATES))))
     return words.select(F.replace("plantilla", F.lit("{}"), F.col("adverbio")).alias("oracion"), "adverbio", "categoria")
 
@@ -48,7 +48,7 @@ def classify(df: DataFrame, model: PipelineModel) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     labels = model.stages[0].labels
-    table = F.broadcast(df.sparkSession.createDataFrame([(w, c) for c, ws in es.ADVERBS.items() for w in ws.split("|")], "_a string, _lex string").dropDuplicates(["_a"]))
+    table = F.broadcast(df.sparkSession.createDataFrame([(w, c) for c, ws in es.ADVERBS.items() for w in ws], "_a string, _lex string").dropDuplicates(["_a"]))
     scored = model.transform(_spelled(df)).withColumn("_p", vector_to_array("probability"))
     names = F.array(*map(F.lit, labels))
     guess = F.element_at(names, F.least(F.col("prediction").cast("int"), F.lit(len(labels) - 1)) + 1)

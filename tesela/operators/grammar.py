@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def rule_tokens(texts: DataFrame, doc: str, unit: str, text: str) -> DataFrame:
         .when(_in(low, es.PRONOUNS), "PRON").when(_in(low, es.AUXILIARIES), "AUX").when(_in(low, es.CONJUNCTIONS), "CCONJ")
         .when(_in(low, [k for k in es.SUBORDINATORS if " " not in k]), "SCONJ").when(_in(low, es.INTERJECTIONS), "INTJ").when(_in(low, es.NEGATORS), "ADV")
         .when(_in(low, [w for v in es.QUANTIFIERS.values() for w in v]), "DET")
-        .when(_in(low, {w for v in es.ADVERBS.values() for w in v.split("|") if " " not in w}) | low.rlike("mente$"), "ADV")
+        .when(_in(low, {w for v in es.ADVERBS.values() for w in v if " " not in w}) | low.rlike("mente$"), "ADV")
         .when(low.rlike("(?:ar|er|ir|ando|iendo|aba|aban|ía|ían|ó|aron|ieron)(?:me|te|se|lo|la|los|las|le|les|nos)?$"), "VERB")
         .when(low.rlike("(?:oso|osa|able|ible|ico|ica|al|ivo|iva)s?$"), "ADJ").otherwise("NOUN")
     )
@@ -52,6 +53,50 @@ def rule_tokens(texts: DataFrame, doc: str, unit: str, text: str) -> DataFrame:
     )
 
 
+def shallow_parse(tokens: DataFrame) -> DataFrame:
+    """Heads, labels and morphology by position, for tokens of :func:`rule_tokens`.
+
+    A sentence's root is its first verb, else its first auxiliary, else its first token. Determiners, numerals,
+    adjectives and prepositions hang on a noun near them, nouns on the noun or verb before them (after a
+    preposition: nmod, obl; else the subject of the verb that follows or the object of the one before), clitics
+    and auxiliaries on the verb that follows, adverbs on the nearest verb, further verbs on the root. Endings give
+    person, number and tense of finite verbs. Two windows over a sentence, which the tokens are parted by already.
+    """
+    order = Window.partitionBy(*SENTENCE).orderBy("i")
+    before, after, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing), Window.partitionBy(*SENTENCE)
+    is_ = lambda *pos: F.when(F.col("pos").isin(*pos), F.col("i"))
+    t = tokens.select(
+        "*", F.last(is_("VERB"), True).over(before).alias("_pv"), F.first(is_("VERB"), True).over(after).alias("_nv"), F.last(is_("NOUN"), True).over(before).alias("_pn"),
+        F.first(is_("NOUN"), True).over(after).alias("_nn"), F.last(is_("ADP"), True).over(before).alias("_pa"), F.last(is_("SCONJ"), True).over(before).alias("_ps"),
+        F.coalesce(F.min(is_("VERB")).over(whole), F.min(is_("AUX")).over(whole), F.min("i").over(whole)).alias("_root"),
+    )
+    pv, nv, pn, nn, root, i, pos, low = (F.col(c) for c in ("_pv", "_nv", "_pn", "_nn", "_root", "i", "pos", "lower"))
+    near = F.when(pv.isNull(), nv).when(nv.isNull(), pv).when(i - pv <= nv - i, pv).otherwise(nv)
+    with_adp = F.coalesce(F.col("_pa"), F.lit(-1)) > F.greatest(F.coalesce(pn, F.lit(-1)), F.coalesce(pv, F.lit(-1)))
+    after_noun = pn.isNotNull() & (pn > F.coalesce(pv, F.lit(-1)))
+    close_noun = nn.isNotNull() & (nn - i <= 3)
+    form = morph("VerbForm")
+    to = lambda head, label: F.struct(head.alias("h"), label.alias("d"))
+    link = (
+        F.when(i == root, to(i, F.lit("root"))).when(pos == "PUNCT", to(root, F.lit("punct")))
+        .when(pos.isin("DET", "NUM", "ADJ") & close_noun, to(nn, F.when(pos == "DET", "det").when(pos == "NUM", "nummod").otherwise("amod")))
+        .when((pos == "ADJ") & pn.isNotNull(), to(pn, F.lit("amod"))).when((pos == "ADP") & close_noun, to(nn, F.lit("case")))
+        .when((pos == "NOUN") & with_adp & after_noun, to(pn, F.lit("nmod"))).when((pos == "NOUN") & with_adp & near.isNotNull(), to(near, F.lit("obl")))
+        .when((pos == "NOUN") & pv.isNull() & nv.isNotNull(), to(nv, F.lit("nsubj"))).when((pos == "NOUN") & pv.isNotNull(), to(pv, F.lit("obj")))
+        .when((pos == "PRON") & near.isNotNull(), to(F.coalesce(nv, pv), F.when(low == "se", "expl").when(low.isin("le", "les"), "iobj").when(low.isin(es.CLITIC_PRONOUNS), "obj").otherwise("nsubj")))
+        .when((pos == "AUX") & nv.isNotNull() & (nv - i <= 2), to(nv, F.lit("aux"))).when((pos == "ADV") & near.isNotNull(), to(near, F.lit("advmod")))
+        .when((pos == "SCONJ") & nv.isNotNull(), to(nv, F.lit("mark"))).when(pos == "CCONJ", to(root, F.lit("cc"))).when(pos == "INTJ", to(root, F.lit("discourse")))
+        .when(pos == "VERB", to(root, F.when(form.isin("Inf", "Ger") & (i - pv <= 3), "xcomp").when(F.coalesce(F.col("_ps"), F.lit(-1)) > pv, "advcl").otherwise("conj")))
+        .otherwise(to(root, F.lit("dep")))
+    )
+    plural, past = low.rlike("(?:aban|ían|aron|ieron)$"), low.rlike("(?:ó|aron|ieron)$")
+    finite = F.map_concat("morph", F.create_map(F.lit("Person"), F.lit("3"), F.lit("Number"), F.when(plural, "Plur").otherwise("Sing"), F.lit("Tense"), F.when(past, "Past").otherwise("Imp"), F.lit("Mood"), F.lit("Ind")))
+    pronoun = F.when(low.isin(es.REFLEXIVES), F.create_map(F.lit("PronType"), F.lit("Prs"), F.lit("Reflex"), F.lit("Yes"))).otherwise(F.create_map(F.lit("PronType"), F.lit("Prs")))
+    shaped = F.when((pos == "VERB") & (form == "Fin"), finite).when(pos == "PRON", pronoun).otherwise(F.col("morph"))
+    linked = t.withColumn("_l", link)
+    return linked.select(*(F.col("_l.h").alias(c) if c == "head_i" else F.col("_l.d").alias(c) if c == "dep" else shaped.alias(c) if c == "morph" else F.col(c) for c in tokens.columns))
+
+
 def with_head(tokens: DataFrame, *columns: str) -> DataFrame:
     """Adds h_<column> of each token's head."""
     head = tokens.select(*SENTENCE, F.col("i").alias("head_i"), *(F.col(c).alias(f"h_{c}") for c in columns))
@@ -112,11 +157,13 @@ def repaired_npis(tokens: DataFrame) -> DataFrame:
 
 
 def unlicensed_npis(tokens: DataFrame) -> DataFrame:
-    """Negative-polarity words with no negator before them and no other in a sentence they do not open."""
+    """Negative-polarity words outside idioms, with no negator before them and no other in a sentence they do not open."""
     window = Window.partitionBy(*SENTENCE).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     negated = F.coalesce(F.max(_in(F.col("lower"), es.NEGATORS).cast("int")).over(window), F.lit(0))
     verb = F.coalesce(F.max(F.col("pos").isin("VERB", "AUX").cast("int")).over(window), F.lit(0))
-    return tokens.withColumn("_n", negated).withColumn("_v", verb).where(_in(F.col("lower"), [w for w in es.NEGATIVE_POLARITY if w not in es.NEGATORS]) & (F.col("_n") == 0) & (F.col("_v") == 1)).select(*SENTENCE, "i", "text")
+    found = tokens.withColumn("_n", negated).withColumn("_v", verb).where(_in(F.col("lower"), [w for w in es.NEGATIVE_POLARITY if w not in es.NEGATORS]) & (F.col("_n") == 0) & (F.col("_v") == 1)).select(*SENTENCE, "i", "text")
+    idioms = phrases(tokens, {"idioma": es.NPI_IDIOMS}).select(*SENTENCE, F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("i"))
+    return found.join(idioms, [*SENTENCE, "i"], "left_anti")
 
 
 def pronouns(tokens: DataFrame) -> DataFrame:
@@ -188,12 +235,12 @@ def participle_agreement(tokens: DataFrame) -> DataFrame:
     return parts.where((morph("Gender") != F.col("sg")) | (morph("Number") != F.col("sn"))).select(*SENTENCE, "i", "text")
 
 
-def phrases(tokens: DataFrame, lexicon: dict[str, str], most: int = 5) -> DataFrame:
-    """Occurrences of words and phrases of a lexicon (category to words parted by |), the longest at each place first.
+def phrases(tokens: DataFrame, lexicon: dict[str, list[str]], most: int = 5) -> DataFrame:
+    """Occurrences of words and phrases of a lexicon (category to words), the longest at each place first.
 
     Each token carries the next words as leads; every length is looked up in a fixed broadcast table.
     """
-    pairs = [(w, c, len(w.split())) for c, ws in lexicon.items() for w in ws.split("|")]
+    pairs = [(w, c, len(w.split())) for c, ws in lexicon.items() for w in ws]
     table = lookup(tokens.sparkSession, pairs, "frase string, categoria string, n int")
     window = Window.partitionBy("doc_id", "uce_id").orderBy("i")
     words = tokens.where("not is_punct").select(*SENTENCE, "i", "lower", *(F.lead("lower", k).over(window).alias(f"w{k}") for k in range(1, most)))
@@ -275,9 +322,37 @@ def rarities(tokens: DataFrame) -> DataFrame:
     return de_que.unionByName(doubled).unionByName(possessive)
 
 
+def tree_depth(tokens: DataFrame) -> DataFrame:
+    """SENTENCE, profundidad: steps from the deepest token of a sentence to its root; a loop of heads counts once round.
+
+    The heads of a sentence go to its row once, whatever the depth of the tree.
+    """
+
+    @F.pandas_udf("int")
+    def depth(links: pd.Series) -> pd.Series:
+        out = []
+        for found in links:
+            head = {x["i"]: x["h"] for x in found}
+            known: dict[int, int] = {}
+            for i in head:
+                path = []
+                while i not in known and i in head and head[i] != i and i not in path:
+                    path.append(i)
+                    i = head[i]
+                at = known.get(i, 0)
+                for j in reversed(path):
+                    at += 1
+                    known[j] = at
+            out.append(max(known.values(), default=0))
+        return pd.Series(out, dtype="int32")
+
+    lists = tokens.where("head_i <> i").groupBy(*SENTENCE).agg(F.collect_list(F.struct("i", F.col("head_i").alias("h"))).alias("l"))
+    return lists.select(*SENTENCE, depth("l").alias("profundidad"))
+
+
 def complexity(tokens: DataFrame, most: int = 50) -> DataFrame:
     """Depth of the tree, clauses, mean distance to the head and share of heads to the left, by unit."""
-    depth = ancestors(tokens, 12).groupBy("doc_id", "uce_id").agg(F.least(F.max("pasos"), F.lit(most)).alias("profundidad"))
+    depth = tree_depth(tokens).groupBy("doc_id", "uce_id").agg(F.least(F.max("profundidad"), F.lit(most)).alias("profundidad"))
     inner = tokens.where("head_i <> i")
     base = tokens.groupBy("doc_id", "uce_id").agg(F.countDistinct("sent_id").alias("oraciones"), F.count_if(F.col("dep").isin("ccomp", "xcomp", "advcl", "acl", "relcl", "acl:relcl")).alias("recursividad"))
     right = F.count_if(F.col("i") > F.col("head_i"))
