@@ -1,3 +1,3 @@
 """Queries of the engine over its input tables; importing the package registers them."""
 
-from tesela.plans import discourse, grammar_plans, lexicon_plans, space_plans, statistics  # noqa: F401
+from tesela.plans import discourse, grammar_plans, lexicon_plans, parts, space_plans, statistics  # noqa: F401
