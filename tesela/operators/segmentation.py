@@ -71,71 +71,133 @@ def elementary_units(texts: DataFrame, key: str, text: str, ideal: int = IDEAL_T
     return texts.select(key, F.col(text).alias("_t")).mapInArrow(run, f"`{key}` {kind}, local_idx int, start_char int, end_char int, n_tokens int, texto string")
 
 
-def context_units(units: DataFrame, doc: str, order: str, size: str, min_forms: int = 10, block: int = 100_000) -> DataFrame:
-    """Adds uc_idx: a unit closes its context unit once ``size`` adds up to ``min_forms``; the rest is one too.
+#: Units of a document that one task takes; a longer document is parted into blocks of so many.
+BLOCK = 100_000
+
+
+def _has_large(units: DataFrame, doc: str, block: int) -> bool:
+    return bool(units.groupBy(doc).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).limit(1).count())
+
+
+def document_windows(units: DataFrame, doc: str, order: str, reach: int = 1, block: int = BLOCK) -> tuple[DataFrame, object]:
+    """(rows, window) for leads and lags of up to ``reach`` units of a document.
+
+    If a document has more than ``block`` units, its units are numbered by a range sort and parted into blocks; each
+    block also gets ``reach`` rows of its neighbours, with _propia false. So no task holds such a document. After
+    the window has been used the rows go through :func:`own_rows`.
+    """
+    if not _has_large(units, doc, block):
+        return units.withColumn("_propia", F.lit(True)), Window.partitionBy(doc).orderBy(order)
+    from tesela.operators.lexical import with_rank
 
-    The running sum starts anew at each close, so it is a fold over the document's units in order. A document is
-    parted into blocks of ``block`` units. What a block does to each of the ``min_forms`` sums it can begin with is
-    found side by side; the blocks of a document are then folded (one row each), and each block is run once from
-    the sum it really begins with. So no task holds a document, whatever share of the units it has. A null size is 0.
+    ranked = with_rank(units, [F.col(order)], "_lugar", start=0, by=doc)
+    place, own = F.pmod(F.col("_lugar"), F.lit(block)), F.floor(F.col("_lugar") / block)
+    near = F.array(own, F.when((place < reach) & (own > 0), own - 1), F.when(place >= block - reach, own + 1))
+    parted = ranked.withColumn("_propio", own).withColumn("_bloque", F.explode(F.filter(near, lambda x: x.isNotNull())))
+    return parted.withColumn("_propia", F.col("_bloque") == F.col("_propio")), Window.partitionBy(doc, "_bloque").orderBy("_lugar")
+
+
+def own_rows(rows: DataFrame) -> DataFrame:
+    return rows.where("_propia").drop("_propia", "_propio", "_bloque", "_lugar")
+
+
+def running_sum(units: DataFrame, doc: str, order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+    """Adds the sum of ``value`` over the units of a document before each, null for the first.
+
+    A document of more than ``block`` units is summed by blocks, and the sums of the blocks are added.
+    """
+    if not _has_large(units, doc, block):
+        return units.withColumn(name, F.sum(value).over(Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
+    from tesela.operators.lexical import with_rank
+
+    ranked = with_rank(units.withColumn("_v", value), [F.col(order)], "_lugar", start=0, by=doc).withColumn("_b", F.floor(F.col("_lugar") / block))
+    inner = F.sum("_v").over(Window.partitionBy(doc, "_b").orderBy("_lugar").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = ranked.groupBy(doc, "_b").agg(F.sum("_v").alias("_t"))
+    before = F.sum("_t").over(Window.partitionBy(doc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # a row per block
+    joined = ranked.withColumn("_i", inner).join(blocks.select(doc, "_b", before.alias("_s")), [doc, "_b"])
+    total = F.when(F.col("_i").isNull() & F.col("_s").isNull(), None).otherwise(F.coalesce("_i", F.lit(0)) + F.coalesce("_s", F.lit(0)))
+    return joined.withColumn(name, total).drop("_v", "_lugar", "_b", "_i", "_s")
+
+
+def blocked_fold(values: DataFrame, doc: str, order: str, n_states: int, advance, block: int = BLOCK) -> DataFrame:
+    """(doc, order, grupo, cierra): a fold over the values _s (int) of each document in order.
+
+    ``advance(states, value)`` takes an array of states from 0 to ``n_states`` - 1 and gives the next ones and whether
+    each closes a group; a document begins in state 0 and group 0. What a block of ``block`` units does to each state
+    is found side by side; the blocks of a document are then folded (one row each), and each block is run once from
+    the state it really begins with. So no task holds a document, whatever share of the units it has.
     """
-    numbered = units.select(doc, order, F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("int"), F.lit(0)).alias("_s"))
     window = Window.partitionBy(doc).orderBy(order)
-    if units.groupBy(doc).count().where(F.col("count") > block).limit(1).count():
+    if _has_large(values, doc, block):
         from tesela.operators.lexical import with_rank
 
-        placed = with_rank(numbered, [F.col(order)], "_i", start=0, by=doc)
+        placed = with_rank(values, [F.col(order)], "_i", start=0, by=doc)
         parts = placed.withColumn("_b", F.floor(F.col("_i") / block).cast("int"))
     else:
-        parts = numbered.withColumn("_i", F.row_number().over(window) - 1).withColumn("_b", F.lit(0))
-    kinds = dict(units.dtypes)
+        parts = values.withColumn("_i", F.row_number().over(window) - 1).withColumn("_b", F.lit(0))
+    kinds = dict(values.dtypes)
     lists = parts.groupBy(doc, "_b").agg(F.sort_array(F.collect_list(F.struct("_i", F.col(order).alias("o"), F.col("_s").alias("s")))).alias("us"))
 
-    def moves(starts: pd.Series) -> pd.Series:
+    def moves(starts: pd.Series) -> pd.DataFrame:
         out = []
         for us in starts:
-            total, closed = np.arange(min_forms), np.zeros(min_forms, dtype=np.int64)
+            state, closed = np.arange(n_states), np.zeros(n_states, dtype=np.int64)
             for s in us:
-                total = total + s
-                full = total >= min_forms
+                state, full = advance(state, int(s))
                 closed += full
-                total[full] = 0
-            out.append({"suma": total.tolist(), "cerradas": closed.tolist()})
+            out.append({"estado": state.tolist(), "cerradas": closed.tolist()})
         return pd.DataFrame(out)
 
     known = lists.where("_b > 0").limit(1).count()
     if known:
-        table = F.pandas_udf(moves, "struct<suma:array<long>,cerradas:array<long>>")
-        done = lists.select(doc, "_b", table(F.transform("us", lambda u: u.s)).alias("m"))
+        move = F.pandas_udf(moves, "struct<estado:array<long>,cerradas:array<long>>")
+        done = lists.select(doc, "_b", move(F.transform("us", lambda u: u.s)).alias("m"))
         chain = done.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("_b", "m"))).alias("bs"))
-        begin = F.struct(F.lit(0).cast("long").alias("suma"), F.lit(0).cast("long").alias("uc"), F.array().cast("array<struct<_b:int,suma:long,uc:long>>").alias("r"))
+        begin = F.struct(F.lit(0).cast("long").alias("estado"), F.lit(0).cast("long").alias("g"), F.array().cast("array<struct<_b:int,estado:long,g:long>>").alias("r"))
 
         def link(state: Column, x: Column) -> Column:
-            row = F.struct(x["_b"].alias("_b"), state.suma.alias("suma"), state.uc.alias("uc"))
-            at = (state.suma + 1).cast("int")
-            return F.struct(F.element_at(x["m"]["suma"], at).alias("suma"), (state.uc + F.element_at(x["m"]["cerradas"], at)).alias("uc"), F.concat(state.r, F.array(row)).alias("r"))
+            row = F.struct(x["_b"].alias("_b"), state.estado.alias("estado"), state.g.alias("g"))
+            at = (state.estado + 1).cast("int")
+            return F.struct(F.element_at(x["m"]["estado"], at).alias("estado"), (state.g + F.element_at(x["m"]["cerradas"], at)).alias("g"), F.concat(state.r, F.array(row)).alias("r"))
 
-        starts = chain.select(doc, F.explode(F.aggregate("bs", begin, link).r).alias("x")).select(doc, "x._b", F.col("x.suma").cast("int").alias("_suma"), F.col("x.uc").cast("int").alias("_uc"))
+        starts = chain.select(doc, F.explode(F.aggregate("bs", begin, link).r).alias("x")).select(doc, "x._b", F.col("x.estado").cast("int").alias("_estado"), F.col("x.g").cast("int").alias("_g"))
         lists = lists.join(starts, [doc, "_b"])
     else:
-        lists = lists.withColumn("_suma", F.lit(0)).withColumn("_uc", F.lit(0))
+        lists = lists.withColumn("_estado", F.lit(0)).withColumn("_g", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 us = batch.column("us")[row].values
                 sizes = us.field("s").to_pylist()
-                total, uc, index = batch.column("_suma")[row].as_py(), batch.column("_uc")[row].as_py(), np.empty(len(sizes), dtype=np.int32)
+                state, g = np.array([batch.column("_estado")[row].as_py()]), batch.column("_g")[row].as_py()
+                index, closes = np.empty(len(sizes), dtype=np.int32), np.empty(len(sizes), dtype=bool)
                 for i, s in enumerate(sizes):
-                    index[i] = uc
-                    total += s
-                    if total >= min_forms:
-                        total, uc = 0, uc + 1
+                    index[i] = g
+                    state, full = advance(state, s)
+                    closes[i] = full[0]
+                    g += int(full[0])
                 keys = batch.column(doc).take(pa.array(np.full(len(sizes), row)))
-                yield pa.RecordBatch.from_arrays([keys, us.field("o"), pa.array(index)], [doc, order, "uc_idx"])
+                yield pa.RecordBatch.from_arrays([keys, us.field("o"), pa.array(index), pa.array(closes)], [doc, order, "grupo", "cierra"])
 
-    placed = lists.select(doc, "us", "_suma", "_uc").mapInArrow(run, f"`{doc}` {kinds[doc]}, `{order}` {kinds[order]}, uc_idx int")
-    return units.join(placed, [doc, order])
+    return lists.select(doc, "us", "_estado", "_g").mapInArrow(run, f"`{doc}` {kinds[doc]}, `{order}` {kinds[order]}, grupo int, cierra boolean")
+
+
+def context_units(units: DataFrame, doc: str, order: str, size: str, min_forms: int = 10, block: int = BLOCK) -> DataFrame:
+    """Adds uc_idx: a unit closes its context unit once ``size`` adds up to ``min_forms``; the rest is one too.
+
+    The running sum starts anew at each close: a fold by blocks (:func:`blocked_fold`) over the ``min_forms`` sums
+    that a unit can meet. A null size is 0.
+    """
+
+    def advance(total: np.ndarray, size_: int) -> tuple[np.ndarray, np.ndarray]:
+        total = total + size_
+        full = total >= min_forms
+        return np.where(full, 0, total), full
+
+    sizes = units.select(doc, order, F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("int"), F.lit(0)).alias("_s"))
+    placed = blocked_fold(sizes, doc, order, min_forms, advance, block)
+    return units.join(placed.select(doc, order, F.col("grupo").alias("uc_idx")), [doc, order])
 
 
 def assembled(units: DataFrame, doc: str, order: str, text: str | None = None, *arrays: str) -> DataFrame:
@@ -162,67 +224,65 @@ def section_numbers(segments: DataFrame, doc: str, order: str, section: str = "s
     return named.join(numbered, [doc, section])
 
 
-def interval_starts(segments: DataFrame, doc: str, order: str, text: str, gap: int = 2) -> DataFrame:
+def interval_starts(segments: DataFrame, doc: str, order: str, text: str, gap: int = 2, block: int = BLOCK) -> DataFrame:
     """s_start and s_end of the segments of a document laid one after another, ``gap`` characters apart."""
-    length = F.coalesce(F.length(text), F.lit(0)) + gap
-    before = F.sum(length).over(Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    start = F.coalesce(before, F.lit(0))
-    return segments.withColumn("s_start", start).withColumn("s_end", start + F.coalesce(F.length(text), F.lit(0)))
+    length = F.coalesce(F.length(text), F.lit(0))
+    start = F.coalesce("s_start", F.lit(0))
+    return running_sum(segments, doc, order, length + gap, "s_start", block).withColumn("s_start", start).withColumn("s_end", F.col("s_start") + length)
 
 
-def cohesion(units: DataFrame, doc: str, order: str, vector: str, chains: str | None = None, w_coref: float = 0.0) -> DataFrame:
+def cohesion(units: DataFrame, doc: str, order: str, vector: str, chains: str | None = None, w_coref: float = 0.0, block: int = BLOCK) -> DataFrame:
     """Adds cohesion with the unit before: likeness (cosine from 0 to 1) and, by ``w_coref``, Jaccard of chains; null for the first."""
-    window = Window.partitionBy(doc).orderBy(order)
+    rows, window = document_windows(units, doc, order, 1, block)
     likeness = (cosine(F.lag(vector).over(window), F.col(vector)) + 1) / 2
     similar = F.when(likeness.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), likeness)))
     if chains is None:
-        return units.withColumn("cohesion", similar)
+        return own_rows(rows.withColumn("cohesion", similar))
     last, now = F.coalesce(F.lag(chains).over(window), F.array()), F.coalesce(F.col(chains), F.array())
     union = F.size(F.array_union(last, now))
     jaccard = F.when(union > 0, F.size(F.array_intersect(last, now)) / union).otherwise(0.0)
-    return units.withColumn("cohesion", (1 - w_coref) * similar + w_coref * jaccard)
+    return own_rows(rows.withColumn("cohesion", (1 - w_coref) * similar + w_coref * jaccard))
 
 
-def topic_shift(units: DataFrame, doc: str, order: str, vector: str) -> DataFrame:
+def topic_shift(units: DataFrame, doc: str, order: str, vector: str, block: int = BLOCK) -> DataFrame:
     """Adds topic_shift = 1 - cosine with the unit before; 1 for the first and where a vector is missing."""
-    window = Window.partitionBy(doc).orderBy(order)
-    return units.withColumn("topic_shift", F.coalesce(1 - cosine(F.lag(vector).over(window), F.col(vector)), F.lit(1.0)))
+    rows, window = document_windows(units, doc, order, 1, block)
+    return own_rows(rows.withColumn("topic_shift", F.coalesce(1 - cosine(F.lag(vector).over(window), F.col(vector)), F.lit(1.0))))
 
 
-def smoothed(units: DataFrame, doc: str, order: str, score: str, width: int = 3) -> DataFrame:
+def smoothed(units: DataFrame, doc: str, order: str, score: str, width: int = 3, block: int = BLOCK) -> DataFrame:
     """Adds suave: centred moving mean; at the ends the edge value stands for what is missing."""
     half = width // 2
-    window = Window.partitionBy(doc).orderBy(order)
-    whole = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, last = F.first(score).over(whole), F.last(score).over(whole)
+    rows, window = document_windows(units, doc, order, max(1, half), block)
     total = F.col(score)
     for k in range(1, half + 1):
-        total = total + F.coalesce(F.lag(score, k).over(window), first) + F.coalesce(F.lead(score, k).over(window), last)
-    return units.withColumn("suave", total / (2 * half + 1))
+        # the farthest value there is within reach: beyond an end that is the edge value
+        for side in (F.lag, F.lead):
+            total = total + F.coalesce(*(side(score, j).over(window) for j in range(k, 0, -1)), F.col(score))
+    return own_rows(rows.withColumn("suave", total / (2 * half + 1)))
 
 
-def boundaries(units: DataFrame, doc: str, order: str, score: str, section: str, threshold: float = 0.5, min_drop: float = 0.05, min_gap: int = 2) -> DataFrame:
+def boundaries(units: DataFrame, doc: str, order: str, score: str, section: str, threshold: float = 0.5, min_drop: float = 0.05, min_gap: int = 2, block: int = BLOCK) -> DataFrame:
     """Adds frontera (the unit ends a segment) and segmento.
 
     A change of section cuts if ``min_gap`` units have passed and is never tested by score; else a local
     minimum at least ``min_drop`` under the threshold does. The last unit always ends one. Flags come from
-    leads and lags; the gap hangs on the cut before and is a fold over the document's flags.
+    leads and lags; the gap hangs on the cut before and is a fold by blocks over the document's flags.
     """
-    window = Window.partitionBy(doc).orderBy(order)
+    rows, window = document_windows(units, doc, order, 1, block)
     before, after = F.lag(score).over(window), F.lead(score).over(window)
     hard = F.lead(section).over(window).isNotNull() & ~F.lead(section).over(window).eqNullSafe(F.col(section))
     soft = (threshold - F.col(score) >= min_drop) & (F.coalesce(before, F.col(score)) >= F.col(score)) & (F.coalesce(after, F.col(score)) >= F.col(score))
-    flagged = units.withColumn("_o", F.row_number().over(window) - 1).withColumn("_c", F.when(hard, True).when(soft, True).otherwise(False)).withColumn("_u", F.lead(order).over(window).isNull())
-    lists = flagged.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("_o", "_c", "_u"))).alias("l"))
-    start = F.struct(F.lit(-1).alias("ultima"), F.lit(0).alias("s"), F.array().cast("array<struct<_o:int,frontera:boolean,segmento:int>>").alias("r"))
+    may = F.when(F.lead(order).over(window).isNull(), 2).when(hard | soft, 1).otherwise(0)
+    flags = own_rows(rows.withColumn("_s", may.cast("int"))).select(doc, order, "_s")
 
-    def step(state: Column, x: Column) -> Column:
-        cut = x._u | (x._c & (x._o - state.ultima >= min_gap))
-        row = F.struct(x._o.alias("_o"), cut.alias("frontera"), state.s.alias("segmento"))
-        return F.struct(F.when(cut, x._o).otherwise(state.ultima).alias("ultima"), (state.s + cut.cast("int")).alias("s"), F.concat(state.r, F.array(row)).alias("r"))
+    def advance(gap: np.ndarray, flag: int) -> tuple[np.ndarray, np.ndarray]:
+        gap = np.minimum(gap + 1, min_gap)
+        cut = np.full(len(gap), flag == 2) | ((flag == 1) & (gap >= min_gap))
+        return np.where(cut, 0, gap), cut
 
-    placed = lists.select(doc, F.explode(F.aggregate("l", start, step).r).alias("x")).select(doc, "x.*")
-    return flagged.join(placed, [doc, "_o"]).drop("_o", "_c", "_u")
+    placed = blocked_fold(flags, doc, order, min_gap + 1, advance, block)
+    return units.join(placed.select(doc, order, F.col("cierra").alias("frontera"), F.col("grupo").alias("segmento")), [doc, order])
 
 
 def segment_ranges(marked: DataFrame, doc: str, order: str) -> DataFrame:
@@ -330,14 +390,14 @@ def grouped(units: DataFrame, doc: str, order: str, vector: str, kernel=recursiv
     return units.select(doc, order, vector).groupBy(doc).applyInPandas(run, f"`{doc}` {kinds[doc]}, `{order}` {kinds[order]}, grupo int")
 
 
-def entity_boundary(units: DataFrame, doc: str, order: str, vector: str, entities: str, content: str) -> DataFrame:
+def entity_boundary(units: DataFrame, doc: str, order: str, vector: str, entities: str, content: str, block: int = BLOCK) -> DataFrame:
     """Adds puntaje of the boundary before a unit: half unlikeness, half unshared entities; -1 under four content words."""
-    window = Window.partitionBy(doc).orderBy(order)
+    rows, window = document_windows(units, doc, order, 1, block)
     last, now = F.coalesce(F.lag(entities).over(window), F.array()), F.coalesce(F.col(entities), F.array())
     union = F.size(F.array_union(last, now))
     jaccard = F.when(union > 0, F.size(F.array_intersect(last, now)) / union).otherwise(0.0)
     score = 0.5 * (1 - cosine(F.lag(vector).over(window), F.col(vector))) + 0.5 * (1 - jaccard)
-    return units.withColumn("puntaje", F.when(F.col(content) < 4, -1.0).otherwise(score))
+    return own_rows(rows.withColumn("puntaje", F.when(F.col(content) < 4, -1.0).otherwise(score)))
 
 
 def merge_lowest(scores: list[float], most: int) -> list[list[int]]:
@@ -381,31 +441,32 @@ def relocked(units: DataFrame, texts: DataFrame, doc: str, order: str, unit_text
     return lists.select(doc, F.explode(F.aggregate("l", start, step).r).alias("x")).select(doc, F.col("x.o").alias(order), "x.inicio")
 
 
-def sliding_windows(units: DataFrame, doc: str, order: str, text: str, width: int = 3, most: int = 4000) -> DataFrame:
+def sliding_windows(units: DataFrame, doc: str, order: str, text: str, width: int = 3, most: int = 4000, block: int = BLOCK) -> DataFrame:
     """Adds ventana: the last ``width`` units' texts, shortened from the left to ``most`` characters at whole units."""
-    window = Window.partitionBy(doc).orderBy(order).rowsBetween(-(width - 1), 0)
+    rows, window = document_windows(units, doc, order, max(1, width - 1), block)
+    window = window.rowsBetween(-(width - 1), 0)
     joined = F.array_join(F.col("_w"), " ")
-    out = units.withColumn("_w", F.collect_list(text).over(window))
+    out = rows.withColumn("_w", F.collect_list(text).over(window))
     shrunk = joined
     for k in range(1, width):
         shorter = F.array_join(F.slice("_w", F.greatest(F.lit(1), F.lit(k + 1)), F.greatest(F.lit(1), F.size("_w") - k)), " ")
         shrunk = F.when(F.length(shrunk) > most, shorter).otherwise(shrunk)
-    return out.withColumn("ventana", shrunk).drop("_w")
+    return own_rows(out.withColumn("ventana", shrunk).drop("_w"))
 
 
-def shifts(units: DataFrame, doc: str, order: str, vector: str, profile: str, substance: str, least: float = 0.6, far: float = 0.4) -> DataFrame:
+def shifts(units: DataFrame, doc: str, order: str, vector: str, profile: str, substance: str, least: float = 0.6, far: float = 0.4, block: int = BLOCK) -> DataFrame:
     """Adds cambio_de_tema: both neighbours have substance and their cosine is under ``least`` or their label profiles over ``far`` apart."""
     from tesela.operators.grammar import profile_distance
 
-    window = Window.partitionBy(doc).orderBy(order)
+    rows, window = document_windows(units, doc, order, 1, block)
     apart = (cosine(F.lag(vector).over(window), F.col(vector)) < least) | (profile_distance(F.lag(profile).over(window), F.col(profile)) > far)
-    return units.withColumn("cambio_de_tema", F.coalesce(apart & F.col(substance) & F.lag(substance).over(window), F.lit(False)))
+    return own_rows(rows.withColumn("cambio_de_tema", F.coalesce(apart & F.col(substance) & F.lag(substance).over(window), F.lit(False))))
 
 
-def progressive(marked: DataFrame, doc: str, order: str) -> DataFrame:
+def progressive(marked: DataFrame, doc: str, order: str, block: int = BLOCK) -> DataFrame:
     """Adds segmento: a new one starts at each change of topic; a running sum, as the test is between neighbours."""
-    window = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("segmento", F.sum(F.col("cambio_de_tema").cast("int")).over(window).cast("int"))
+    turn = F.col("cambio_de_tema").cast("int")
+    return running_sum(marked, doc, order, turn, "segmento", block).withColumn("segmento", (F.coalesce("segmento", F.lit(0)) + turn).cast("int"))
 
 
 def overflow_pieces(n_tokens: int, most: int, scores: list[float]) -> list[list[int]]:

@@ -69,8 +69,11 @@ def liminal(membership: DataFrame, unit: str) -> DataFrame:
 
 def trajectory(units: DataFrame, doc: str, order: str, label: str) -> DataFrame:
     """Adds cambio: whether the class differs from the unit's before, 0 for the first."""
-    window = Window.partitionBy(doc).orderBy(order)
-    return units.withColumn("cambio", F.coalesce((~F.col(label).eqNullSafe(F.lag(label).over(window))).cast("int") * F.lag(order).over(window).isNotNull().cast("int"), F.lit(0)))
+    from tesela.operators.segmentation import document_windows, own_rows
+
+    rows, window = document_windows(units, doc, order)
+    changed = (~F.col(label).eqNullSafe(F.lag(label).over(window))).cast("int") * F.lag(order).over(window).isNotNull().cast("int")
+    return own_rows(rows.withColumn("cambio", F.coalesce(changed, F.lit(0))))
 
 
 def latent_vocabulary(lexicon: DataFrame, used: DataFrame, centroids: DataFrame, label: str, top: int = 20) -> DataFrame:

@@ -95,3 +95,40 @@ def test_assembled_units_are_a_partition(spark):
     got = seg.assembled(seg.context_units(frame, "doc_id", "local_idx", "n", 10), "doc_id", "local_idx", None, "lemmas").orderBy("uc_idx").collect()
     assert [u for r in got for u in r["uce_ids"]] == [f"u{i}" for i in range(7)] and got[0]["uc_id"] == "uc_1_0"
     assert isinstance(pd.DataFrame(got), pd.DataFrame)
+
+
+def test_blocks_of_a_document_give_what_it_gives_whole(spark):
+    """One document holds half of all rows; parted into blocks of five units it has the same results."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tesela.operators import segmentation
+
+    r = random.Random(3)
+    rows = []
+    for d, n in ((1, 60), (2, 25), (3, 1), (4, 34)):
+        for i in range(n):
+            rows.append((d, i, [r.random(), r.random()], r.random(), f"s{i // 9}", [r.choice("abcd") for _ in range(r.randrange(4))], r.randrange(8), r.choice("xy") * 3, r.random() < 0.3))
+    u = spark.createDataFrame(rows, "d int, i int, v array<double>, c double, s string, e array<string>, k int, t string, cambio_de_tema boolean").checkpoint()
+    made = {
+        "shift": lambda b: segmentation.topic_shift(u, "d", "i", "v", b).select("d", "i", "topic_shift"),
+        "cohesion": lambda b: segmentation.cohesion(u, "d", "i", "v", "e", 0.3, b).select("d", "i", "cohesion"),
+        "smooth": lambda b: segmentation.smoothed(u, "d", "i", "c", 3, b).select("d", "i", "suave"),
+        "smooth5": lambda b: segmentation.smoothed(u, "d", "i", "c", 5, b).select("d", "i", "suave"),
+        "cut": lambda b: segmentation.boundaries(u, "d", "i", "c", "s", 0.6, block=b).select("d", "i", "frontera", "segmento"),
+        "entity": lambda b: segmentation.entity_boundary(u, "d", "i", "v", "e", "k", b).select("d", "i", "puntaje"),
+        "sliding": lambda b: segmentation.sliding_windows(u, "d", "i", "t", 3, 8, b).select("d", "i", "ventana"),
+        "progressive": lambda b: segmentation.progressive(u, "d", "i", b).select("d", "i", "segmento"),
+        "places": lambda b: segmentation.interval_starts(u, "d", "i", "t", 2, b).select("d", "i", "s_start", "s_end"),
+        "context": lambda b: segmentation.context_units(u, "d", "i", "k", 10, b).select("d", "i", "uc_idx"),
+    }
+    plain = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    for name, make in made.items():
+        whole = plain(make(100_000))
+        assert len(whole) == len(rows) and plain(make(5)) == whole, name
+    # the moving mean against its definition: the edge value stands for what is missing
+    c = [x[3] for x in rows if x[0] == 1]
+    padded = [c[0]] * 2 + c + [c[-1]] * 2
+    got = {r["i"]: r["suave"] for r in made["smooth5"](5).where(F.col("d") == 1).collect()}
+    assert all(abs(got[i] - sum(padded[i : i + 5]) / 5) < 1e-9 for i in range(len(c)))
