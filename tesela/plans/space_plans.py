@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesela.operators import classify, factor, lexical, segmentation, space, terms
 from tesela.operators.tables import context_units, table, unique, units
 from tesela.plans.common_sql import CONTEXT_UNITS, MATRIX, UNITS
-from tesela.plans.lexicon_plans import matrix, stems
+from tesela.plans.lexicon_plans import _TERMS, matrix, stems
 from tesela.plans.registry import query, rounded
 
 DIM = 32
@@ -99,7 +99,14 @@ def _smoothed(spark: SparkSession, folder: str) -> DataFrame:
     return segmentation.smoothed(near, "doc_id", "orden", "cohesion")
 
 
-@query("cohesion_segments")
+@query(
+    "cohesion_segments",
+    f"""with recursive {_COHESION}, sm as (select doc_id, orden, (cohesion + coalesce(lag(cohesion) over w, cohesion) + coalesce(lead(cohesion) over w, cohesion)) / 3 as s from hh window w as (partition by doc_id order by orden)),
+fl as (select doc_id, orden, row_number() over w - 1 as k, 0.6 - s >= 0.05 and coalesce(lag(s) over w, s) >= s and coalesce(lead(s) over w, s) >= s as c, lead(orden) over w is null as u from sm window w as (partition by doc_id order by orden)),
+r as (select doc_id, orden, k, u as corta, 0 as segmento, case when u then 0 else -1 end as ultima from fl where k = 0
+  union all select fl.doc_id, fl.orden, fl.k, fl.u or (fl.c and fl.k - r.ultima >= 2), r.segmento + r.corta::int, case when fl.u or (fl.c and fl.k - r.ultima >= 2) then fl.k else r.ultima end from r join fl on fl.doc_id = r.doc_id and fl.k = r.k + 1)
+select doc_id, segmento, min(orden) as desde, max(orden) as hasta, count(*) as n from r group by all""",
+)
 def cohesion_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Segments of context units between boundaries of cohesion."""
     marked = segmentation.boundaries(_smoothed(spark, folder).withColumn("seccion", F.lit("")), "doc_id", "orden", "suave", "seccion", 0.6)
@@ -122,7 +129,26 @@ def recursive_segments(spark: SparkSession, folder: str) -> DataFrame:
     return segmentation.grouped(u, "doc_id", "orden", "embedding")
 
 
-@query("reinert_units")
+_SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_PIECE = rf"[{_SPACE}]*(?:[\p{{L}}\p{{N}}]+(?:[''’\-][\p{{L}}\p{{N}}]+)*|[^\p{{L}}\p{{N}}_{_SPACE}]|_)"
+
+
+@query(
+    "reinert_units",
+    rf"""with recursive sg as materialized (select distinct on (segmento_id) segmento_id, texto_literal as t from segmentos where segmento_id is not null and seccion is not null and seccion <> '' and seccion not in ('TEXTO_NO_ASIGNADO', 'I. Datos sociodemográficos y perfil profesional') and texto_literal is not null and texto_literal <> ''),
+k0 as (select segmento_id, unnest(regexp_extract_all(t, '{_PIECE}')) as x, generate_subscripts(regexp_extract_all(t, '{_PIECE}'), 1) - 1 as i from sg),
+k as materialized (select segmento_id, i, regexp_replace(x, '^[{_SPACE}]+', '') as w, sum(length(x)) over (partition by segmento_id order by i) as e, count(*) over (partition by segmento_id) as n from k0),
+g as materialized (select *, case when w in ('?', '!', '.', '…') then 6.0 when w = ':' then 5.0 when w = ';' then 4.0 when w = ',' then 1.0 else 0.01 end::double as peso from k),
+sw as (select segmento_id, i, n, list(peso) over (partition by segmento_id order by i rows between 24 following and 55 following) as l from g),
+sc as (select segmento_id, i, list_transform(l, lambda x, j: x * (1.0::double / (abs(j + 23 - 40) + 1))) as l from sw where n - i > 56),
+z as materialized (select segmento_id, i as desde, i + 24 + list_position(l, list_max(l)) as hasta from sc),
+r as (select segmento_id, 0::bigint as desde from g where i = 0 union all select z.segmento_id, z.hasta from r join z on z.segmento_id = r.segmento_id and z.desde = r.desde),
+v as materialized (select r.segmento_id, r.desde, coalesce(lead(r.desde) over (partition by r.segmento_id order by r.desde), p.n) as hasta from r join g p on p.segmento_id = r.segmento_id and p.i = 0),
+y0 as materialized (select v.segmento_id, v.desde, (a.e - length(a.w))::int as start_char, b.e::int as end_char, (hasta - v.desde)::int as n_tokens
+  from v join g a on a.segmento_id = v.segmento_id and a.i = v.desde join g b on b.segmento_id = v.segmento_id and b.i = hasta - 1 where v.desde < hasta),
+y as materialized (select y0.*, substring(t, start_char + 1, end_char - start_char) as texto from y0 join sg using (segmento_id))
+select segmento_id, (row_number() over (partition by segmento_id order by desde) - 1)::int as local_idx, start_char, end_char, n_tokens, texto from y where len(regexp_extract_all(texto, '[^{_SPACE}]+')) >= 3""",
+)
 def reinert_units(spark: SparkSession, folder: str) -> DataFrame:
     """Elementary units of every analysed segment."""
     from tesela.sources.readers import analysed
@@ -209,7 +235,12 @@ def adjusted_rand(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(classify.adjusted_rand(overlap_matrix(spark, folder)))
 
 
-@query("stable_units")
+@query(
+    "stable_units",
+    f"""with {UNITS}, {CONTEXT_UNITS}, b as (select u.uce_id, u.cluster_id as x, c.cluster_id as y from u join c using (uc_id) where u.cluster_id is not null and c.cluster_id is not null), o as (select x, y, count(*) as n from b group by all),
+m as (select x, y from (select *, max(n) over (partition by x) as nx, max(n) over (partition by y) as ny from o) where n = nx and n = ny)
+select b.x as clase, m.x is not null as estable, count(*) as n from b left join m on m.x = b.x and m.y = b.y group by all""",
+)
 def stable_units(spark: SparkSession, folder: str) -> DataFrame:
     """Units whose two classes are matched one to one."""
     return classify.stable_units(*_partitions(spark, folder), "uce_id", "clase_u", "clase_c").groupBy("clase", "estable").agg(F.count(F.lit(1)).alias("n"))
@@ -287,7 +318,14 @@ def semantic_diversity(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(lexical.semantic_diversity(_embedded(spark, folder).where(usable("embedding", DIM)), "doc_id", "embedding"))
 
 
-@query("constraint_graph")
+_SCORED = _TERMS.replace("* sqrt(chi2 / n), 4) as phi", "* sqrt(chi2 / n), 4) + 0.0 as phi")
+
+
+@query(
+    "constraint_graph",
+    f"""with w as ({_SCORED}), h as (select *, row_number() over (partition by cluster_id order by chi2_yates desc, termino) as r from w where significativo and phi > 0)
+select a.termino as a, b.termino as b, round(max(least(a.chi2_yates, b.chi2_yates)), 6) as peso from h a join h b on a.cluster_id = b.cluster_id and a.termino < b.termino and a.r <= 50 and b.r <= 50 group by all""",
+)
 def constraint_graph(spark: SparkSession, folder: str) -> DataFrame:
     m, k = matrix(spark, folder)
     return rounded(space.constraint_graph(terms.characteristic_terms(m, k, "uce_id", "cluster_id"), "cluster_id"))
@@ -331,7 +369,11 @@ def similar_stems(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(similar_pairs(term_embeddings(spark, folder), "word", "vec", 0.8), 5)
 
 
-@query("centroid_export")
+@query(
+    "centroid_export",
+    f"""with w as ({_SCORED}), h as (select *, row_number() over (partition by cluster_id order by chi2_yates desc, termino) as r from w where phi > 0), l as (select cluster_id, list(termino order by r) as terminos from h where r <= 10 group by cluster_id), {_VECTORS}
+select cluster_id, (select count(*) from e where e.cluster_id = z.cluster_id) as n, list_transform(centroide, lambda q: round(q, 6)) as centroide, terminos from z left join l using (cluster_id)""",
+)
 def centroid_export(spark: SparkSession, folder: str) -> DataFrame:
     """Centroids of the classes with their most telling stems."""
     m, k = matrix(spark, folder)
