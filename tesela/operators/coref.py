@@ -185,34 +185,44 @@ def cluster_summary(frames: DataFrame, cluster: str, top: int = 5) -> DataFrame:
     return out
 
 
-def similar_pairs(items: DataFrame, key: str, vector: str, least: float = 0.72, top: int = 15, bands: int = 12, bits: int = 10, seed: int = 7) -> DataFrame:
+def similar_pairs(items: DataFrame, key: str, vector: str, least: float = 0.72, top: int = 15, block: int = 4096) -> DataFrame:
     """key_1 < key_2 and coseno of vectors at least so alike, each with its ``top`` best: paraphrases, related nouns.
 
-    Of equal vectors the least key stands for all: copies are not paired with one another.
-    Candidates share a band of signs of seeded random projections; a pair is made once, in the first band that
-    it shares, and its cosine is exact. The recall hangs on bands and bits and should be measured against brute force.
+    Of equal vectors the least key stands for all: copies are not paired with one another. All others are compared,
+    none is left out by an index: the items are dealt to blocks of about ``block``, each two blocks meet in one task as
+    a product of matrices, and only pairs that are alike leave it. An item goes to as many tasks as there are blocks.
     """
     import numpy as np
     from pyspark.sql import Window
 
-    from tesela.functions.vectors import cosine
-
     dim = items.select(F.max(F.size(vector))).first()[0] or 1
-    planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
-
-    @F.pandas_udf("array<long>")
-    def signs(vectors: pd.Series) -> pd.Series:
-        x = np.stack(vectors.map(lambda v: np.asarray(v, float)).to_list())
-        on = (x @ planes.T > 0).reshape(len(x), bands, bits)
-        return pd.Series(list((on * (1 << np.arange(bits))).sum(axis=2)))
-
-    usable = items.where((F.size(vector) == dim) & F.exists(vector, lambda v: v != 0)).groupBy(vector).agg(F.min(key).alias(key)).select(key, vector)
-    marked = usable.withColumn("_s", signs(vector)).checkpoint()
-    exploded = marked.select(key, vector, "_s", F.posexplode("_s").alias("banda", "cubo"))
-    other = exploded.select(F.col(key).alias("_k"), F.col(vector).alias("_v"), F.col("_s").alias("_t"), "banda", "cubo")
-    first = F.array_position(F.zip_with("_s", "_t", lambda a, b: a == b), True) - 1
-    pairs = exploded.join(other, ["banda", "cubo"]).where((F.col(key) < F.col("_k")) & (first == F.col("banda")))
-    alike = pairs.select(F.col(key).alias("key_1"), F.col("_k").alias("key_2"), cosine(F.col(vector), F.col("_v")).alias("coseno")).where(F.col("coseno") >= least)
+    kind = dict(items.dtypes)[key]
+    usable = items.where((F.size(vector) == dim) & F.exists(vector, lambda v: v != 0)).groupBy(vector).agg(F.min(key).alias(key)).select(key, vector).checkpoint()
+    n = -(-usable.count() // block) or 1
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(part["_i"].iloc[0]), int(part["_j"].iloc[0])
+
+        def side(which: int) -> tuple[np.ndarray, np.ndarray]:
+            own = part[part["_b"] == which]
+            x = np.stack(own[vector].map(lambda v: np.asarray(v, float)).to_list()) if len(own) else np.zeros((0, dim))
+            return own[key].to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+
+        (keys_a, a), (keys_b, b) = side(i), side(j)
+        ones, twos, values = [], [], []
+        for at in range(0, len(a), 512):
+            cosine = a[at : at + 512] @ b.T
+            r, c = np.nonzero(cosine >= least)
+            ones.append(keys_a[r + at])
+            twos.append(keys_b[c])
+            values.append(cosine[r, c])
+        found = pd.DataFrame({"x": np.concatenate(ones) if ones else [], "y": np.concatenate(twos) if twos else [], "coseno": np.concatenate(values) if values else []})
+        return found[found["x"] < found["y"]] if i == j else found
+
+    dealt = usable.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    placed = dealt.withColumn("_i", F.least("_b", "_k")).withColumn("_j", F.greatest("_b", "_k"))
+    found = placed.groupBy("_i", "_j").applyInPandas(compare, f"x {kind}, y {kind}, coseno double")
+    alike = found.select(F.least("x", "y").alias("key_1"), F.greatest("x", "y").alias("key_2"), "coseno")
     rank = F.row_number().over(Window.partitionBy("key_1").orderBy(F.desc("coseno"), "key_2"))
     return alike.withColumn("puesto", rank).where(F.col("puesto") <= top)
 

@@ -63,36 +63,36 @@ def supplementary(incidence: DataFrame, columns: DataFrame, unit: str, term: str
     return incidence.join(columns.select(term, "eje", "estandar"), term).groupBy(unit, "eje").agg(F.avg("estandar").alias("coordenada"))
 
 
-def multiple_correspondence(incidence: DataFrame, unit: str, term: str = "termino", top: int = 100, n_axes: int = 2) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Row and column coordinates of the unit by term table over its ``top`` most frequent terms.
+def multiple_correspondence(incidence: DataFrame, unit: str, term: str = "termino", n_axes: int = 2) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Row and column coordinates of the whole unit by term table, and the inertia of the axes.
 
-    The terms are few, so S'S (terms x terms) is added up in Spark from pairs within a unit and solved on the
-    driver; units are projected by a join.
+    The table divided by the roots of its margins has the axes as singular vectors, after a first one that holds
+    the margins alone; every term takes part. Columns have principal coordinates; a unit's is the mean of its
+    terms' standard ones.
     """
-    spark = incidence.sparkSession
-    rank = F.row_number().over(Window.orderBy(F.desc("f"), term))
-    frequent = incidence.groupBy(term).agg(F.count(F.lit(1)).alias("f")).orderBy(F.desc("f"), term).limit(top).withColumn("j", rank - 1)
-    vocab = [(r[term], r["f"]) for r in frequent.orderBy("j").collect()]
-    if len(vocab) < 2:
-        empty = spark.createDataFrame([], f"`{term}` string, eje int, coordenada double")
-        return empty, empty, []
-    kept = incidence.join(F.broadcast(frequent.select(term, "j")), term)  # ``top`` rows
-    sets = kept.groupBy(unit).agg(F.sort_array(F.collect_set("j")).alias("js"))
-    pairs = sets.select("js", F.size("js").alias("n"), F.explode("js").alias("a")).select("a", "n", F.explode("js").alias("b"))
-    got = pairs.groupBy("a", "b").agg(F.sum(1.0 / F.col("n")).alias("w")).collect()  # top x top
-    p = len(vocab)
-    gram, f = np.zeros((p, p)), np.array([v[1] for v in vocab], float)
-    for r in got:
-        gram[r["a"], r["b"]] = r["w"]
-    gram = gram / np.sqrt(np.outer(f, f)) - np.sqrt(np.outer(f, f)) / f.sum()
-    values, vectors = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1][:n_axes]
-    values, vectors = np.maximum(values[order], 0), vectors[:, order]
-    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(order))] < 0, -1, 1)
-    standard = vectors / np.sqrt(f / f.sum())[:, None]
-    rows = [(vocab[j][0], a, float(standard[j, a] * np.sqrt(values[a])), float(standard[j, a])) for a in range(len(order)) for j in range(p)]
-    columns = spark.createDataFrame(rows, f"`{term}` string, eje int, principal double, estandar double")
-    return supplementary(kept.select(unit, term), columns, unit, term), columns, [float(v) for v in values]
+    from tesela.operators.space import leading_vectors
+
+    once = incidence.select(unit, term).distinct()
+    total = float(once.count())
+    by_unit, by_term = (once.groupBy(c).agg(F.count(F.lit(1)).alias(n)) for c, n in ((unit, "_r"), (term, "_c")))
+    if not total or by_term.count() < 2:
+        return _no_axes(incidence, unit, term)
+    scaled = once.join(by_unit, unit).join(by_term, term).withColumn("_x", 1 / F.sqrt(F.col("_r") * F.col("_c")))
+    vectors, sigma = leading_vectors(scaled, unit, term, "_x", n_axes + 1)
+    axes = [a for a in range(1, len(sigma)) if sigma[a] > 1e-6]
+    # the root of a term's mass turns a singular vector into a standard coordinate
+    each = [F.struct(F.lit(n).alias("eje"), (F.col("v")[a] * F.sqrt(total / F.col("_c"))).alias("estandar"), F.lit(float(sigma[a])).alias("_s")) for n, a in enumerate(axes)]
+    if not each:
+        return _no_axes(incidence, unit, term)
+    standard = vectors.join(by_term, term).select(term, F.explode(F.array(*each)).alias("x")).select(term, "x.*").checkpoint()
+    rows = once.join(standard, term).groupBy(unit, "eje").agg(F.avg("estandar").alias("coordenada"))
+    columns = standard.select(term, "eje", (F.col("estandar") * F.col("_s")).alias("coordenada"))
+    return rows, columns, [float(sigma[a] ** 2) for a in axes]
+
+
+def _no_axes(incidence: DataFrame, unit: str, term: str) -> tuple[DataFrame, DataFrame, list[float]]:
+    nothing = incidence.limit(0)
+    return tuple(nothing.select(c, F.lit(0).alias("eje"), F.lit(0.0).alias("coordenada")) for c in (unit, term)) + ([],)
 
 
 def dendrogram(coordinates: DataFrame, term: str = "termino", top: int = 50, by: str = "contribucion") -> list[tuple]:

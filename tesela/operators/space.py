@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,29 +160,131 @@ def cd_weight(cd, is_oov=None):
     return plain if is_oov is None else F.when(is_oov, 1.0).otherwise(plain)
 
 
-def term_embeddings(weights: DataFrame, unit: str, dim: int, term: str = "termino", value: str = "ppmi", most: int = 2000) -> DataFrame:
-    """word, vec: V sqrt(sigma) of the unit by term matrix, over its ``most`` most frequent terms.
+#: Terms whose vectors the driver holds and broadcasts, at most; beyond, they stay in Spark and are joined by an exchange.
+BROADCAST_VECTORS = 100_000
 
-    The terms' Gram matrix is added up in Spark from pairs within a unit (at most ``most`` squared numbers) and
-    solved on the driver, so terms are rows of V, not of U.
+
+def _held_vectors(cells: DataFrame, names: list[str], dim: int, k: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors of (u, t, x) for a bounded number of terms, and the singular values.
+
+    A unit's cells come together once; in each round every task multiplies its units by the vectors and their
+    transpose and sends one row for each term it met.
+    """
+    spark = cells.sparkSession
+    rows = cells.groupBy("u").agg(F.collect_list(F.struct("t", "x")).alias("c")).select("c").checkpoint()
+    words = spark.sparkContext.broadcast(names)
+    v = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(names), k)))[0]
+    last, z = np.zeros(k), v
+    for _ in range(rounds):
+        held = spark.sparkContext.broadcast(v)
+
+        def through(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            own, index = held.value, pa.array(words.value, pa.string())
+            total, met = np.zeros(own.shape), np.zeros(len(own), dtype=bool)
+            for batch in batches:
+                lists = batch.column(0)
+                flat = lists.flatten()
+                j = np.asarray(pc.index_in(flat.field("t"), value_set=index))
+                x = np.asarray(flat.field("x"))[:, None]
+                size = np.asarray(lists.value_lengths())
+                if not len(j):
+                    continue
+                starts = np.concatenate([[0], np.cumsum(size[size > 0])[:-1]])
+                y = np.add.reduceat(x * own[j], starts, axis=0)
+                part = x * np.repeat(y, size[size > 0], axis=0)
+                order = np.argsort(j, kind="stable")
+                which, first = np.unique(j[order], return_index=True)
+                total[which] += np.add.reduceat(part[order], first, axis=0)
+                met[which] = True
+            at = np.flatnonzero(met)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total[at]), pa.list_(pa.float64()))], ["j", "z"])
+
+        sums = rows.mapInArrow(through, "j long, z array<double>").groupBy("j").agg(*(F.sum(F.col("z")[i]).alias(f"z{i}") for i in range(k)))
+        got = sums.toArrow()  # a row per term
+        z = np.zeros(v.shape)
+        z[np.asarray(got.column("j"))] = np.column_stack([np.asarray(got.column(f"z{i}")) for i in range(k)])
+        held.unpersist()
+        values, axes = np.linalg.eigh((v.T @ z + z.T @ v) / 2)
+        now = np.sqrt(np.maximum(values[::-1], 0))
+        basis, v = v @ axes[:, ::-1], np.linalg.qr(z)[0]
+        if np.abs(now[:dim] - last[:dim]).max() <= 1e-6 * max(now[0], 1e-300):
+            break
+        last = now
+    basis = basis[:, :dim] * np.where(basis[np.abs(basis).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)[:dim]
+    return basis, now[:dim]
+
+
+def leading_vectors(weights: DataFrame, unit: str, term: str, value: str, dim: int, rounds: int = 30, extra: int = 8, seed: int = 42, held: int = BROADCAST_VECTORS) -> tuple[DataFrame, np.ndarray]:
+    """((term, v), singular values): the leading right singular vectors of a sparse unit by term table of any size.
+
+    Subspace iteration: ``dim`` + ``extra`` seeded vectors are multiplied by the table and its transpose and made
+    orthonormal, until no singular value moves by a millionth. Up to ``held`` terms the driver holds the vectors;
+    for more they stay in Spark: two joins a round, written to the checkpoint folder, and (dim + extra) squared
+    products for the driver. Signs make the largest component positive. Every term has a vector.
+    """
+    cells = weights.select(F.col(unit).alias("u"), F.col(term).alias("t"), F.col(value).cast("double").alias("x")).where("x <> 0").checkpoint()
+    terms = cells.select("t").distinct()
+    n = terms.count()
+    k = min(n, dim + extra)
+    if k == 0:
+        return terms.select(F.col("t").alias(term), F.array().cast("array<double>").alias("v")), np.zeros(0)
+    if n <= held:
+        names = sorted(r["t"] for r in terms.collect())  # at most ``held`` rows
+        basis, sigma = _held_vectors(cells, names, min(dim, k), k, rounds, seed)
+        rows = [(w, [float(x) for x in v]) for w, v in zip(names, basis)]
+        return weights.sparkSession.createDataFrame(rows, f"`{term}` string, v array<double>"), sigma
+    start = (F.pmod(F.xxhash64("t", F.lit(seed), F.lit(i)), F.lit(1 << 30)) / float(1 << 29) - 1 for i in range(k))
+    vectors = terms.select("t", F.array(*start).alias("v"))
+    list_of = lambda prefix: F.array(*(F.col(f"{prefix}{i}") for i in range(k)))
+
+    def times(table: DataFrame, on: str, column: str, by: str) -> DataFrame:
+        sums = (F.sum(F.col("x") * F.col(column)[i]).alias(f"s{i}") for i in range(k))
+        return table.groupBy(by).agg(*sums).select(by, list_of("s").alias("v"))
+
+    def products(rows: DataFrame) -> np.ndarray:
+        got = rows.agg(*(F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
+        out = np.zeros((k, k))
+        for i in range(k):
+            for j in range(i, k):
+                out[i, j] = out[j, i] = got[f"g{i}_{j}"]
+        return out
+
+    def turned(rows: DataFrame, matrix: np.ndarray) -> DataFrame:
+        mixed = (sum((F.col("v")[i] * float(matrix[i, j]) for i in range(1, k)), F.col("v")[0] * float(matrix[0, j])) for j in range(matrix.shape[1]))
+        return rows.select("t", F.array(*mixed).alias("v"))
+
+    def orthonormal(rows: DataFrame, gram: np.ndarray) -> DataFrame:
+        values, axes = np.linalg.eigh(gram)
+        return turned(rows, axes[:, ::-1] / np.sqrt(np.maximum(values[::-1], 1e-300)))
+
+    vectors = orthonormal(vectors, products(vectors)).checkpoint()
+    last = np.zeros(k)
+    for _ in range(rounds):
+        by_unit = times(cells.join(vectors, "t"), "t", "v", "u")
+        through = times(cells.join(by_unit, "u"), "u", "v", "t").checkpoint()
+        gram = products(through)
+        vectors = orthonormal(through, gram).checkpoint()
+        now = np.sqrt(np.sqrt(np.maximum(np.linalg.eigvalsh(gram)[::-1], 0)))
+        if np.abs(now[:dim] - last[:dim]).max() <= 1e-6 * now[0]:
+            break
+        last = now
+    by_unit = times(cells.join(vectors, "t"), "t", "v", "u")
+    values, axes = np.linalg.eigh(products(by_unit))
+    axes, values = axes[:, ::-1][:, :dim], np.sqrt(np.maximum(values[::-1][:dim], 0))
+    vectors = turned(vectors, axes).checkpoint()
+    ends = vectors.agg(*(F.max_by(F.col("v")[i], F.abs(F.col("v")[i])).alias(f"e{i}") for i in range(axes.shape[1]))).first()
+    sign = [1.0 if ends[i] >= 0 else -1.0 for i in range(axes.shape[1])]
+    return vectors.select(F.col("t").alias(term), F.array(*(F.col("v")[i] * s for i, s in enumerate(sign))).alias("v")), values
+
+
+def term_embeddings(weights: DataFrame, unit: str, dim: int, term: str = "termino", value: str = "ppmi") -> DataFrame:
+    """word, vec: V sqrt(sigma) of the unit by term matrix, for every term it holds.
+
+    Terms are rows of V, not of U; the matrix is never collected (:func:`leading_vectors`).
     """
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), term))
-    frequent = weights.groupBy(term).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), term).limit(most).withColumn("j", rank - 1)
-    names = [r[term] for r in frequent.orderBy("j").collect()]
-    if not names:
-        return weights.sparkSession.createDataFrame([], "word string, vec array<double>")
-    kept = weights.join(F.broadcast(frequent.select(term, "j")), term).groupBy(unit).agg(F.collect_list(F.struct("j", value)).alias("x"))
-    pairs = kept.select("x", F.explode("x").alias("a")).select("a", F.explode("x").alias("b"))
-    sums = pairs.groupBy(F.col("a.j").alias("a"), F.col("b.j").alias("b")).agg(F.sum(F.col(f"a.{value}") * F.col(f"b.{value}")).alias("g")).collect()
-    gram = np.zeros((len(names), len(names)))
-    for r in sums:
-        gram[r["a"], r["b"]] = r["g"]
-    values, vectors = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1][:dim]
-    values, vectors = np.maximum(values[order], 0), vectors[:, order]
-    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(order))] < 0, -1, 1)
-    rows = [(w, [float(x) for x in v]) for w, v in zip(names, vectors * values**0.25)]
-    return weights.sparkSession.createDataFrame(rows, "word string, vec array<double>")
+    vectors, sigma = leading_vectors(weights, unit, term, value, dim)
+    scaled = F.array(*(F.col("v")[i] * float(np.sqrt(s)) for i, s in enumerate(sigma))) if len(sigma) else F.array().cast("array<double>")
+    return vectors.select(F.col(term).alias("word"), scaled.alias("vec"))
 
 
 def aligned(source: DataFrame, target: DataFrame, dim_source: int, dim_target: int, ridge: float = 1e-6) -> DataFrame:

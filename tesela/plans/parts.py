@@ -561,3 +561,15 @@ def edges_as_gexf(spark: SparkSession, folder: str) -> DataFrame:
     root = tree.fromstring(network.gexf(nodes, edges, "peso"))
     count = {k: sum(1 for x in root.iter() if x.tag.rpartition("}")[2] == k) for k in ("edge", "node")}
     return spark.createDataFrame([(count["edge"], count["node"])], "aristas long, nodos long")
+
+
+@query(
+    "similar_vectors",
+    """with e as (select vec_id, embedding::double[] as v from (select min(vec_id) as vec_id, embedding from embeddings where vec_id is not null and embedding is not null group by embedding)),
+p as (select a.vec_id as key_1, b.vec_id as key_2, list_cosine_similarity(a.v, b.v) as coseno from e a join e b on a.vec_id < b.vec_id)
+select key_1, key_2, round(coseno, 5) as coseno from (select *, row_number() over (partition by key_1 order by coseno desc, key_2) as r from p where coseno >= 0.5) where r <= 15""",
+)
+def similar_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Every two vectors of a cosine of one half or more, the fifteen best of each."""
+    vectors = table(spark, folder, "embeddings").where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return rounded(coref.similar_pairs(vectors, "vec_id", "v", 0.5).drop("puesto"), 5)

@@ -357,13 +357,13 @@ def double_classification(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("term_embeddings")
 def term_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors of the two hundred most frequent stems from their PPMI."""
-    return space.term_embeddings(space.ppmi(matrix(spark, folder)[0], "uce_id"), "uce_id", 16, most=200).withColumn("vec", F.transform("vec", lambda x: F.round(x, 5)))
+    """Vectors of all stems of the vocabulary from their PPMI."""
+    return space.term_embeddings(space.ppmi(matrix(spark, folder)[0], "uce_id"), "uce_id", 16).withColumn("vec", F.transform("vec", lambda x: F.round(x, 5)))
 
 
 @query("similar_stems")
 def similar_stems(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of those stems that are alike."""
+    """Pairs of stems that are alike."""
     from tesela.operators.coref import similar_pairs
 
     return rounded(similar_pairs(term_embeddings(spark, folder), "word", "vec", 0.8), 5)

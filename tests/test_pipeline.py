@@ -84,3 +84,57 @@ def test_frames_written_back(spark):
     assert s[4]["top_verb_lemma"] == ["ir"] and s[4]["n_negados"] == 1 and s[-1]["por_voice"] == {"Act": 1}
     more = coref.expansions(frames, spark.createDataFrame([("e", "f")], "key_1 string, key_2 string"))
     assert more.where("is_expansion").count() == 2
+
+
+def test_vectors_of_every_term_both_ways(spark):
+    """Held by the driver or joined, the vectors are those of the singular value decomposition."""
+    r = np.random.default_rng(5)
+    table = (r.random((40, 12)) < 0.4) * r.random((40, 12))
+    rows = [(int(u), f"w{t:02}", float(table[u, t])) for u, t in zip(*np.nonzero(table))]
+    weights = spark.createDataFrame(rows, "u int, termino string, ppmi double")
+    _, sigma, vt = np.linalg.svd(table)
+    for held in (100, 0):
+        vectors, values = space.leading_vectors(weights, "u", "termino", "ppmi", 2, extra=4, held=held)
+        got = {x["termino"]: x["v"] for x in vectors.collect()}
+        mine = np.array([got[f"w{t:02}"] for t in range(12)])
+        assert np.allclose(values, sigma[:2], rtol=1e-4)
+        for a in range(2):
+            assert abs(mine[:, a] @ vt[a]) > 0.999 and mine[np.abs(mine[:, a]).argmax(), a] > 0
+    empty = space.leading_vectors(weights.limit(0), "u", "termino", "ppmi", 2)
+    assert empty[0].count() == 0 and len(empty[1]) == 0
+
+
+def test_correspondence_of_every_term(spark):
+    """Axes of the whole binary table against the decomposition of its standardised residuals."""
+    from tesela.operators import factor
+
+    r = np.random.default_rng(6)
+    z = r.random((30, 9)) < 0.4
+    z[:, 0] |= ~z.any(axis=1)
+    rows = [(int(u), f"w{t}") for u, t in zip(*np.nonzero(z))]
+    units_, terms_, inertia = factor.multiple_correspondence(spark.createDataFrame(rows, "u int, termino string"), "u")
+    p = z / z.sum()
+    a, b = p.sum(axis=1), p.sum(axis=0)
+    s = (p - np.outer(a, b)) / np.sqrt(np.outer(a, b))
+    left, sigma, vt = np.linalg.svd(s)
+    assert np.allclose(inertia, sigma[:2] ** 2, rtol=1e-3)
+    got = {(x["termino"], x["eje"]): x["coordenada"] for x in terms_.collect()}
+    assert len(got) == 18
+    mine = np.array([got[f"w{t}", 0] for t in range(9)])
+    want = vt[0] / np.sqrt(b) * sigma[0]
+    assert np.allclose(np.abs(mine), np.abs(want), atol=1e-3)
+    assert units_.count() == 60
+    assert factor.multiple_correspondence(spark.createDataFrame([], "u int, termino string"), "u")[1].count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_similar_pairs_lose_none(spark, block):
+    """At the threshold in use, every pair that brute force finds, whatever the blocks."""
+    r = np.random.default_rng(7)
+    x = r.standard_normal((90, 6))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(90)] + [(200, [float(v) for v in x[0]]), (201, [0.0] * 6), (202, None)]
+    got = coref.similar_pairs(spark.createDataFrame(rows, "k int, v array<double>"), "k", "v", 0.72, top=90, block=block).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if u[i] @ u[j] >= 0.72}
+    assert {(g["key_1"], g["key_2"]) for g in got} == want and len(want) > 20
+    assert coref.similar_pairs(spark.createDataFrame([], "k int, v array<double>"), "k", "v").count() == 0
