@@ -15,24 +15,25 @@ from tesela.functions.distributions import CHI2_95
 NODE_CELLS = 5_000_000
 
 
-def first_factor(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n: int, m: int, pseudo: float = 0.01, steps: int = 100) -> np.ndarray:
-    """First factor of a sparse table by reciprocal averaging, centred and scaled, with a fixed sign.
+def first_factor(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n: int, m: int, pseudo: float = 0.01, steps: int = 100, start: np.ndarray | None = None) -> np.ndarray:
+    """First factor of a sparse table by reciprocal averaging, centred and of length 1, with a fixed sign.
 
-    The sign is that which makes the coordinate of largest size positive, so that the order of classes
-    does not hang on the start.
+    ``pseudo`` is added to the margins only. The sign is that which makes the coordinate of largest size positive,
+    so that the order of classes does not hang on the start, which is drawn, or given as :func:`warm_start` makes it.
     """
     r = np.bincount(rows, weights, n) + pseudo * m
     c = np.bincount(cols, weights, m) + pseudo * n
+    r[r == 0], c[c == 0] = 1, 1
     mass = r / r.sum()
-    x = np.random.default_rng(42).standard_normal(n)
+    x = np.random.default_rng(42).standard_normal(n) if start is None else np.array(start, dtype=float)
     x -= (mass * x).sum()
-    x /= np.sqrt((mass * x * x).sum()) or 1
+    x /= max(np.linalg.norm(x), 1e-12)
     for _ in range(steps):
-        z = (np.bincount(cols, weights * x[rows], m) + pseudo * x.sum()) / c
-        y = (np.bincount(rows, weights * z[cols], n) + pseudo * z.sum()) / r
+        z = np.bincount(cols, weights * x[rows], m) / c
+        y = np.bincount(rows, weights * z[cols], n) / r
         y -= (mass * y).sum()
-        length = np.sqrt((mass * y * y).sum())
-        if length < 1e-14:
+        length = np.linalg.norm(y)
+        if length < 1e-12:
             return np.zeros(n)
         y /= length
         done = min(np.abs(y - x).max(), np.abs(y + x).max()) < 1e-8
@@ -42,6 +43,21 @@ def first_factor(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n: int
     return x if x[np.abs(x).argmax()] > 0 else -x
 
 
+def warm_start(vectors: np.ndarray, steps: int = 20) -> np.ndarray | None:
+    """Coordinates of units on the first principal axis of their vectors, by ``steps`` power iterations; None for fewer than five units or vectors all zero."""
+    if len(vectors) < 5 or not np.any(vectors):
+        return None
+    x = vectors - vectors.mean(axis=0)
+    axis = np.random.default_rng(42).standard_normal(x.shape[1])
+    for _ in range(steps):
+        axis = x.T @ (x @ axis)
+        length = np.linalg.norm(axis)
+        if length < 1e-12:
+            return None
+        axis /= length
+    return x @ axis
+
+
 def best_cut(x: np.ndarray) -> tuple[np.ndarray, float]:
     """(whether each point is right of the best cut, R squared): most sum of squares between, the first if tied."""
     order = np.argsort(x, kind="stable")
@@ -111,12 +127,51 @@ def swap(rows: np.ndarray, cols: np.ndarray, n: int, m: int, right: np.ndarray,
     return right
 
 
-def large_cut(cells: DataFrame, unit: str, least: int, min_r2: float = 0.05, passes: int = 2, pseudo: float = 0.01, rounds: int = 20, bins: int = 4096) -> DataFrame | None:
+def best_cut_of(rows: DataFrame, unit: str) -> tuple[float, float] | None:
+    """(least coordinate right of the best cut, R squared) of (unit, x): every cut is tried, whatever their number.
+
+    The rows are sorted by ranges; each task runs along its own with the counts and sums of those before, and sends
+    its best cut: one row from each. None where all coordinates are equal.
+    """
+    placed = rows.select(unit, "x").orderBy("x", unit).withColumn("_p", F.spark_partition_id()).checkpoint()
+    parts = sorted((r["_p"], r["n"], r["s"], r["q"], r["least"], r["most"]) for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.min("x").alias("least"), F.max("x").alias("most")).collect())
+    if not parts or parts[-1][5] <= parts[0][4]:
+        return None
+    n, total = sum(p[1] for p in parts), sum(p[2] for p in parts)
+    before, k, s = {}, 0, 0.0
+    for p, size, part, *_ in parts:
+        before[p] = (k, s)
+        k, s = k + size, s + part
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, at, state = -np.inf, None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = batch["x"].to_numpy()
+            k0, s0 = before[int(batch["_p"].iloc[0])] if state is None else state
+            # a cut stands before a unit: what is left of it are those before
+            k, left = k0 + np.arange(len(x)), s0 + np.concatenate([[0.0], np.cumsum(x)[:-1]])
+            state = (k0 + len(x), s0 + x.sum())
+            with np.errstate(divide="ignore", invalid="ignore"):
+                between = np.where(k > 0, left**2 / k + (total - left) ** 2 / (n - k) - total**2 / n, -np.inf)
+            i = int(between.argmax())
+            if between[i] > best:
+                best, at = float(between[i]), float(x[i])
+        yield pd.DataFrame({"b": [best] if at is not None else [], "x": [at] if at is not None else []}).astype(float)
+
+    found = placed.sortWithinPartitions("x", unit).mapInPandas(run, "b double, x double").collect()
+    between, border = max((r["b"], -r["x"]) for r in found)
+    whole = sum(p[3] for p in parts) - total**2 / n
+    return -border, between / whole if whole > 0 else 0.0
+
+
+def large_cut(cells: DataFrame, unit: str, least: int, min_r2: float = 0.05, passes: int = 2, pseudo: float = 0.01, rounds: int = 100) -> DataFrame | None:
     """(unit, right) of a node too large for a kernel, or None if it is a leaf.
 
-    The first factor is the same reciprocal averaging with two joins a round, written to the checkpoint folder.
-    The cut is the best among ``bins`` equal steps of the axis. Swaps are made for all units at once in each pass
-    and not one by one, so the result can differ from a kernel's in single units near the border.
+    The first factor is the same reciprocal averaging to the same tolerance and number of rounds, with two joins a
+    round, written to the checkpoint folder, and every cut of the axis is tried. Swaps are made for all units at once
+    in each pass and not one by one, so the result can differ from a kernel's in single units near the border.
     """
     rows = cells.groupBy(unit).agg(F.sum("w").alias("r"))
     cols = cells.groupBy("t").agg(F.sum("w").alias("c"))
@@ -124,42 +179,30 @@ def large_cut(cells: DataFrame, unit: str, least: int, min_r2: float = 0.05, pas
     if n < 2 * least or m < 2:
         return None
     start = F.pmod(F.xxhash64(unit, F.lit(42)), F.lit(1 << 30)) / float(1 << 29) - 1
-    rows = rows.select(unit, (F.col("r") + pseudo * m).alias("r"), start.alias("x")).checkpoint()
-    cols = cols.withColumn("c", F.col("c") + pseudo * n).checkpoint()
+    filled = lambda c: F.when(c == 0, 1.0).otherwise(c)
+    rows = rows.select(unit, filled(F.col("r") + pseudo * m).alias("r"), start.alias("x")).checkpoint()
+    cols = cols.select("t", filled(F.col("c") + pseudo * n).alias("c")).checkpoint()
     for _ in range(rounds):
-        of_x = rows.agg(F.sum("x")).first()[0]
         z = cells.join(rows.select(unit, "x"), unit).groupBy("t").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
-        z = z.join(cols, "t").select("t", ((F.col("s") + pseudo * of_x) / F.col("c")).alias("z")).checkpoint()
-        of_z = z.agg(F.sum("z")).first()[0]
+        z = z.join(cols, "t").select("t", (F.col("s") / F.col("c")).alias("z"))
         y = cells.join(z, "t").groupBy(unit).agg(F.sum(F.col("w") * F.col("z")).alias("s")).join(rows, unit)
-        y = y.select(unit, "r", "x", ((F.col("s") + pseudo * of_z) / F.col("r")).alias("y")).checkpoint()
-        mass, first, second = y.agg(F.sum("r"), F.sum(F.col("r") * F.col("y")), F.sum(F.col("r") * F.col("y") * F.col("y"))).first()
+        y = y.select(unit, "r", "x", (F.col("s") / F.col("r")).alias("y")).checkpoint()
+        mass, first, size, plain, square = y.agg(F.sum("r"), F.sum(F.col("r") * F.col("y")), F.count(F.lit(1)), F.sum("y"), F.sum(F.col("y") * F.col("y"))).first()
         mean = first / mass
-        length = np.sqrt(max(second / mass - mean * mean, 0.0))
+        length = np.sqrt(max(square - 2 * mean * plain + size * mean * mean, 0.0))
         if length < 1e-12:
             return None
         new = (F.col("y") - mean) / length
         same, turned = y.agg(F.max(F.abs(new - F.col("x"))), F.max(F.abs(new + F.col("x")))).first()
         rows = y.select(unit, "r", new.alias("x"))
-        if min(same, turned) < 1e-4:
+        if min(same, turned) < 1e-8:
             break
-    low, high = rows.agg(F.min("x"), F.max("x")).first()
-    if high <= low:
+    found = best_cut_of(rows, unit)
+    if found is None:
         return None
-    step = (high - low) / bins
-    counted = rows.groupBy(F.least(F.floor((F.col("x") - low) / step), F.lit(bins - 1)).alias("b")).agg(F.count(F.lit(1)).alias("k"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    table = np.array(sorted((r["b"], r["k"], r["s"], r["q"]) for r in counted.collect()), dtype=float)  # at most ``bins`` rows
-    k, left = np.cumsum(table[:, 1])[:-1], np.cumsum(table[:, 2])[:-1]
-    total = table[:, 2].sum()
-    if not len(k):
-        return None
-    between = left**2 / k + (total - left) ** 2 / (n - k) - total**2 / n
-    at = int(between.argmax())
-    whole = table[:, 3].sum() - total**2 / n
-    r2 = between[at] / whole if whole > 0 else 0.0
+    border, r2 = found
     if n * r2 < 3.84 or r2 < min_r2:
         return None
-    border = low + (table[at, 0] + 1) * step
     sides = rows.select(unit, (F.col("x") >= border).alias("right"))
     present = cells.where("w > 0").select(unit, "t")
     for _ in range(passes):

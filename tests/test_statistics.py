@@ -220,3 +220,34 @@ def test_lexicon_lookup_and_bands(spark):
     one = lexical.sophistication(scored, "u").collect()[0]
     assert one["pct_oov"] == pytest.approx(1 / 3) and one["oral"] == pytest.approx(2 / 3)
     assert lexical.rarest(scored, "u", 1).collect()[0]["termino"] == "raro"
+
+
+def test_every_cut_of_a_large_axis_is_tried(spark):
+    """The cut of an axis sorted over many tasks is that of the axis whole, also with ties."""
+    from tesela.operators import classify
+
+    r = np.random.default_rng(4)
+    for x in (np.concatenate([r.normal(0, 1, 150), r.normal(4, 1, 90)]), np.repeat([1.0, 2.0, 7.0], 20), r.random(37)):
+        frame = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "u int, x double").repartition(5)
+        right, r2 = classify.best_cut(x)
+        border, share = classify.best_cut_of(frame, "u")
+        assert abs(share - r2) < 1e-9 and ((x >= border) == right).all()
+    assert classify.best_cut_of(spark.createDataFrame([(1, 2.0), (2, 2.0)], "u int, x double"), "u") is None
+
+
+def test_factor_has_the_count_in_its_margins_alone():
+    from tesela.operators import classify
+
+    r = np.random.default_rng(8)
+    table = (r.random((20, 9)) < 0.5).astype(float)
+    rows, cols = np.nonzero(table)
+    x = classify.first_factor(rows, cols, table[rows, cols], 20, 9, 0.01, 2000)
+    row, col = table.sum(axis=1) + 0.09, table.sum(axis=0) + 0.2
+    y = table @ ((table.T @ x) / col) / row
+    y -= (row / row.sum() * y).sum()
+    y /= np.linalg.norm(y)
+    assert min(np.abs(x - y).max(), np.abs(x + y).max()) < 1e-6 and abs(np.linalg.norm(x) - 1) < 1e-9
+    vectors = r.standard_normal((20, 3)) * [5, 1, 1]
+    assert abs(np.corrcoef(classify.warm_start(vectors), vectors[:, 0])[0, 1]) > 0.95 and classify.warm_start(vectors[:4]) is None
+    warm = classify.first_factor(rows, cols, table[rows, cols], 20, 9, 0.01, 2000, classify.warm_start(vectors))
+    assert np.abs(warm - x).max() < 1e-5
