@@ -82,20 +82,22 @@ def without_outliers(df: DataFrame, column: str, method: str = "iqr") -> DataFra
     return kept if kept.count() >= max(10, every / 2) else df
 
 
-def forest(df: DataFrame, label: str, categories: list[str], numbers: list[str] = (), trees: int = 50, depth: int = 8, folds: int = 3, seed: int = 42, max_levels: int = 20) -> tuple[DataFrame, DataFrame]:
+def forest(df: DataFrame, label: str, categories: list[str], numbers: list[str] = (), trees: int = 50, depth: int = 8, folds: int = 3, seed: int = 42, max_levels: int = 20, key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(importance by variable, confusion of held-out predictions) of a random forest that predicts the class.
 
     Missing categories become a level, missing numbers the median; a category of more than ``max_levels`` levels
-    goes in by its frequency. Rows are held out by a seeded hash. Permutation importance is the loss of accuracy
-    when a variable's values are dealt anew.
+    goes in by its frequency. Rows are dealt to the folds by a seeded hash of ``key``, or of all their values, and each
+    is told by a forest of the other folds: ``exactitud_equilibrada`` is the mean recall of the classes over all.
+    Permutation importance is the loss of accuracy in the first fold when a variable's values are dealt anew.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 
     spark = df.sparkSession
-    data = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("_y"), *(F.coalesce(F.col(c).cast("string"), F.lit("(falta)")).alias(c) for c in categories), *(F.col(c).cast("double").alias(c) for c in numbers))
-    stages, inputs, frequent = [StringIndexer(inputCol="_y", outputCol="_l", stringOrderType="alphabetAsc", handleInvalid="keep")], [], []
+    data = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("_y"), *(F.coalesce(F.col(c).cast("string"), F.lit("(falta)")).alias(c) for c in categories), *(F.col(c).cast("double").alias(c) for c in numbers), F.xxhash64(*([key] if key else df.columns)).alias("_id"))
+    data = StringIndexer(inputCol="_y", outputCol="_l", stringOrderType="alphabetAsc", handleInvalid="keep").fit(data).transform(data)  # the same numbers in every fold
+    stages, inputs, frequent = [], [], []
     for c in categories:
         if data.select(c).distinct().count() > max_levels:
             shares = data.groupBy(c).agg(F.count(F.lit(1)).cast("double").alias(f"{c}_f"))
@@ -109,19 +111,24 @@ def forest(df: DataFrame, label: str, categories: list[str], numbers: list[str]
         stages.append(Imputer(inputCols=plain, outputCols=[f"{c}_m" for c in plain], strategy="median"))
         inputs += [f"{c}_m" for c in plain]
     stages += [VectorAssembler(inputCols=inputs, outputCol="features"), RandomForestClassifier(labelCol="_l", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)]
-    data = data.withColumn("_id", F.monotonically_increasing_id()).withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(folds))).checkpoint()
-    train, test = data.where("_fold > 0"), data.where("_fold = 0")
-    model = Pipeline(stages=stages).fit(train)
-    held = model.transform(test)
-    base = held.agg(F.avg((F.col("prediction") == F.col("_l")).cast("double"))).first()[0] or 0.0
+    data = data.withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(folds))).checkpoint()
+    held, model, test = None, None, data.where("_fold = 0")
+    for fold in range(max(1, folds)):  # every row is told by a forest that has not seen it
+        fitted = Pipeline(stages=stages).fit(data.where(F.col("_fold") != fold) if folds > 1 else data)
+        told = fitted.transform(data.where(F.col("_fold") == fold)).select("_l", "prediction")
+        held, model = (told, fitted) if held is None else (held.unionByName(told), model)
+    held = held.checkpoint()
+    right = (F.col("prediction") == F.col("_l")).cast("double")
+    balanced = held.groupBy("_l").agg(F.avg(right).alias("r")).agg(F.avg("r")).first()[0] or 0.0  # mean recall of the classes
+    base = model.transform(test).agg(F.avg(right)).first()[0] or 0.0
     rows = []
     for c in [*categories, *numbers]:
         keyed = with_rank(test.withColumn("_h", F.xxhash64("_id", F.lit(seed + 1))), [F.col("_h"), F.col("_id")], "_k").drop("_h")
         donor = with_rank(test.select(F.col(c).alias("_v"), "_id", F.xxhash64("_id", F.lit(seed + 2)).alias("_h")), [F.col("_h"), F.col("_id")], "_k").drop("_h", "_id")
         dealt = keyed.join(donor, "_k").drop(c, "_k").withColumnRenamed("_v", c)
         loss = model.transform(dealt).agg(F.avg((F.col("prediction") == F.col("_l")).cast("double"))).first()[0] or 0.0
-        rows.append((c, float(base - loss), float(base)))
-    importance = spark.createDataFrame(rows, "variable string, importancia double, exactitud double")
+        rows.append((c, float(base - loss), float(base), float(balanced)))
+    importance = spark.createDataFrame(rows, "variable string, importancia double, exactitud double, exactitud_equilibrada double")
     confusion = held.groupBy("_l", "prediction").agg(F.count(F.lit(1)).alias("n"))
     return importance, confusion
 

@@ -94,13 +94,13 @@ def characteristic_terms_bh(spark: SparkSession, folder: str) -> DataFrame:
 @query("permutation_thresholds")
 def permutation_thresholds(spark: SparkSession, folder: str) -> DataFrame:
     m, k = matrix(spark, folder)
-    return terms.permutation_thresholds(m, k, "uce_id", "cluster_id", rounds=5)
+    return terms.permutation_thresholds(m, k, "uce_id", "cluster_id", rounds=100)
 
 
 @query("term_stability")
 def term_stability(spark: SparkSession, folder: str) -> DataFrame:
     m, k = matrix(spark, folder)
-    return terms.term_stability(m, k, "uce_id", "cluster_id", rounds=5)
+    return terms.term_stability(m, k, "uce_id", "cluster_id", rounds=50)
 
 
 @query(

@@ -338,9 +338,9 @@ def retrofitted_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
     t = stems(spark, folder)
     u = units(spark, folder, "uc_id").join(_embedded(spark, folder).where(usable("embedding", DIM)).select("uc_id", "embedding"), "uc_id")
-    common = lexical.vocabulary(t, "uce_id", min_units=20).select("termino")
+    common = lexical.vocabulary(t, "uce_id", min_units=3).select("termino")
     vectors = t.join(common, "termino", "left_semi").join(u.select("uce_id", "embedding"), "uce_id").groupBy(F.col("termino").alias("word")).agg(mean_vector("embedding", DIM).alias("vec")).checkpoint()
-    moved = space.retrofit(vectors, constraint_graph(spark, folder).withColumn("peso", F.lit(1.0)), DIM, rounds=3)
+    moved = space.retrofit(vectors, constraint_graph(spark, folder), DIM, rounds=10)
     both = vectors.join(moved.withColumnRenamed("vec", "nuevo"), "word")
     return rounded(both.select("word", cosine(F.col("vec"), F.col("nuevo")).alias("coseno")), 5)
 

@@ -56,7 +56,7 @@ def metadata_tests(spark: SparkSession, folder: str) -> DataFrame:
 @query("metadata_permutation")
 def metadata_permutation(spark: SparkSession, folder: str) -> DataFrame:
     d = corpus(spark, folder, "meta").select("doc_id", F.col("meta")["Sexo"].alias("sexo"), F.col("meta")["Edad_Cat"].alias("edad"))
-    return rounded(metadata.permutation_test(d, "doc_id", "sexo", "edad", 50))
+    return rounded(metadata.permutation_test(d, "doc_id", "sexo", "edad", 1000))
 
 
 @query(
@@ -77,7 +77,7 @@ def anova_p(spark: SparkSession, folder: str) -> DataFrame:
 @query("rf_importance")
 def rf_importance(spark: SparkSession, folder: str) -> DataFrame:
     """Loss of accuracy of a forest that predicts the class from metadata."""
-    return rounded(metadata.forest(described_units(spark, folder), "cluster_id", ["Sexo", "Edad_Cat", "Ocupacion_Cat"], trees=10, depth=4)[0])
+    return rounded(metadata.forest(described_units(spark, folder), "cluster_id", ["Sexo", "Edad_Cat", "Ocupacion_Cat"], trees=200, depth=8, key="uce_id")[0])
 
 
 @query(
