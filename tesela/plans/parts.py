@@ -509,7 +509,7 @@ def lexicon_from_file(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus's lexicon written as a frequency list and read by both readers."""
     where = store(spark)
     x = lexicon(spark, folder)
-    line = F.concat_ws(";", F.upper("word"), "freqcount", "subtlwf", F.col("zipf") - 1, "cd")
+    line = F.concat_ws(";", F.initcap("word"), "freqcount", "subtlwf", F.col("zipf") - 1, "cd")
     head = spark.createDataFrame([(0, "Lista de frecuencias"), (1, "Word;Freq. count;per million;Log freq;CD")], "o int, value string")
     lines = head.union(x.select(F.lit(2), line)).repartition(1).sortWithinPartitions("o")  # one file, as such lists come
     lines.select("value").write.text(f"{where}/lista")
