@@ -25,6 +25,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 REPEATED_KEYS = 200_000
 
 
+#: Tasks that a table of few files is spread over, at most: one of more partitions than this stays as it is read.
+SPREAD = 16
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over the session's cores, up to SPREAD, where few and small files are read by fewer tasks."""
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD)
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def first_rows(spark: SparkSession, folder: str, name: str, key: str, *columns: str) -> DataFrame:
     """``key`` and ``columns``, one row per key: repeated rows count once, rows without a key are left out.
 
@@ -37,7 +47,7 @@ def first_rows(spark: SparkSession, folder: str, name: str, key: str, *columns:
     if repeated.count() > REPEATED_KEYS:
         return every.select(key, *columns).dropDuplicates([key])
     first = every.select(key, place.alias("_p")).join(F.broadcast(repeated), key).groupBy(key).agg(F.min("_p").alias("_primero"))
-    rows = every.select(key, *columns, place.alias("_p")).join(F.broadcast(first), key, "left")
+    rows = spread(every.select(key, *columns, place.alias("_p"))).join(F.broadcast(first), key, "left")
     return rows.where(F.col("_primero").isNull() | (F.col("_p") == F.col("_primero"))).drop("_p", "_primero")
 
 
