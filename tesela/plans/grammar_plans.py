@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesela.functions import text as T
-from tesela.operators import coref, grammar
+from tesela.operators import coref, grammar, unit_grammar
 from tesela.operators import lexicon_es as es
 from tesela.operators.tables import units
 from tesela.plans.common_sql import UNITS
 from tesela.plans.registry import query, rounded
 
 
+def spoken(spark: SparkSession, folder: str) -> DataFrame:
+    """The units that have a text and an interview."""
+    return units(spark, folder, "doc_id", "texto").where("texto is not null and doc_id is not null")
+
+
 def tokens(spark: SparkSession, folder: str) -> DataFrame:
-    u = units(spark, folder, "doc_id", "texto").where("texto is not null and doc_id is not null")
-    return grammar.rule_tokens(u, "doc_id", "uce_id", "texto")
+    return grammar.rule_tokens(spoken(spark, folder), "doc_id", "uce_id", "texto")
 
 
 def kept_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,9 +202,7 @@ select familia, clave, valor, count(*) as n from al where valor is not null grou
 )
 def grammar_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every attribute of the annotations, by family."""
-    t = parsed(spark, folder)
-    found = grammar.annotations(negacion=grammar.negations(t).select("doc_id", "uce_id", "i", "tipo"), verbo=grammar.verbs(t).select("doc_id", "uce_id", "i", "voz", "perifrasis"), cuantificador=grammar.quantifiers(t).select("doc_id", "uce_id", "i", "tipo"), marcador=grammar.discourse_markers(t).select("doc_id", "uce_id", "i", "categoria", "posicion"))
-    return grammar.feature_counts(found)
+    return unit_grammar.summary(spoken(spark, folder), "texto")
 
 
 @query(
