@@ -143,8 +143,8 @@ def discourse_markers(spark: SparkSession, folder: str) -> DataFrame:
 select uce_id, palabras, coalesce(marcadores, 0) as marcadores, round(coalesce(marcadores, 0) / palabras * 100, 6) as densidad from wd left join c2 using (uce_id)""",
 )
 def marker_density(spark: SparkSession, folder: str) -> DataFrame:
-    t = kept_tokens(spark, folder)
-    return rounded(grammar.marker_density(t, grammar.discourse_markers(t)).select("uce_id", "palabras", "marcadores", "densidad"))
+    counts = unit_grammar.marker_counts(spoken(spark, folder), "uce_id", "texto")
+    return rounded(counts.withColumn("densidad", F.col("marcadores") / F.col("palabras") * 100))
 
 
 _VERBS = f"""{_PARSED}, ch as (select uce_id, s, h as i, count(*) filter (d like 'nsubj%') as sujetos, count(*) filter (w = 'se' and d like 'expl%') as se,

@@ -26,6 +26,12 @@ def listed(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
+def test_marker_density_is_that_of_the_token_table(texts):
+    t = grammar.rule_tokens(texts, "doc_id", "uce_id", "texto")
+    want = grammar.marker_density(t, grammar.discourse_markers(t)).select("uce_id", "palabras", "marcadores")
+    assert listed(unit_grammar.marker_counts(texts, "uce_id", "texto")) == listed(want)
+
+
 def test_summary_is_that_of_the_token_table(texts):
     t = grammar.shallow_parse(grammar.rule_tokens(texts, "doc_id", "uce_id", "texto"))
     place = ["doc_id", "uce_id", "i"]
@@ -36,7 +42,7 @@ def test_summary_is_that_of_the_token_table(texts):
     assert listed(unit_grammar.summary(texts, "texto")) == listed(grammar.feature_counts(found))
 
 
-@pytest.mark.parametrize("name", ["grammar_summary"])
+@pytest.mark.parametrize("name", ["grammar_summary", "marker_density"])
 def test_no_token_table_is_written(spark, texts, tmp_path, monkeypatch, name):
     texts.withColumn("doc_id", F.col("doc_id").cast("long")).write.parquet(str(tmp_path / "uces.parquet"))
 
