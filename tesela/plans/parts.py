@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tesela.functions import text as T
 from tesela.functions.vectors import usable
-from tesela.operators import agents, classify, coref, grammar, lexical, network, segmentation, space, terms
+from tesela.operators import agents, classify, coref, grammar, lexical, network, segmentation, space, terms, unit_grammar
 from tesela.operators.tables import context_units, corpus, table, unique, units
 from tesela.plans.common_sql import CONTEXT_UNITS, CORPUS, MATRIX, UNITS, lower
-from tesela.plans.grammar_plans import _NEGATIONS, _PARSED, _TAGGED, _VERBS, parsed
+from tesela.plans.grammar_plans import _NEGATIONS, _PARSED, _TAGGED, _VERBS, parsed, spoken
 from tesela.plans.lexicon_plans import _LEMMAS, _LEXICON, _TERMS, lexicon, matrix, stems
 from tesela.plans.registry import query, rounded
 from tesela.plans.space_plans import _VECTORS, DIM, _embedded, class_centroids
@@ -354,9 +354,7 @@ def expanded_frames(spark: SparkSession, folder: str) -> DataFrame:
 )
 def verbs_under_negation(spark: SparkSession, folder: str) -> DataFrame:
     """Verbs within five tokens after a negation of their sentence."""
-    t = parsed(spark, folder).withColumn("char_start", F.col("i"))
-    scopes = grammar.negations(t).select("doc_id", "uce_id", "sent_id", F.col("i").alias("lo"), (F.col("i") + 5).alias("hi"))
-    return grammar.in_negation(grammar.verbs(t), scopes).groupBy("pos", "negacion").agg(F.count(F.lit(1)).alias("n"))
+    return unit_grammar.negated_verbs(spoken(spark, folder), "texto")
 
 
 @query(

@@ -42,7 +42,14 @@ def test_summary_is_that_of_the_token_table(texts):
     assert listed(unit_grammar.summary(texts, "texto")) == listed(grammar.feature_counts(found))
 
 
-@pytest.mark.parametrize("name", ["grammar_summary", "marker_density"])
+def test_negated_verbs_are_those_of_the_token_table(texts):
+    t = grammar.shallow_parse(grammar.rule_tokens(texts, "doc_id", "uce_id", "texto")).withColumn("char_start", F.col("i"))
+    scopes = grammar.negations(t).select("doc_id", "uce_id", "sent_id", F.col("i").alias("lo"), (F.col("i") + 5).alias("hi"))
+    want = grammar.in_negation(grammar.verbs(t), scopes).groupBy("pos", "negacion").agg(F.count(F.lit(1)).alias("n"))
+    assert listed(unit_grammar.negated_verbs(texts, "texto")) == listed(want)
+
+
+@pytest.mark.parametrize("name", ["grammar_summary", "marker_density", "verbs_under_negation"])
 def test_no_token_table_is_written(spark, texts, tmp_path, monkeypatch, name):
     texts.withColumn("doc_id", F.col("doc_id").cast("long")).write.parquet(str(tmp_path / "uces.parquet"))
 
