@@ -251,3 +251,39 @@ def test_factor_has_the_count_in_its_margins_alone():
     assert abs(np.corrcoef(classify.warm_start(vectors), vectors[:, 0])[0, 1]) > 0.95 and classify.warm_start(vectors[:4]) is None
     warm = classify.first_factor(rows, cols, table[rows, cols], 20, 9, 0.01, 2000, classify.warm_start(vectors))
     assert np.abs(warm - x).max() < 1e-5
+
+
+def test_parts_of_a_node_are_the_same_in_one_kernel_or_in_rounds(spark, blocks, monkeypatch):
+    """Nodes of any size below the bound are cut by kernels, without the joins, and packed units stay one row each."""
+    monkeypatch.setattr(classify, "large_cut", None)
+    weighed = blocks.withColumn("w", F.lit(0.5))
+    once, tree = classify.cdh(blocks, "u", inline_cells=10**9)
+    for df, settings in ((blocks, {"inline_cells": 0}), (weighed, {"inline_cells": 300, "weight": "w", "pseudo": 0.005})):
+        again, other = classify.cdh(df, "u", **settings)
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, once.collect())) and other == tree
+
+
+def test_swaps_and_factor_by_chunks_are_those_of_the_plain_formulas(monkeypatch):
+    monkeypatch.setattr(classify, "CHUNK", 7)
+    r = np.random.default_rng(5)
+    table = (r.random((30, 12)) < 0.35) | (r.integers(0, 12, 30)[:, None] == np.arange(12))
+    rows, cols = np.nonzero(table)
+    right = r.random(30) < 0.5
+
+    def chi(side, t):
+        n = np.array([(~side).sum(), side.sum()])
+        c = np.array([table[~side].sum(axis=0), table[side].sum(axis=0)])[:, t]
+        e = c.sum(axis=0) * n[:, None] / n.sum()
+        return ((c - e) ** 2 / e).sum()
+
+    want = right.copy()
+    for _ in range(2):
+        for i in range(30):
+            other = want.copy()
+            other[i] = not other[i]
+            if other.any() and not other.all() and chi(other, table[i]) > chi(want, table[i]) + 1e-9:
+                want = other
+    assert list(classify.swap(rows, cols, 30, 12, right)) == list(want)
+    some = r.permutation(len(rows))
+    plain = classify.first_factor(rows, cols, np.ones(len(rows)), 30, 12)
+    assert np.allclose(classify.first_factor(rows.astype(np.int32)[some], cols.astype(np.int32)[some], None, 30, 12), plain)
