@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesela.functions.distributions import CHI2_95, chi2_sf
-from tesela.operators.lexical import with_rank
+
+#: Units whose draws of all rounds are held at once; bins of hashes in the search for a rank.
+BLOCK, BINS = 5_000, 4096
 
 
 def yates(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -64,26 +70,98 @@ def with_p_values(terms: DataFrame, label: str) -> DataFrame:
     return benjamini_hochberg(terms.withColumn("p_valor", chi2_sf(F.col("chi2_yates"))), "p_valor", label)
 
 
+def round_hashes(h: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """xxhash64(unit, round, seed) as Spark has it, a row for each unit, from h = xxhash64(unit)."""
+    p1, p2, p3, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+    def mixed(value, h: np.ndarray) -> np.ndarray:
+        h = (h + p5 + np.uint64(4)) ^ (value * p1)
+        h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    each = np.arange(rounds, dtype=np.uint64)[None]
+    return mixed(np.array([[seed & 0xFFFFFFFF]], dtype=np.uint64), mixed(each, h.view(np.uint64)[:, None])).view(np.int64)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rounds: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(class numbers, hashes of all rounds) of columns h and k, some units at a time."""
+    for batch in batches:
+        h, k = batch.column("h").to_numpy(), batch.column("k").to_numpy()
+        for at in range(0, len(h), BLOCK):
+            yield k[at : at + BLOCK], round_hashes(h[at : at + BLOCK], rounds, seed)
+
+
+def _numbered(classes: DataFrame, unit: str, label: str) -> tuple[DataFrame, Column, list[int]]:
+    """((unit, h, k) of the units with a class, labels as an array, size of each class); h is the hash of the unit, k the class's number."""
+    known = classes.where(F.col(label).isNotNull() & (F.col(label) != -1)).select(unit, label)
+    sizes = sorted((r[label], r["count"]) for r in known.groupBy(label).count().collect())
+    names = F.array(*(F.lit(x) for x, _ in sizes)).cast(f"array<{dict(classes.dtypes)[label]}>")
+    return known.select(unit, F.xxhash64(unit).alias("h"), (F.array_position(names, F.col(label)) - 1).cast("int").alias("k")), names, [n for _, n in sizes]
+
+
 def permutation_thresholds(incidence: DataFrame, classes: DataFrame, unit: str, label: str, term: str = "termino", rounds: int = 20, seed: int = 42, q: float = 0.95) -> DataFrame:
     """Per term and class, the ``q`` quantile of (a - E)^2 / E when labels are dealt anew ``rounds`` times.
 
-    The labels of each round are those of the units in the order of a seeded hash; both orders come from a
-    range sort, so no task holds a round.
+    The labels of each round are those of the units in the order of a seeded hash: a unit's label follows from
+    its hash and the hashes at the borders of the classes, which are found by counting in bins and sorting the bins
+    that hold a border. So no row is made for a unit and a round; a term's cells go to one kernel, some at a time.
+    Units of the same 64-bit hash get the same label.
     """
-    known = classes.where(F.col(label).isNotNull() & (F.col(label) != -1)).select(unit, label)
-    dealt = known.withColumn("vuelta", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    places = with_rank(dealt.select("vuelta", unit), [F.xxhash64(unit, "vuelta", F.lit(seed)), F.col(unit)], "n", by="vuelta")
-    labels = with_rank(dealt, [F.col(label), F.col(unit)], "n", by="vuelta").drop(unit)
-    shuffled = places.join(labels, ["vuelta", "n"]).select("vuelta", unit, label)
-    size = known.groupBy(label).agg(F.count(F.lit(1)).alias("n_clase"))
-    n = known.count()
-    freq = incidence.join(known.select(unit), unit, "left_semi").groupBy(term).agg(F.count(F.lit(1)).alias("f"))
-    cells = incidence.join(shuffled, unit).groupBy("vuelta", term, label).agg(F.count(F.lit(1)).alias("a"))
-    grid = freq.withColumn("c", size.agg(F.collect_list(F.struct(label, "n_clase"))).scalar()).select(term, "f", F.explode("c").alias("c")).select(term, "f", "c.*")
-    grid = grid.withColumn("vuelta", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    expected = F.col("f") * F.col("n_clase") / n
-    scored = grid.join(cells, ["vuelta", term, label], "left").withColumn("x", F.pow(F.coalesce("a", F.lit(0)) - expected, 2) / expected)
-    return scored.groupBy(term, label).agg(F.percentile("x", q).alias("umbral"))
+    known, names, sizes = _numbered(classes, unit, label)
+    if not sizes:
+        return incidence.join(classes.select(unit, label), unit).where("false").select(term, label, F.lit(0.0).alias("umbral"))
+    n, ends = sum(sizes), np.cumsum(sizes)[:-1]
+    shift = 64 - int(np.log2(BINS))
+    of = lambda hashes: ((hashes >> shift) + BINS // 2).astype(np.int64)
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(rounds * BINS, dtype=np.int64)
+        for _, hashes in _blocks(batches, rounds, seed):
+            count += np.bincount((of(hashes) + np.arange(rounds) * BINS).ravel(), minlength=rounds * BINS)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["b", "n"])
+
+    got = known.select("h", "k").mapInArrow(binned, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    count = np.zeros(rounds * BINS, dtype=np.int64)
+    count[got.column("b").to_numpy()] = got.column("n").to_numpy()
+    before = np.cumsum(count.reshape(rounds, BINS), axis=1)
+    wanted = [(r, j, int(np.searchsorted(before[r], end, side="right")), int(end)) for r in range(rounds) for j, end in enumerate(ends)]
+    wanted = [(r, j, b, end - (int(before[r, b - 1]) if b else 0)) for r, j, b, end in wanted]
+    held = np.zeros((rounds, BINS), dtype=bool)
+    for r, _, b, _ in wanted:
+        held[r, b] = True
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, hashes in _blocks(batches, rounds, seed):
+            bins = of(hashes)
+            row, r = np.nonzero(held[np.arange(rounds)[None], bins])
+            yield pa.RecordBatch.from_arrays([pa.array(r * BINS + bins[row, r]), pa.array(hashes[row, r])], ["b", "v"])
+
+    cuts = np.zeros((rounds, len(ends)), dtype=np.int64)
+    if wanted:
+        asked = known.sparkSession.createDataFrame([(r * BINS + b, r, j, place + 1) for r, j, b, place in wanted], "b long, r int, j int, place int")
+        lists = known.select("h", "k").mapInArrow(inside, "b long, v long").groupBy("b").agg(F.sort_array(F.collect_list("v")).alias("v"))
+        for x in lists.join(F.broadcast(asked), "b").select("r", "j", F.element_at("v", F.col("place")).alias("v")).collect():
+            cuts[x["r"], x["j"]] = x["v"]
+    shares = np.array(sizes)
+
+    def scored(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, f = np.zeros((rounds, len(shares))), 0
+        for _, hashes in _blocks(batches, rounds, seed):
+            f += len(hashes)
+            for r in range(rounds):
+                a[r] += np.bincount(np.searchsorted(cuts[r], hashes[:, r], side="right"), minlength=len(shares))
+        expected = f * shares / n
+        x = np.sort((a - expected) ** 2 / expected, axis=0)
+        at = (rounds - 1) * q
+        low = int(at)
+        found = x[low] if at == low else (low + 1 - at) * x[low] + (at - low) * x[low + 1]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(shares), pa.string()), pa.array(np.arange(1, len(shares) + 1), pa.int32()), pa.array(found)], [term, "k", "umbral"])
+
+    cells = incidence.select(unit, term).join(known, unit).select(term, "h", "k")
+    return cells.groupBy(term).applyInArrow(scored, f"`{term}` string, k int, umbral double").select(term, F.element_at(names, F.col("k")).alias(label), "umbral")
 
 
 def term_stability(incidence: DataFrame, classes: DataFrame, unit: str, label: str, term: str = "termino", rounds: int = 10, seed: int = 42) -> DataFrame:

@@ -287,3 +287,28 @@ def test_swaps_and_factor_by_chunks_are_those_of_the_plain_formulas(monkeypatch)
     some = r.permutation(len(rows))
     plain = classify.first_factor(rows, cols, np.ones(len(rows)), 30, 12)
     assert np.allclose(classify.first_factor(rows.astype(np.int32)[some], cols.astype(np.int32)[some], None, 30, 12), plain)
+
+
+def test_hashes_of_rounds_are_those_of_spark(spark):
+    units = spark.createDataFrame([(f"u{i}",) for i in range(50)], "u string")
+    got = units.select(F.xxhash64("u").alias("h"), F.array(*(F.xxhash64("u", F.lit(r), F.lit(42)) for r in range(4))).alias("v")).collect()
+    assert terms.round_hashes(np.array([x["h"] for x in got]), 4, 42).tolist() == [x["v"] for x in got]
+
+
+def test_thresholds_are_those_of_labels_dealt_in_the_order_of_the_hashes(spark, monkeypatch):
+    """The labels of each round by a plain sort, with blocks and bins of a few units."""
+    monkeypatch.setattr(terms, "BLOCK", 7)
+    r = np.random.default_rng(2)
+    labels = {f"u{i:02d}": int(r.integers(0, 3)) for i in range(60)}
+    cells = [(u, t) for u in labels for t in "abc" if r.random() < 0.5]
+    inc, k = spark.createDataFrame(cells, "u string, termino string"), spark.createDataFrame(list(labels.items()) + [("ruido", -1), ("nulo", None)], "u string, k int")
+    got = {(x["termino"], x["k"]): x["umbral"] for x in terms.permutation_thresholds(inc, k, "u", "k", rounds=9).collect()}
+    h = {x["u"]: x["v"] for x in k.select("u", F.array(*(F.xxhash64("u", F.lit(j), F.lit(42)) for j in range(9))).alias("v")).collect()}
+    dealt, size = sorted(labels.values()), {c: sum(v == c for v in labels.values()) for c in range(3)}
+    new = [dict(zip(sorted(labels, key=lambda u: h[u][j]), dealt)) for j in range(9)]
+    for t in "abc":
+        own = [u for u, x in cells if x == t]
+        for c in range(3):
+            e = len(own) * size[c] / 60
+            want = np.quantile([(sum(new[j][u] == c for u in own) - e) ** 2 / e for j in range(9)], 0.95)
+            assert got[t, c] == pytest.approx(want)
