@@ -167,25 +167,46 @@ def permutation_thresholds(incidence: DataFrame, classes: DataFrame, unit: str,
 def term_stability(incidence: DataFrame, classes: DataFrame, unit: str, label: str, term: str = "termino", rounds: int = 10, seed: int = 42) -> DataFrame:
     """How often each term is characteristic of each class when units are drawn anew, Poisson bootstrap.
 
-    In each round a unit weighs 0, 1, 2 … with a seeded Poisson(1) draw, so rounds need no collected sample.
+    In each round a unit weighs 0, 1, 2 … with a seeded Poisson(1) draw, so rounds need no collected sample. The draws
+    of all rounds are made in the kernels, a term's cells in one, some at a time: no row is made for a cell and a round.
     """
-    known = classes.where(F.col(label).isNotNull() & (F.col(label) != -1)).select(unit, label)
-    u = (F.pmod(F.xxhash64(unit, "vuelta", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40))
-    bounds = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518)
-    weight = sum(((u >= b).cast("int") for b in bounds[1:]), (u >= bounds[0]).cast("int"))
-    drawn = known.withColumn("vuelta", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("w", weight).where("w > 0")
-    joined = incidence.join(drawn, unit)
-    cells = joined.groupBy("vuelta", term, label).agg(F.sum("w").alias("a"))
-    freq = joined.groupBy("vuelta", term).agg(F.sum("w").alias("f"))
-    size = drawn.groupBy("vuelta", label).agg(F.sum("w").alias("n_clase"))
-    size = size.withColumn("n", F.sum("n_clase").over(Window.partitionBy("vuelta")))  # rounds x classes rows
-    full = cells.join(freq, ["vuelta", term]).join(F.broadcast(size), ["vuelta", label])
-    a = F.col("a").cast("double")
-    b, c = F.col("f") - a, F.col("n_clase") - a
-    x = yates(a, b, c, F.col("n") - a - b - c)
-    return full.withColumn("sig", ((x > CHI2_95) & (a / F.col("n_clase") > F.col("f") / F.col("n"))).cast("int")).groupBy(term, label).agg(
-        (F.sum("sig") / rounds).alias("frecuencia_seleccion")
-    )
+    known, names, sizes = _numbered(classes, unit, label)
+    classes_ = len(sizes)
+    bounds = np.array((0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        """Summed weights by class and round."""
+        out = np.zeros((classes_, rounds))
+        for k, hashes in _blocks(batches, rounds, seed):
+            w = np.searchsorted(bounds, (hashes & ((1 << 40) - 1)) / float(1 << 40), side="right")
+            for j in np.unique(k):
+                out[j] += w[k == j].sum(axis=0)
+        return out
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = drawn(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["b", "n"])
+
+    size = np.zeros(classes_ * rounds)
+    for x in known.select("h", "k").mapInArrow(partial, "b long, n double").groupBy("b").agg(F.sum("n").alias("n")).collect():
+        size[x["b"]] = x["n"]
+    size = size.reshape(classes_, rounds)
+    n = size.sum(axis=0)
+
+    def scored(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = drawn(batches)
+        f = a.sum(axis=0)
+        b, c = f - a, size - a
+        d = n - a - b - c
+        margins = (a + b) * (c + d) * (a + c) * (b + d)
+        gap = np.maximum(0.0, np.abs(a * d - b * c) - n / 2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            kept = (a > 0) & (margins > 0) & (n * gap * gap / margins > CHI2_95) & (a / size > f / n)
+        at = np.flatnonzero((a > 0).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(at), pa.string()), pa.array(at + 1, pa.int32()), pa.array(kept[at].sum(axis=1) / rounds)], [term, "k", "frecuencia_seleccion"])
+
+    cells = incidence.select(unit, term).join(known, unit).select(term, "h", "k")
+    return cells.groupBy(term).applyInArrow(scored, f"`{term}` string, k int, frecuencia_seleccion double").select(term, F.element_at(names, F.col("k")).alias(label), "frecuencia_seleccion")
 
 
 def unit_phi(incidence: DataFrame, classes: DataFrame, scored: DataFrame, unit: str, label: str, term: str = "termino", places: int = 4) -> DataFrame:

@@ -312,3 +312,16 @@ def test_thresholds_are_those_of_labels_dealt_in_the_order_of_the_hashes(spark,
             e = len(own) * size[c] / 60
             want = np.quantile([(sum(new[j][u] == c for u in own) - e) ** 2 / e for j in range(9)], 0.95)
             assert got[t, c] == pytest.approx(want)
+
+
+def test_stability_makes_no_row_for_a_cell_and_a_round(spark, monkeypatch):
+    """The draws are made in kernels: neither rounds are exploded nor are cells joined with them."""
+    inc = spark.createDataFrame([(f"u{i}", t) for i in range(40) for t in ("a" if i < 20 else "b", "c")], "u string, termino string")
+    k = spark.createDataFrame([(f"u{i}", int(i >= 20)) for i in range(40)], "u string, k int")
+
+    def refused(*_):
+        raise AssertionError("rounds are exploded")
+
+    monkeypatch.setattr(F, "explode", refused)
+    got = {(x["termino"], x["k"]): x["frecuencia_seleccion"] for x in terms.term_stability(inc, k, "u", "k", rounds=20).collect()}
+    assert got == {("a", 0): 1.0, ("b", 1): 1.0, ("c", 0): 0.0, ("c", 1): 0.0}
