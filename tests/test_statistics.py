@@ -325,3 +325,72 @@ def test_stability_makes_no_row_for_a_cell_and_a_round(spark, monkeypatch):
     monkeypatch.setattr(F, "explode", refused)
     got = {(x["termino"], x["k"]): x["frecuencia_seleccion"] for x in terms.term_stability(inc, k, "u", "k", rounds=20).collect()}
     assert got == {("a", 0): 1.0, ("b", 1): 1.0, ("c", 0): 0.0, ("c", 1): 0.0}
+
+
+def counted(df, count):
+    """The same rows, each adding 1 to ``count`` whenever it is made."""
+
+    def run(batches):
+        for batch in batches:
+            count.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
+def test_stability_reads_its_units_once(spark, blocks, monkeypatch):
+    """Both classifications come from one written table, and are those of the incidence of each."""
+    from tesela.plans import space_plans
+
+    rare = [("u000", "raro"), ("u001", "raro"), ("u002", "raro"), ("u003", "unico"), ("u004", " "), ("u005", None)]
+    cells = blocks.union(spark.createDataFrame(rare, "u string, termino string"))
+    frame = cells.select(F.concat_ws("_", "u", "termino").alias("uce_id"), F.col("u").alias("uc_id"), F.array(F.upper("termino")).alias("stems"))
+    count = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(space_plans, "units", lambda *_: counted(frame, count))
+    got = {(r["clase"], r["estable"]): r["n"] for r in space_plans.cdh_stability(spark, "").collect()}
+    assert count.value == frame.count()
+    clean = cells.where("trim(termino) <> ''")
+    sized = clean.groupBy("termino").count()
+    parts = [classify.cdh(clean.join(sized.where(F.col("count") >= least), "termino", "left_semi"), "u")[0] for least in (3, 5)]
+    want = classify.stable_units(*parts, "u", "clase", "clase").groupBy("clase", "estable").count().collect()
+    assert got == {(r["clase"], r["estable"]): r["count"] for r in want} and len(got) >= 2
+
+
+@pytest.mark.parametrize("most, least", [(4096, 64), (16, 4), (3, 1)])
+def test_swaps_at_once_are_those_made_one_by_one(most, least):
+    r = np.random.default_rng(11)
+    for n, m, share in ((90, 12, 0.3), (60, 4, 0.6), (40, 30, 0.05)):
+        table = r.random((n, m)) < share
+        rows, cols = np.nonzero(table)
+        right = r.random(n) < 0.5
+        total, want = np.maximum(table.sum(axis=0), 1), right.copy()
+
+        def chi(side, t):
+            p = side.sum() / n
+            c = table[side].sum(axis=0)[t]
+            return float(((c - p * total[t]) ** 2 / total[t]).sum() / (p * (1 - p))) if 0 < p < 1 else 0.0
+
+        for _ in range(2):
+            for i in range(n):
+                if table[i].any() and (want == want[i]).sum() > 1:
+                    other = want.copy()
+                    other[i] = not other[i]
+                    old = chi(want, table[i])
+                    if chi(other, table[i]) - old > 1e-9 * (1 + old):
+                        want = other
+        assert list(classify.swap_at_once(rows, cols, n, m, right, 2, most, least)) == list(want)
+
+
+def test_factor_on_the_terms_is_that_on_the_cells(monkeypatch):
+    """Converged or stopped by the number of rounds, with weights or without, also with units that have no cell."""
+    r = np.random.default_rng(12)
+    table = r.random((400, 10)) < 0.4
+    table[[3, 50]] = False
+    rows, cols = np.nonzero(table)
+    monkeypatch.setattr(classify, "GRAM_PAIRS", 500)
+    for weights in (None, r.random(len(rows))):
+        for steps in (3, 100, 3000):
+            monkeypatch.setattr(classify, "GRAM_TERMS", 4096)
+            terms_ = classify.first_factor(rows, cols, weights, 400, 10, 0.01, steps)
+            monkeypatch.setattr(classify, "GRAM_TERMS", 0)
+            assert np.abs(terms_ - classify.first_factor(rows, cols, weights, 400, 10, 0.01, steps)).max() < 1e-7
