@@ -138,3 +138,19 @@ def test_similar_pairs_lose_none(spark, block):
     want = {(i, j) for i in range(90) for j in range(i + 1, 90) if u[i] @ u[j] >= 0.72}
     assert {(g["key_1"], g["key_2"]) for g in got} == want and len(want) > 20
     assert coref.similar_pairs(spark.createDataFrame([], "k int, v array<double>"), "k", "v").count() == 0
+
+
+@pytest.mark.parametrize("ppmi", [False, True])
+def test_double_classification_reads_its_units_once(spark, units, ppmi):
+    """Both sizes come from one written table, and empty, null and blank forms count as forms but are no terms."""
+    odd = spark.createDataFrame([("x_1", 90, 0, ["", None, "a1"]), ("x_2", 90, 1, None), ("x_3", 91, 0, [])], units.schema)
+    frame, count = units.union(odd), spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            count.add(batch.num_rows)
+            yield batch
+
+    stable, ari = pipeline.double_classification(frame.mapInArrow(run, frame.schema), ppmi=ppmi)
+    assert stable.count() >= 240 and count.value == 243
+    assert ari > 0.8 and {r["clase"] for r in stable.where("uce_id = 'x_1'").collect()} <= {r["clase"] for r in stable.collect()}
